@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import lines, quality, simhash
+from marlstone.llm import lines, packing, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.drop_recurring_lines(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", "text")
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_quality_rules": op3_quality_rules, "op5_line_dedup": op5_line_dedup}
+QUERIES = {"op2_simhash": op2_simhash, "op3_quality_rules": op3_quality_rules, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup}
 ORACLES: dict[str, str] = {}
