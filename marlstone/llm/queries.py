@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import lines, packing, quality, simhash
+from marlstone.llm import lines, mixing, packing, quality, simhash, unigram
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -28,5 +32,16 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", "text")
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_quality_rules": op3_quality_rules, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup}
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_simhash": op2_simhash,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_packing": op4_packing,
+    "op5_line_dedup": op5_line_dedup,
+    "op7_mixing": op7_mixing,
+}
 ORACLES: dict[str, str] = {}
