@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import lines, mixing, packing, quality, simhash, unigram
+from marlstone.llm import html_text, lines, mixing, packing, quality, simhash, topk, unigram
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
@@ -43,5 +51,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
     "op7_mixing": op7_mixing,
+    "op8_html_extraction": op8_html_extraction,
+    "op9_top_k": op9_top_k,
 }
 ORACLES: dict[str, str] = {}
