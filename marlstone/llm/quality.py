@@ -64,12 +64,13 @@ def repeated_words(w: str, window: int) -> Column:
     return F.expr(f"if(size({w}) <= {window}, 0L, {found})")
 
 
-def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
-    """doc_id, lang group, counts for the base rules and the two histograms (arrays of counts)."""
+def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules(), carry: bool = False) -> DataFrame:
+    """doc_id, lang group, counts for the base rules and the two histograms; with ``carry`` the whole row too."""
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
     lang = F.when(lang.isin(list(rules.common)), lang).otherwise(OTHER)
-    d = docs.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), t.alias("t"))
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    d = docs.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), t.alias("t"), *row)
     d = d.withColumns({"w": words(F.col("t")), "rest": F.regexp_replace("t", r"[\p{L}0-9]+", "")})
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     plain, upper = F.length("t") - F.length("rest"), F.length(F.regexp_replace("t", r"[^\p{Lu}]+", ""))
@@ -95,6 +96,7 @@ def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "n_chars",
         classes.cast("array<bigint>").alias("classes"),
         per_lang.cast("array<bigint>").alias("common"),
+        *(["row"] if carry else []),
     )
 
 
@@ -123,14 +125,15 @@ def _distance(p: str, q: str) -> Column:
     return F.expr(f"sqrt(greatest(0D, aggregate(zip_with({p}, {q}, (a, b) -> {term}), 0D, (z, x) -> z + x) / 2))")
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules(), carry: bool = False) -> DataFrame:
     """One row per input row with counts, ``base_failed``, the distances and ``kept``.
 
     Null and empty texts have no words and fail the base rules. A language that the rules do not list, or
     none, is the group "other", judged by character classes alone. Repeated rows are judged alike. Columns
-    besides the three named are not read. An empty table gives no rows.
+    besides the three named are not read, but ``carry`` returns them in a struct ``row``. An empty table gives
+    no rows.
     """
-    stats = base_statistics(docs, id_col, text_col, lang_col, rules)
+    stats = base_statistics(docs, id_col, text_col, lang_col, rules, carry)
     light = stats.select("lang", "n_chars", "n_words", "classes", "common")
     d = stats.join(F.broadcast(_references(light, rules)), "lang", "left")  # at most one row a listed language, and one
     share = "transform({0}, x -> x / cast({1} as double))"
@@ -146,6 +149,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     odd = (F.col("n_chars") >= rules.min_class_chars) & (F.col("class_distance") > rules.max_class_distance)
     odd = odd | ((F.col("n_words") >= rules.min_histogram_words) & (F.col("word_distance") > rules.max_word_distance))
-    d = d.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.coalesce(odd, F.lit(False)))
+    # a fence, always true: else a filter on ``kept`` moves below and repeats every expression it is made of
+    fence = F.monotonically_increasing_id() >= 0
+    d = d.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.coalesce(odd, F.lit(False)) & fence)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return d.select("doc_id", *counts, "base_failed", "kept", "class_distance", "word_distance")
+    return d.select("doc_id", *counts, "base_failed", "kept", "class_distance", "word_distance", *(["row"] if carry else []))
