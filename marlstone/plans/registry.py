@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import feature_queries, portfolio_queries, section_queries
+from marlstone.plans import diagnostic_queries, feature_queries, portfolio_queries, section_queries
 from marlstone.session import prepare
 
-_MODULES = (feature_queries, section_queries, portfolio_queries)
+_MODULES = (feature_queries, section_queries, portfolio_queries, diagnostic_queries)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
