@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marlstone.functions.nulls import ratio
@@ -16,8 +16,13 @@ from marlstone.operators import recursive
 from marlstone.operators.cross_sectional import percent_rank_average, quantile_count
 from marlstone.operators.technical import YEAR
 
-DATE = Window.partitionBy("date")
-TICKER = Window.partitionBy("ticker").orderBy("date")
+
+def by_date() -> WindowSpec:
+    return Window.partitionBy("date")
+
+
+def by_ticker() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy("date")
 
 
 @dataclass(frozen=True)
@@ -40,17 +45,17 @@ class Policy:
 def row_weights(scores: DataFrame, p: Policy) -> DataFrame:
     """Adds ``weight`` to rows of (date, ticker, score); no score, no weight. A missing side means no position."""
     s, there = F.col("score"), F.col("score").isNotNull()
-    n = F.count("score").over(DATE)
+    n = F.count("score").over(by_date())
     sides = scores.withColumn("__k", quantile_count(n, p.quantile))
     if p.mode == "rank":
         r = sides.withColumn("__r", percent_rank_average(s))
         if p.two_sided:
-            r = r.withColumn("__r", F.col("__r") - F.avg("__r").over(DATE))
+            r = r.withColumn("__r", F.col("__r") - F.avg("__r").over(by_date()))
         else:
             r = r.withColumn("__r", F.greatest(F.col("__r") - (1 - p.quantile), F.lit(0.0)))
-        weight = p.leverage * ratio(F.col("__r"), F.sum(F.abs("__r")).over(DATE))
+        weight = p.leverage * ratio(F.col("__r"), F.sum(F.abs("__r")).over(by_date()))
         return r.withColumn("weight", F.when(there, F.coalesce(weight, F.lit(0.0))).otherwise(0.0)).drop("__r", "__k")
-    down, up = DATE.orderBy(s.desc_nulls_last(), "ticker"), DATE.orderBy(s.asc_nulls_last(), "ticker")
+    down, up = by_date().orderBy(s.desc_nulls_last(), "ticker"), by_date().orderBy(s.asc_nulls_last(), "ticker")
     k = F.col("__k")
     if p.mode == "probability":
         long, short = there & (s >= p.long_from) & (F.row_number().over(down) <= k), there & (s <= p.short_to) & (F.row_number().over(up) <= k)
@@ -59,7 +64,7 @@ def row_weights(scores: DataFrame, p: Policy) -> DataFrame:
         # the last k of the same order, so that a name is never on both sides
         short = there & (F.row_number().over(down) > n - k) & ~(F.row_number().over(down) <= k)
     sides = sides.withColumns({"__long": long, "__short": short})
-    longs, shorts = F.sum(F.col("__long").cast("int")).over(DATE), F.sum(F.col("__short").cast("int")).over(DATE)
+    longs, shorts = F.sum(F.col("__long").cast("int")).over(by_date()), F.sum(F.col("__short").cast("int")).over(by_date())
     if p.two_sided:
         weight = F.when((longs == 0) | (shorts == 0), 0.0).when(F.col("__long"), p.leverage / 2 / longs).when(F.col("__short"), -p.leverage / 2 / shorts)
     else:
@@ -72,11 +77,11 @@ def limits(weights: DataFrame, p: Policy, column: str = "weight") -> DataFrame:
     w = F.col(column)
     d = weights.withColumn(column, F.greatest(F.lit(-p.max_weight), F.least(F.lit(p.max_weight), w))) if p.max_weight > 0 else weights
     if p.two_sided:
-        long, short = F.sum(F.greatest(w, F.lit(0.0))).over(DATE), -F.sum(F.least(w, F.lit(0.0))).over(DATE)
+        long, short = F.sum(F.greatest(w, F.lit(0.0))).over(by_date()), -F.sum(F.least(w, F.lit(0.0))).over(by_date())
         d = d.withColumns({"__l": long, "__s": short})
         even = F.least("__l", "__s")
         d = d.withColumn(column, w * F.coalesce(F.when(w > 0, ratio(even, F.col("__l"))).otherwise(ratio(even, F.col("__s"))), F.lit(0.0))).drop("__l", "__s")
-    gross = F.sum(F.abs(w)).over(DATE)
+    gross = F.sum(F.abs(w)).over(by_date())
     return d.withColumn(column, w * F.coalesce(F.least(F.lit(1.0), ratio(F.lit(p.leverage), gross)), F.lit(1.0)))
 
 
@@ -99,12 +104,12 @@ def held_weights(scores: DataFrame, calendar: DataFrame, p: Policy) -> DataFrame
     # a date with any signal sets all its names; others carry the last such date forward
     wanted = wanted.join(signal.withColumn("__set", F.lit(True)), "date", "left")
     wanted = wanted.withColumn("weight", F.when(F.col("__set"), F.coalesce("weight", F.lit(0.0))))
-    before = TICKER.rowsBetween(Window.unboundedPreceding, 0)
+    before = by_ticker().rowsBetween(Window.unboundedPreceding, 0)
     wanted = wanted.withColumn("weight", F.coalesce(F.last("weight", ignorenulls=True).over(before), F.lit(0.0))).drop("__set")
     if p.band > 0:
         wanted = recursive.along(wanted, lambda rows: {"held": recursive.no_trade_band(rows["weight"].to_numpy(float), p.band)}, ["held"]).drop("weight").withColumnRenamed("held", "weight")
     wanted = limits(wanted, p)
-    return wanted.withColumn("weight", F.lag("weight", p.lag).over(TICKER)).where("weight is not null")
+    return wanted.withColumn("weight", F.lag("weight", p.lag).over(by_ticker())).where("weight is not null")
 
 
 def daily(weights: DataFrame, returns: DataFrame, p: Policy, lagged: bool = True) -> DataFrame:
@@ -119,7 +124,7 @@ def daily(weights: DataFrame, returns: DataFrame, p: Policy, lagged: bool = True
         rows = limits(rows.join(base, "date").withColumn("weight", F.col("weight") * F.col("m")).drop("m"), p)
     lost = (F.abs("weight") > 1e-12) & F.col("ret").isNull()
     part = F.when(lost, F.raise_error(F.lit("a held name has no return")).cast("double")).otherwise(F.col("weight") * F.col("ret"))
-    move = F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(TICKER), F.lit(0.0)))
+    move = F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(by_ticker()), F.lit(0.0)))
     rows = rows.withColumns({"__part": part, "__move": move})
     d = rows.groupBy("date").agg(F.sum("__part").alias("gross"), F.sum("__move").alias("turnover"))
     d = d.withColumn("cost", F.col("turnover") * (p.cost_bps / 1e4)).withColumn("net", F.col("gross") - F.col("cost"))
@@ -167,8 +172,8 @@ def break_even_bps(days: DataFrame) -> DataFrame:
 def capacity(weights: DataFrame, panel: DataFrame, sizes: list[float], n: int = 20, limit: float = 0.10) -> DataFrame:
     """Participation of trades in trailing median dollar volume under each fund size, and the capacity."""
     dollars = F.when(F.col("close") * F.col("volume") > 0, F.col("close") * F.col("volume"))
-    market = panel.select("date", "ticker", F.percentile(dollars, 0.5).over(TICKER.rowsBetween(-(n - 1), 0)).alias("liquidity"))
-    move = F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(TICKER), F.lit(0.0)))
+    market = panel.select("date", "ticker", F.percentile(dollars, 0.5).over(by_ticker().rowsBetween(-(n - 1), 0)).alias("liquidity"))
+    move = F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(by_ticker()), F.lit(0.0)))
     rows = weights.withColumn("move", move).join(market, ["date", "ticker"], "left").withColumn("each", F.when(F.col("move") > 0, ratio(F.col("move"), F.col("liquidity"))))
     rows = rows.select("move", "each", F.explode(F.array(*(F.lit(float(x)) for x in sizes))).alias("aum"))
     part = F.col("each") * F.col("aum")

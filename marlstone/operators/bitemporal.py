@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 PRICE = ["effective_at", "available_at", "observed_at"]
 
 
-def violations(df: DataFrame, identity: list[str], text: list[str] = (), rules: dict[str, Column] | None = None, prices: bool = False) -> DataFrame:
+def violations(df: DataFrame, identity: list[str], text: list[str] = (), rules: dict[str, Column | str] | None = None, prices: bool = False) -> DataFrame:
     """One row: how many rows break each rule. Zero everywhere means the records are sound."""
     counts = {f"missing_{c}": F.count_if(F.col(c).isNull()) for c in PRICE}
     counts["observed_before_available"] = F.count_if(F.col("observed_at") < F.col("available_at"))
@@ -19,17 +19,17 @@ def violations(df: DataFrame, identity: list[str], text: list[str] = (), rules:
     if prices:
         counts["available_before_effective"] = F.count_if(F.col("available_at") < F.col("effective_at"))
     counts |= {f"empty_{c}": F.count_if(F.coalesce(F.trim(F.col(c)) == "", F.lit(True))) for c in text}
-    counts |= {k: F.count_if(F.coalesce(~ok, F.lit(False))) for k, ok in (rules or {}).items()}
+    counts |= {k: F.count_if(F.coalesce(~(F.expr(ok) if isinstance(ok, str) else ok), F.lit(False))) for k, ok in (rules or {}).items()}
     key = F.struct(*identity, "available_at")
     counts["repeated_revision"] = F.count(key) - F.count_distinct(key)
     return df.agg(*(v.alias(k) for k, v in counts.items()))
 
 
 ACTION_RULES = {
-    "unknown_action": F.expr("action_type in ('cash_dividend', 'split', 'symbol_change', 'delisting', 'merger', 'spinoff')"),
-    "split_without_ratio": F.expr("action_type <> 'split' or split_ratio > 0"),
-    "dividend_without_cash": F.expr("action_type <> 'cash_dividend' or cash_amount > 0"),
-    "change_without_symbol": F.expr("action_type <> 'symbol_change' or length(trim(new_ticker)) > 0"),
+    "unknown_action": "action_type in ('cash_dividend', 'split', 'symbol_change', 'delisting', 'merger', 'spinoff')",
+    "split_without_ratio": "action_type <> 'split' or split_ratio > 0",
+    "dividend_without_cash": "action_type <> 'cash_dividend' or cash_amount > 0",
+    "change_without_symbol": "action_type <> 'symbol_change' or length(trim(new_ticker)) > 0",
 }
 
 

@@ -25,7 +25,6 @@ from marlstone.operators import statistics as st
 from marlstone.operators import technical as te
 
 PREFIX = "fc_"
-O, H, L, C, V, R, M = (F.col(c) for c in ("open", "high", "low", "close", "volume", "ret", "market"))
 
 
 @dataclass(frozen=True)
@@ -53,55 +52,55 @@ class Contract:
 
 
 def _full_ratio(t: Trail, n: int) -> Column:
-    return ratio(C, t.mean(C, n)) - 1
+    return ratio(F.col("close"), t.mean(F.col("close"), n)) - 1
 
 
 def _full_zscore(t: Trail, n: int) -> Column:
-    return ratio(C - t.mean(C, n), t.std(C, n))
+    return ratio(F.col("close") - t.mean(F.col("close"), n), t.std(F.col("close"), n))
 
 
 def _beta(t: Trail, n: int) -> Column:
-    return ratio(t.covariance(R, M, n), t.over(F.var_samp, M, n))
+    return ratio(t.covariance(F.col("ret"), F.col("market"), n), t.over(F.var_samp, F.col("market"), n))
 
 
 def _all() -> list[Contract]:
     c, close, bar, hl = Contract, ("close",), ("open", "high", "low", "close"), ("high", "low")
-    out = [c(f"ret_{k}d", "return", close, k, lambda t, k=k: te.simple_return(t, C, k)) for k in (1, 5, 21)]
-    out += [c("logret_1d", "return", close, 1, lambda t: te.log_return(t, C)), c("roc_10", "return", close, 10, lambda t: te.simple_return(t, C, 10))]
-    out += [c(f"mom_{n}", "momentum", close, n, lambda t, n=n: te.momentum(t, C, n)) for n in (63, 126, 252)]
-    out += [c("mom_252_21", "momentum", close, 252, lambda t: te.momentum(t, C, 252, 21))]
+    out = [c(f"ret_{k}d", "return", close, k, lambda t, k=k: te.simple_return(t, F.col("close"), k)) for k in (1, 5, 21)]
+    out += [c("logret_1d", "return", close, 1, lambda t: te.log_return(t, F.col("close"))), c("roc_10", "return", close, 10, lambda t: te.simple_return(t, F.col("close"), 10))]
+    out += [c(f"mom_{n}", "momentum", close, n, lambda t, n=n: te.momentum(t, F.col("close"), n)) for n in (63, 126, 252)]
+    out += [c("mom_252_21", "momentum", close, 252, lambda t: te.momentum(t, F.col("close"), 252, 21))]
     out += [c(f"ma_dist_{n}", "trend", close, n, lambda t, n=n: _full_ratio(t, n)) for n in (20, 50, 200)]
     out += [c(f"ema_dist_{n}", "trend", close, n, series=lambda p, n=n: p["close"].to_numpy(float) / rc.ema(p["close"].to_numpy(float), n) - 1) for n in (12, 26)]
     out += [
         c("zscore_21", "reversion", close, 21, lambda t: _full_zscore(t, 21)),
-        c("reversal_5", "reversion", close, 5, lambda t: -te.simple_return(t, C, 5)),
-        c("vwap_dev_21", "reversion", ("high", "low", "close", "volume"), 21, lambda t: te.vwap_deviation(t, H, L, C, V, 21)),
-        c("resid_63", "reversion", close, 63, lambda t: te.regression_residual(t, C, 63)),
+        c("reversal_5", "reversion", close, 5, lambda t: -te.simple_return(t, F.col("close"), 5)),
+        c("vwap_dev_21", "reversion", ("high", "low", "close", "volume"), 21, lambda t: te.vwap_deviation(t, F.col("high"), F.col("low"), F.col("close"), F.col("volume"), 21)),
+        c("resid_63", "reversion", close, 63, lambda t: te.regression_residual(t, F.col("close"), 63)),
         c("cs_rank_mom_63", "cross_section", close, 63, section=xs.percent_rank_average, base="mom_63", low=0, high=1),
         c("cs_z_mom_63", "cross_section", close, 63, section=xs.zscore, base="mom_63"),
-        c("parkinson_vol_21", "volatility", hl, 21, lambda t: st.parkinson_volatility(t, H, L), low=0),
-        c("garman_klass_vol_21", "volatility", bar, 21, lambda t: st.garman_klass_volatility(t, O, H, L, C), low=0),
-        c("rogers_satchell_vol_21", "volatility", bar, 21, lambda t: st.rogers_satchell_volatility(t, O, H, L, C), low=0),
+        c("parkinson_vol_21", "volatility", hl, 21, lambda t: st.parkinson_volatility(t, F.col("high"), F.col("low")), low=0),
+        c("garman_klass_vol_21", "volatility", bar, 21, lambda t: st.garman_klass_volatility(t, F.col("open"), F.col("high"), F.col("low"), F.col("close")), low=0),
+        c("rogers_satchell_vol_21", "volatility", bar, 21, lambda t: st.rogers_satchell_volatility(t, F.col("open"), F.col("high"), F.col("low"), F.col("close")), low=0),
         c("ewma_vol_21", "volatility", close, 21, series=lambda p: rc.ewma_volatility(p["ret"].to_numpy(float), 21), low=0),
-        c("skew_63", "moment", close, 63, lambda t: st.rolling_skewness(t, R)),
-        c("kurt_63", "moment", close, 63, lambda t: st.rolling_kurtosis(t, R)),
-        c("downside_dev_63", "moment", close, 63, lambda t: st.downside_deviation(t, R), low=0),
-        c("mad_63", "moment", close, 63, lambda t: st.median_absolute_deviation(t, R), low=0),
-        c("autocorr_1_63", "dependence", close, 63, lambda t: st.autocorrelation(t, R), low=-1, high=1),
-        c("pacf_2_63", "dependence", close, 63, lambda t: st.partial_autocorrelation_2(t, R), low=-1, high=1),
-        c("hurst_128", "dependence", close, 128, lambda t: st.hurst_exponent(t, C)),
-        c("var_ratio_5_63", "dependence", close, 63, lambda t: st.variance_ratio(t, R), low=0),
+        c("skew_63", "moment", close, 63, lambda t: st.rolling_skewness(t, F.col("ret"))),
+        c("kurt_63", "moment", close, 63, lambda t: st.rolling_kurtosis(t, F.col("ret"))),
+        c("downside_dev_63", "moment", close, 63, lambda t: st.downside_deviation(t, F.col("ret")), low=0),
+        c("mad_63", "moment", close, 63, lambda t: st.median_absolute_deviation(t, F.col("ret")), low=0),
+        c("autocorr_1_63", "dependence", close, 63, lambda t: st.autocorrelation(t, F.col("ret")), low=-1, high=1),
+        c("pacf_2_63", "dependence", close, 63, lambda t: st.partial_autocorrelation_2(t, F.col("ret")), low=-1, high=1),
+        c("hurst_128", "dependence", close, 128, lambda t: st.hurst_exponent(t, F.col("close"))),
+        c("var_ratio_5_63", "dependence", close, 63, lambda t: st.variance_ratio(t, F.col("ret")), low=0),
         c("beta_mkt_63", "market", close, 63, lambda t: _beta(t, 63)),
-        c("corr_mkt_63", "market", close, 63, lambda t: t.correlation(R, M, 63), low=-1, high=1),
-        c("mutual_info_mkt_63", "market", close, 63, lambda t: st.mutual_information(t, R, M), low=0),
-        c("volume_change_1", "liquidity", ("volume",), 1, lambda t: li.volume_change(t, V)),
-        c("dollar_volume_21", "liquidity", ("close", "volume"), 21, lambda t: li.log_dollar_volume(t, C, V)),
-        c("rel_volume_21", "liquidity", ("volume",), 21, lambda t: li.relative_volume(t, V), low=0),
-        c("amihud_21", "liquidity", ("close", "volume"), 21, lambda t: li.amihud_illiquidity(t, C, V), low=0),
-        c("volume_imbalance_21", "liquidity", ("close", "volume"), 21, lambda t: li.volume_imbalance(t, C, V), low=-1, high=1),
-        c("corwin_schultz_21", "liquidity", hl, 21, lambda t: li.corwin_schultz_spread(t, H, L), low=0),
-        c("roll_spread_21", "liquidity", close, 21, lambda t: li.roll_spread(t, R), low=0),
-        c("turnover_21", "liquidity", ("volume", "shares_outstanding"), 21, lambda t: li.turnover(t, V, F.col("shares_outstanding")), low=0, default=False),
+        c("corr_mkt_63", "market", close, 63, lambda t: t.correlation(F.col("ret"), F.col("market"), 63), low=-1, high=1),
+        c("mutual_info_mkt_63", "market", close, 63, lambda t: st.mutual_information(t, F.col("ret"), F.col("market")), low=0),
+        c("volume_change_1", "liquidity", ("volume",), 1, lambda t: li.volume_change(t, F.col("volume"))),
+        c("dollar_volume_21", "liquidity", ("close", "volume"), 21, lambda t: li.log_dollar_volume(t, F.col("close"), F.col("volume"))),
+        c("rel_volume_21", "liquidity", ("volume",), 21, lambda t: li.relative_volume(t, F.col("volume")), low=0),
+        c("amihud_21", "liquidity", ("close", "volume"), 21, lambda t: li.amihud_illiquidity(t, F.col("close"), F.col("volume")), low=0),
+        c("volume_imbalance_21", "liquidity", ("close", "volume"), 21, lambda t: li.volume_imbalance(t, F.col("close"), F.col("volume")), low=-1, high=1),
+        c("corwin_schultz_21", "liquidity", hl, 21, lambda t: li.corwin_schultz_spread(t, F.col("high"), F.col("low")), low=0),
+        c("roll_spread_21", "liquidity", close, 21, lambda t: li.roll_spread(t, F.col("ret")), low=0),
+        c("turnover_21", "liquidity", ("volume", "shares_outstanding"), 21, lambda t: li.turnover(t, F.col("volume"), F.col("shares_outstanding")), low=0, default=False),
     ]
     return out
 
@@ -121,7 +120,7 @@ def names(family: str | None = None, default_only: bool = True) -> list[str]:
 
 def metadata(spark: SparkSession) -> DataFrame:
     """One row a contract."""
-    rows = [(c.name, c.version, c.family, list(c.inputs), c.warmup, c.low, c.high, c.default, c.identity()) for c in REGISTRY.values()]
+    rows = [(c.name, c.version, c.family, list(c.inputs), c.warmup, None if c.low is None else float(c.low), None if c.high is None else float(c.high), c.default, c.identity()) for c in REGISTRY.values()]
     return spark.createDataFrame(rows, "name string, version string, family string, inputs array<string>, warmup int, low double, high double, is_default boolean, identity string")
 
 

@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marlstone.functions.nulls import ratio
 
-P, Y = F.col("p"), F.col("y").cast("double")
-ALL = Window.partitionBy(F.lit(0))
+
+
+def _p() -> Column:
+    return F.col("p")
+
+
+def _y() -> Column:
+    return F.col("y").cast("double")
+
+
+def _all() -> WindowSpec:
+    return Window.partitionBy(F.lit(0))
 
 
 def uniform_bin(p: Column, n: int) -> Column:
@@ -28,17 +38,17 @@ def quantile_edges(df: DataFrame, n: int) -> DataFrame:
 
 def binned(df: DataFrame, n: int = 10, quantile: bool = False) -> DataFrame:
     if not quantile:
-        return df.withColumn("bin", uniform_bin(P, n))
+        return df.withColumn("bin", uniform_bin(_p(), n))
     d = df.crossJoin(F.broadcast(quantile_edges(df, n)))  # one row of n - 1 numbers
-    return d.withColumn("bin", F.size(F.filter("edges", lambda e: e <= P))).drop("edges")
+    return d.withColumn("bin", F.size(F.filter("edges", lambda e: e <= _p()))).drop("edges")
 
 
 def calibration_table(df: DataFrame, n: int = 10, quantile: bool = False) -> DataFrame:
     """Each bin's count, share, mean forecast, observed rate, gap and weighted gap; empty bins are kept."""
-    rows = binned(df, n, quantile).groupBy("bin").agg(F.count("*").alias("count"), F.avg(P).alias("mean_p"), F.avg(Y).alias("rate"))
+    rows = binned(df, n, quantile).groupBy("bin").agg(F.count("*").alias("count"), F.avg(_p()).alias("mean_p"), F.avg(_y()).alias("rate"))
     spine = df.sparkSession.range(n).select(F.col("id").cast("int").alias("bin"))
     full = spine.join(rows, "bin", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    full = full.withColumn("fraction", ratio(F.col("count").cast("double"), F.sum("count").over(ALL)))
+    full = full.withColumn("fraction", ratio(F.col("count").cast("double"), F.sum("count").over(_all())))
     gap = F.abs(F.col("mean_p") - F.col("rate"))
     return full.withColumns({"gap": gap, "weighted_gap": F.coalesce(gap * F.col("fraction"), F.lit(0.0))})
 
@@ -50,8 +60,8 @@ def expected_calibration_error(df: DataFrame, n: int = 10) -> DataFrame:
 def brier_decomposition(df: DataFrame, n: int = 10, quantile: bool = True) -> DataFrame:
     """Brier score as reliability less resolution plus uncertainty, and what binning leaves over."""
     d = binned(df, n, quantile)
-    b = d.groupBy("bin").agg(F.count("*").alias("c"), F.avg(P).alias("mp"), F.avg(Y).alias("r"), F.sum((P - Y) * (P - Y)).alias("sq"))
-    b = b.withColumns({"all": F.sum("c").over(ALL), "base": F.sum(F.col("r") * F.col("c")).over(ALL) / F.sum("c").over(ALL)})
+    b = d.groupBy("bin").agg(F.count("*").alias("c"), F.avg(_p()).alias("mp"), F.avg(_y()).alias("r"), F.sum((_p() - _y()) * (_p() - _y())).alias("sq"))
+    b = b.withColumns({"all": F.sum("c").over(_all()), "base": F.sum(F.col("r") * F.col("c")).over(_all()) / F.sum("c").over(_all())})
     w = F.col("c") / F.col("all")
     out = b.agg(F.sum(w * F.pow(F.col("mp") - F.col("r"), 2)).alias("reliability"), F.sum(w * F.pow(F.col("r") - F.col("base"), 2)).alias("resolution"), (F.max("base") * (1 - F.max("base"))).alias("uncertainty"), (F.sum("sq") / F.max("all")).alias("brier"))
     return out.withColumn("residual", F.col("brier") - (F.col("reliability") - F.col("resolution") + F.col("uncertainty")))
@@ -59,10 +69,10 @@ def brier_decomposition(df: DataFrame, n: int = 10, quantile: bool = True) -> Da
 
 def scoring_rules(df: DataFrame, eps: float = 1e-12) -> DataFrame:
     """Log loss, Brier score and its skill over the mean of the same labels."""
-    q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), P))
-    d = df.withColumn("base", F.avg(Y).over(ALL))
-    brier, reference = F.avg((P - Y) * (P - Y)), F.avg((F.col("base") - Y) * (F.col("base") - Y))
-    return d.agg(F.avg(-(Y * F.ln(q) + (1 - Y) * F.ln(1 - q))).alias("log_loss"), brier.alias("brier"), F.when(reference > eps, 1 - brier / reference).alias("skill"))
+    q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), _p()))
+    d = df.withColumn("base", F.avg(_y()).over(_all()))
+    brier, reference = F.avg((_p() - _y()) * (_p() - _y())), F.avg((F.col("base") - _y()) * (F.col("base") - _y()))
+    return d.agg(F.avg(-(_y() * F.ln(q) + (1 - _y()) * F.ln(1 - q))).alias("log_loss"), brier.alias("brier"), F.when(reference > eps, 1 - brier / reference).alias("skill"))
 
 
 def selective_frontier(df: DataFrame, key: str, coverages: tuple[float, ...] = (0.2, 0.5, 1.0)) -> DataFrame:
@@ -70,19 +80,19 @@ def selective_frontier(df: DataFrame, key: str, coverages: tuple[float, ...] = (
 
     A global order is inherent here; the row number runs over one partition of three narrow columns.
     """
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.abs(P - 0.5)), key)
-    d = df.select(key, P, Y.alias("y")).withColumns({"rn": F.row_number().over(w), "n": F.count("*").over(ALL)})
-    right = ((P >= 0.5) == (F.col("y") >= 0.5)).cast("double")
+    w = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.abs(_p() - 0.5)), key)
+    d = df.select(key, _p(), _y().alias("y")).withColumns({"rn": F.row_number().over(w), "n": F.count("*").over(_all())})
+    right = ((_p() >= 0.5) == (F.col("y") >= 0.5)).cast("double")
     d = d.withColumn("right", right).select("*", F.explode(F.array(*map(F.lit, coverages))).alias("coverage"))
-    return d.where(F.col("rn") <= F.ceil(F.col("coverage") * F.col("n"))).groupBy("coverage").agg(F.count("*").alias("n"), F.avg("right").alias("accuracy"), F.min(F.abs(P - 0.5)).alias("least_confidence"))
+    return d.where(F.col("rn") <= F.ceil(F.col("coverage") * F.col("n"))).groupBy("coverage").agg(F.count("*").alias("n"), F.avg("right").alias("accuracy"), F.min(F.abs(_p() - 0.5)).alias("least_confidence"))
 
 
 def decile_returns(df: DataFrame, score: str, value: str, key: str, n: int = 10) -> DataFrame:
     """Balanced bins of ranked scores (first come by key): statistics of the value in each."""
     d = df.where(F.col(score).isNotNull() & F.col(value).isNotNull())
-    d = d.withColumns({"rn": F.row_number().over(ALL.orderBy(score, key)), "all": F.count("*").over(ALL)})
+    d = d.withColumns({"rn": F.row_number().over(_all().orderBy(score, key)), "all": F.count("*").over(_all())})
     d = d.withColumn("bin", F.greatest(F.lit(1), F.ceil((F.col("rn") - 1) * n / F.greatest(F.col("all") - 1, F.lit(1)))).cast("int"))
-    d = d.withColumn("mean_all", F.avg(value).over(ALL))
+    d = d.withColumn("mean_all", F.avg(value).over(_all()))
     v = F.col(value)
     return d.groupBy("bin").agg(
         F.count("*").alias("count"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.stddev_samp(v).alias("std"),
@@ -92,10 +102,10 @@ def decile_returns(df: DataFrame, score: str, value: str, key: str, n: int = 10)
 
 def classification_metrics(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Confusion counts and what follows; ROC area by average ranks, average precision by steps over distinct scores."""
-    hit, yes = P >= threshold, Y >= 0.5
+    hit, yes = _p() >= threshold, _y() >= 0.5
     d = df.groupBy("p").agg(F.sum(yes.cast("long")).alias("pos"), F.sum((~yes).cast("long")).alias("neg"))
     down = Window.partitionBy(F.lit(0)).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "np": F.sum("pos").over(ALL), "nn": F.sum("neg").over(ALL)})
+    d = d.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "np": F.sum("pos").over(_all()), "nn": F.sum("neg").over(_all())})
     auc = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)) / F.max(F.col("np") * F.col("nn"))
     precision = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("np")
     curves = d.agg(auc.alias("roc_auc"), precision.alias("average_precision"))
@@ -163,12 +173,12 @@ def drift(reference: DataFrame, current: DataFrame, column: str, bins: int = 10,
     both = reference.select(x.alias("x"), F.lit(1).alias("r")).unionByName(current.select(x.alias("x"), F.lit(0).alias("r"))).where("x is not null and not isnan(x)")
     per = both.groupBy("x").agg(F.sum("r").alias("a"), F.sum(1 - F.col("r")).alias("b"))
     up = Window.partitionBy(F.lit(0)).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    e = per.withColumns({"ca": F.sum("a").over(up), "cb": F.sum("b").over(up), "na": F.sum("a").over(ALL), "nb": F.sum("b").over(ALL)})
+    e = per.withColumns({"ca": F.sum("a").over(up), "cb": F.sum("b").over(up), "na": F.sum("a").over(_all()), "nb": F.sum("b").over(_all())})
     ks = e.agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("ks"), F.max("na").alias("n_reference"), F.max("nb").alias("n_current"))
     inner = both.where("r = 1").agg(F.array_sort(F.array_distinct(F.percentile("x", [i / bins for i in range(1, bins)]))).alias("edges"))
     bin_ = F.size(F.filter("edges", lambda v: v < F.col("x")))
     c = both.crossJoin(F.broadcast(inner)).withColumn("bin", bin_).groupBy("bin").agg(F.sum("r").cast("double").alias("a"), F.sum(1 - F.col("r")).cast("double").alias("b"))
-    c = c.withColumns({"pa": F.greatest(F.col("a") / F.sum("a").over(ALL), F.lit(eps)), "pb": F.greatest(F.col("b") / F.sum("b").over(ALL), F.lit(eps))})
+    c = c.withColumns({"pa": F.greatest(F.col("a") / F.sum("a").over(_all()), F.lit(eps)), "pb": F.greatest(F.col("b") / F.sum("b").over(_all()), F.lit(eps))})
     psi = c.agg(F.sum((F.col("pb") - F.col("pa")) * F.ln(F.col("pb") / F.col("pa"))).alias("psi"))
     return ks.crossJoin(psi).withColumn("enough", (F.col("n_reference") >= least) & (F.col("n_current") >= least))  # one row each
 
@@ -180,10 +190,11 @@ def block_bootstrap(df: DataFrame, parts: dict[str, Column], statistic: Callable
     them. So only one row a date leaves the cluster, however many rows it has; draws run as tasks.
     """
     per = df.groupBy(date).agg(*(F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in parts.items())).orderBy(date).toPandas()
-    sums = per[list(parts)].to_numpy(float)
+    keys = list(parts)
+    sums = per[keys].to_numpy(float)
 
     def of(rows: np.ndarray) -> float:
-        return float(statistic(dict(zip(parts, rows.sum(0), strict=True))))
+        return float(statistic(dict(zip(keys, rows.sum(0), strict=True))))
 
     def run(batches):
         for b in batches:

@@ -82,8 +82,11 @@ def fit_ensemble(train: DataFrame, features: list[str], kinds: list[str], label:
 
 
 def walk_forward(rows: DataFrame, features: list[str], kinds: list[str], label: str = LABEL) -> DataFrame:
-    """Out-of-sample scores of every fold; ``rows`` carry ``fold`` and ``part``."""
-    out = None
+    """Out-of-sample scores of every fold; ``rows`` carry ``fold`` and ``part``.
+
+    Fitting reads the rows many times, so they are kept in memory or on disk until the result is read.
+    """
+    out, rows = None, rows.persist()
     for r in rows.select("fold").distinct().orderBy("fold").collect():
         mine = rows.where(F.col("fold") == r["fold"])
         e = fit_ensemble(mine.where("part = 'train'").drop("part"), features, kinds, label)
@@ -104,7 +107,7 @@ def gibbs(spark: SparkSession, returns: DataFrame, draws: int = 200, warmup: int
     grid = np.array([3.0, 4.0, 5.0, 7.0, 10.0, 15.0, 30.0])
     const = np.array([math.lgamma((v + 1) / 2) - math.lgamma(v / 2) - 0.5 * math.log(v * math.pi) for v in grid])
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         rng, out = np.random.default_rng([seed, int(key[0])]), []
         mu = np.array([r.mean() for _, r in data])
         var = np.array([max(r.var(), 1e-12) for _, r in data])

@@ -114,7 +114,7 @@ def _shrunk(s: SparkSession, d: str) -> DataFrame:
     wide = P.with_returns(P.region_day(s, d)).groupBy("date").pivot("ticker", names).agg(F.first("ret"))
     n, _, cov = gr.moments(wide, names)
     found, rate = gr.oas(n, cov)
-    return s.createDataFrame([(a, b, float(found[i, j]), rate) for i, a in enumerate(names) for j, b in enumerate(names)], "src string, dst string, covariance double, shrinkage double")
+    return s.createDataFrame([(a, b, float(found[i, j]), float(rate)) for i, a in enumerate(names) for j, b in enumerate(names)], "src string, dst string, covariance double, shrinkage double")
 
 
 QUERIES["a16_v11_shrinkage_covariance"] = _shrunk

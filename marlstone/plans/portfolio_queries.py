@@ -147,7 +147,7 @@ add("g01_cost_sensitivity", lambda s, d: risk.summary(bt.cost_grid(days(s, d), B
 def _delays(s: SparkSession, d: str) -> DataFrame:
     g, out = grid(s, d), []
     for k in (0, 1, 2):
-        late = g.withColumn("score", F.lag("score", k).over(bt.TICKER)) if k else g
+        late = g.withColumn("score", F.lag("score", k).over(bt.by_ticker())) if k else g
         w = bt.held_weights(late, g, EQUAL)
         out.append(bt.daily(w, g, EQUAL).withColumn("delay", F.lit(k)))
     rows = out[0].unionByName(out[1]).unionByName(out[2])

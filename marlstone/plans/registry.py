@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import diagnostic_queries, feature_queries, matrix_queries, portfolio_queries, section_queries
+from marlstone.plans import diagnostic_queries, feature_queries, matrix_queries, portfolio_queries, section_queries, storage_queries
 from marlstone.session import prepare
 
-_MODULES = (feature_queries, section_queries, portfolio_queries, diagnostic_queries, matrix_queries)
+_MODULES = (feature_queries, section_queries, portfolio_queries, diagnostic_queries, matrix_queries, storage_queries)
 Query = Callable[[SparkSession, str], DataFrame]
 
 

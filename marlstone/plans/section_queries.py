@@ -18,13 +18,12 @@ from marlstone.plans.feature_queries import div, lag
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-C = F.col("close")
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brand panel with 5- and 20-bar momentum."""
     t = Trail(P.with_returns(P.brand_day(spark, sf_dir)))
-    return t.put(mom=te.momentum(t, C, 20), rev=-te.simple_return(t, C, 5)).result()
+    return t.put(mom=te.momentum(t, F.col("close"), 20), rev=-te.simple_return(t, F.col("close"), 5)).result()
 
 
 _SCORED = f"select *, {div('close', lag('close', 20))} - 1 as mom, -({div('close', lag('close', 5))} - 1) as rev from ({P.returns_sql(P.BRAND_SQL)})"
@@ -53,7 +52,7 @@ add("x03_cross_sectional_demean", lambda s, d: _round(_scored(s, d).withColumn("
 
 def _targets(s: SparkSession, d: str) -> DataFrame:
     t = Trail(P.region_day(s, d))
-    return _round(t.put(**xs.forward_targets(t, C, 5)).result(), K, ["target_forward_return", "target_direction"])
+    return _round(t.put(**xs.forward_targets(t, F.col("close"), 5)).result(), K, ["target_forward_return", "target_direction"])
 
 
 _lead = "lead(close, 5) over (partition by ticker order by date) / nullif(close, 0) - 1"
@@ -63,7 +62,7 @@ add("x06_baseline_momentum", lambda s, d: _round(_scored(s, d).withColumn("score
 
 def _crossover(s: SparkSession, d: str) -> DataFrame:
     t = Trail(P.region_day(s, d))
-    fast, slow = t.series(te.ma_ratio(t, C, 50)), t.series(te.ma_ratio(t, C, 200))
+    fast, slow = t.series(te.ma_ratio(t, F.col("close"), 50)), t.series(te.ma_ratio(t, F.col("close"), 200))
     return t.put(score=F.coalesce(F.signum(fast - slow), F.lit(0.0))).result().select("date", "ticker", "score")
 
 
