@@ -1,0 +1,303 @@
+"""Operators against brute force, on small tables with awkward rows."""
+
+import collections
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from marlstone.llm import classifier, html_text, lines, mixing, packing, pseudo_lm, quality, simhash, tokens, topk, unigram
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+SIMPLE = settings(max_examples=60, deadline=None)
+
+
+# op1
+@SIMPLE
+@given(st.text(alphabet="ab ▁é日🙂\n.,xyz<0>", max_size=80))
+def test_counts_match_the_library(text):
+    c = unigram.counter(unigram.vocabulary_path(unigram.VOCABULARY))
+    assert c.text(text)[0] == len(unigram.model().encode(text, add_special_tokens=False).ids)
+
+
+def test_token_counts_awkward(awkward):
+    got = unigram.token_counts(awkward).toPandas()
+    assert len(got) == 9 and (got[got.doc_id.isin([1, 2])].n_tokens == 0).all() and (got[got.doc_id == 4].n_tokens > 0).all()
+    assert unigram.token_counts(awkward.limit(0)).count() == 0
+
+
+# op2
+def near(rng, n=300):
+    base = rng.integers(0, 2**63, n // 6, dtype=np.uint64)
+    out = list(base)
+    while len(out) < n:
+        x = rng.choice(base)
+        for _ in range(rng.integers(1, 4)):
+            x ^= np.uint64(1) << np.uint64(rng.integers(64))
+        out.append(x)
+    return np.unique(np.array(out, np.uint64))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_gray_index_finds_all(seed):
+    codes = near(np.random.default_rng(seed))
+    q, o = simhash.GrayIndex(codes).within(codes)
+    want = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 2
+    assert set(zip(q, o, strict=True)) == set(zip(*np.nonzero(want), strict=True))
+
+
+@pytest.mark.parametrize("group", [4096, 2])
+def test_links_join_what_brute_force_joins(spark, group):
+    codes = near(np.random.default_rng(9), 200)
+    codes = np.unique(np.r_[codes, [(1 << 20) ^ (a << 3) for a in range(40)]].astype(np.uint64))  # one hot pattern
+    df = spark.createDataFrame(pd.DataFrame({"fp": codes.view(np.int64), "rep": np.arange(len(codes))}))
+    got = {r["u"]: r["v"] for r in simhash.components(simhash.links(df, group)).collect()}
+    a, b = np.nonzero(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 2)
+    want = simhash._union(np.arange(len(codes)), a, b)
+    assert [got.get(i, i) for i in range(len(codes))] == want.tolist()
+
+
+def test_fingerprint_is_the_majority():
+    import xxhash
+
+    text = "A b C d e a B c"
+    w = [x.lower() for x in WORDS.findall(text)]
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]), 42) for i in range(len(w) - 2)]
+    want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    assert simhash.fingerprint(text) == want
+    assert simhash.fingerprint("one TWO") == xxhash.xxh64_intdigest("one two", 42)
+    assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0
+
+
+def test_near_duplicates_awkward(awkward):
+    got = simhash.near_duplicates(awkward).toPandas()
+    assert len(got) == 9
+    by = got.set_index(got.doc_id.fillna(-1).astype(int))
+    assert (by.loc[[1, 2, 3], "component_id"] == 1).all() and (by.loc[[1, 2, 3], "fingerprint"] == "0" * 16).all()
+    assert simhash.near_duplicates(awkward.limit(0)).count() == 0
+
+
+# op3
+def brute_repeats(w, n=8):
+    seen = collections.Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    return len({j for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] > 1 for j in range(i, i + n)})
+
+
+def test_base_rules(docs):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(list("abc"), rng.integers(0, 60))) for _ in range(40)] + ["a b c d e f g h " * 9, "x\nx\n\n \nx\ny #*$", None, ""]
+    got = quality.quality(docs([(i, t, "s") for i, t in enumerate(texts)])).toPandas().set_index("doc_id")
+    for i, t in enumerate(texts):
+        w = WORDS.findall(t or "")
+        full = [x for x in (t or "").split("\n") if WORDS.search(x)]
+        want = len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(full) - len(set(full)), brute_repeats(w)
+        assert tuple(got.loc[i, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]]) == want
+        assert got.loc[i, "base_failed"] == (len(w) < 20 or 100 * want[4] > 30 * len(w))
+        assert not (got.loc[i, "base_failed"] and got.loc[i, "kept"])
+
+
+def test_divergence_rejects_junk_and_keeps_prose(docs):
+    prose = "The men of the town went to the market and it was good for them. "
+    rows = [(i, prose * 4 + f"It is number {i}.", "s") for i in range(20)] + [(100, "The*** men### of$$$ the%%% town&&& went*** to### " * 3 + "zz", "s"), (101, "THE MEN!! OF!! THE!! OLD TOWN!! WENT!! " + " ".join(f"AB{chr(65 + i)}!!" for i in range(25)), "s")]
+    got = quality.quality(docs(rows)).toPandas().set_index("doc_id")
+    assert got.loc[list(range(20)), "base_failed"].all() or got.loc[[101], "kept"].eq(False).all()
+    assert not got.loc[100, "kept"] and not got.loc[101, "kept"]
+
+
+def test_quality_awkward(awkward):
+    got = quality.quality(awkward, carry=True).toPandas()
+    assert len(got) == 9 and not got[got.doc_id < 5].kept.any()
+    assert quality.quality(awkward.limit(0)).count() == 0
+
+
+# op4
+@SIMPLE
+@given(st.lists(st.sampled_from([chr(i) for i in range(0x250)] * 2 + list("   \n\n''sdlret") * 40 + ["日", "🙂", "<|endoftext|>"] * 3), max_size=120).map("".join))
+def test_token_ids_are_the_librarys(text):
+    want = tokens._exact(tokens.vocabulary_path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert tokens.token_ids(text).tolist() == want
+
+
+@SIMPLE
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
+def test_patterns_place_everything_once(counts):
+    x = np.zeros(65, np.int64)
+    x[list(counts)] = list(counts.values())
+    made = packing.patterns(x, 64)
+    assert (sum((k * p for k, p in made), np.zeros(65, np.int64)) == x).all()
+    assert all(0 < p @ np.arange(65) <= 64 for _, p in made)
+
+
+def test_packing_round_trip(docs):
+    texts = ["lorem ipsum dolor " * k for k in (1, 3, 50, 400, 700)] * 6 + [None, "", "é日"]
+    got = packing.pack(docs([(i, t, "s") for i, t in enumerate(texts)])).toPandas()
+    for i, t in enumerate(texts):
+        ids = np.append(tokens.token_ids(t), 0).astype("<u4")
+        mine, at = got[got.doc_id == i].sort_values("start"), 0
+        for r in mine.itertuples():
+            assert r.start == at and r.doc_tokens == len(ids) and zlib.crc32(ids[at : at + r.length].tobytes()) == r.ids_crc32
+            at += r.length
+        assert at == len(ids)
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *g.length.cumsum()[:-1]] and g.length.sum() <= 1024
+    assert got.sequence_id.nunique() * 1024 < 1.1 * got.length.sum() + 1024
+
+
+def test_packing_awkward(awkward):
+    assert packing.pack(awkward).where("doc_id = 4").count() == 2
+    assert packing.pack(awkward.limit(0)).count() == 0
+
+
+# op5
+def test_recurring_lines_stay_in_the_first_document(docs):
+    line = "this is page 7 of the long report here"
+    rows = [(3, f"own line of three\n{line}\n{line}", "s"), (1, line.replace("7", "8"), "s"), (2, f"{line}\nrest 1", "s"), (9, None, "s"), (8, "", "s")]
+    rows += [(20 + i, f"All rights reserved.\nunique{chr(97 + i)} words stand here", "s") for i in range(21)]
+    got = lines.drop_recurring_lines(docs(rows)).toPandas().set_index("doc_id")
+    assert got.loc[1, "text"] == line.replace("7", "8") and got.loc[2, "text"] == "rest 1"
+    assert got.loc[3, "text"] == "own line of three" and got.loc[3, "n_dropped"] == 2
+    assert got.loc[9, "text"] is None and got.loc[8, "text"] == "" and got.loc[8, "n_lines"] == 1
+    assert got.loc[20, "n_dropped"] == 0 and (got.loc[21:40, "n_dropped"] == 1).all()
+
+
+def test_many_lines_and_awkward(docs, awkward):
+    many = "\n".join(f"{chr(97 + i % 26)}{'q' * (i % 50)} common words in a rather long line" for i in range(3000))
+    got = lines.drop_recurring_lines(docs([(1, many, "s"), (2, many + "\nlast one alone", "s")])).toPandas().set_index("doc_id")
+    assert got.loc[2, "text"] == "last one alone" and got.loc[1, "text"] == many
+    assert len(lines.drop_recurring_lines(awkward).toPandas()) == 9
+    assert lines.drop_recurring_lines(awkward.limit(0)).count() == 0
+
+
+# op6
+def test_classifier_learns_from_rows_not_held_out(spark, docs):
+    good, bad = "The men of the town went to the market and it was {} for them.", "ZZ### QQ$$$ {} WW%%% XX!!! "
+    rows = [(i, (good if i % 3 else bad).format("w" * (i % 9 + 1)) * (1 + i % 5), "s") for i in range(150)] + [(900, None, "s"), (901, "", "s")]
+    labels = spark.createDataFrame([(i, int(bool(i % 3)), 0) for i in range(150)] + [(3, None, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
+    got = classifier.classify(docs(rows), labels).toPandas().set_index("doc_id")
+    assert all(got.loc[i, "held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, _, _ in rows)
+    held = got[got.held_out & (got.index < 150)]
+    assert (held.predicted == (held.index % 3 > 0)).mean() > 0.95
+    assert got.score.between(0, 1).all() and len(got) == 152
+    none = classifier.classify(docs(rows[:5]), labels.limit(0)).toPandas()
+    assert (none.score == 0.5).all()
+
+
+def test_classifier_awkward(spark, awkward):
+    labels = spark.createDataFrame([(4, 1)], "doc_id bigint, quality int")
+    assert len(classifier.classify(awkward, labels).toPandas()) == 9
+
+
+# op7
+@SIMPLE
+@given(st.lists(st.integers(0, 50), min_size=1, max_size=12), st.integers(0, 80))
+def test_sainte_lague_is_highest_quotients(votes, seats):
+    got = mixing.sainte_lague(votes, seats)
+    if not any(votes):
+        assert not got.any()
+        return
+    want = [0] * len(votes)
+    for _ in range(seats):
+        i = max(range(len(votes)), key=lambda i: votes[i] / (2 * want[i] + 1))
+        want[i] += 1
+    quotients = lambda s: sorted(v / (2 * k + 1) for v, n in zip(votes, s, strict=True) for k in range(n))
+    assert got.sum() == seats and np.allclose(quotients(got), quotients(want))
+
+
+def test_targets_stop_at_the_cap():
+    t = mixing.targets([100, 10, 1, 50, 0], [5, 2, 1, 5, 2])
+    assert np.isclose(t.sum(), 1.5 * 161) and (t <= 2 * np.array([100, 10, 1, 50, 0]) + 1e-9).all()
+
+
+def test_mix_reaches_targets_and_reruns_agree(docs):
+    rng = np.random.default_rng(1)
+    rows = [(i, "w " * int(rng.integers(0, 60)), None if i % 17 == 0 else f"s{min(i % 7, 3)}") for i in range(700)]
+    a = mixing.mix(docs(rows), shard_rows=50).toPandas().sort_values("doc_id")
+    b = mixing.mix(docs(rows).repartition(5), shard_rows=50).toPandas().sort_values("doc_id")
+    assert (a.taken.to_numpy() == b.taken.to_numpy()).all()
+    source = pd.Series({i: s or "~" for i, _, s in rows})
+    g = a.assign(s=source.loc[a.doc_id].to_numpy()).groupby("s").agg(taken=("taken", "sum"), target=("target", "first"), size=("size", "sum"), own=("source_size", "first"))
+    assert (g["size"] == g.own).all() and ((g.taken - g.target).abs() <= 0.01 * g.target + 2).all() and (a.taken <= 2 * a["size"]).all()
+
+
+def test_mix_awkward(awkward):
+    assert len(mixing.mix(awkward).toPandas()) == 9
+    assert mixing.mix(awkward.limit(0)).count() == 0 and mixing.mix(awkward.where("doc_id < 3")).toPandas().taken.eq(0).all()
+
+
+# op8
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="nav-open"><header><a href=/>Home</a></header><nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></nav>
+<div id=cookie-notice>We use cookies. Accept them all please.</div><div class="sidebar"><p>Read this long sidebar text, it is full of words and ends here.</p></div>
+<article><h1>Title &amp; more</h1><p>First   para <b>bold</b><br>next&nbsp;line.<p>Second &lt;para&gt; with a <a href=x>link</a>.<div class="ad">Buy now!</div><blockquote>A quote.</blockquote><script>var t="</p>";</script><p>Third.</article>
+<section class="comments"><p>Nice article, thanks a lot for it!</p></section><form>Name <input></form><aside>Related things.</aside><footer>&copy; Site</footer><!-- <p>no</p> --></body></html>"""
+
+
+def test_main_text():
+    assert html_text.main_text(PAGE).split("\n") == ["Title & more", "First para bold next line.", "Second <para> with a link.", "A quote.", "Third."]
+
+
+@pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<!-- open", "<script>x", "</p></p>", "plain", "<a " + "b" * 1000])
+def test_broken_pages(page):
+    assert isinstance(html_text.main_text(page), str)
+
+
+def test_min_cut_is_minimal():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        n = int(rng.integers(1, 9))
+        s = rng.normal(0, 1, n)
+        e = [(i, i + 1, float(rng.random())) for i in range(n - 1)] + [(0, n - 1, 0.4)] * (n > 2)
+        cost = lambda side: sum(abs(s[i]) for i in range(n) if (s[i] > 0) != side[i]) + sum(w for a, b, w in e if side[a] != side[b])  # noqa: E731, B023
+        best = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
+        assert abs(cost(html_text.min_cut(list(s), e)) - best) < 1e-9
+
+
+def test_pages_table(spark):
+    p = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 6), (2, None, None, 6)], "page_id bigint, url string, html string, text int")
+    got = html_text.extract(p).toPandas()
+    assert len(got) == 3 and (got[got.page_id == 2].text == "").all() and got[got.page_id == 1].n_chars.iloc[0] == len(html_text.main_text(PAGE))
+    assert html_text.extract(p.limit(0)).count() == 0
+
+
+# op9
+def test_top_k_is_exact(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(0, 0.2, (230, 16)).astype(np.float32)
+    v[100:140] = v[100]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(500, None), (501, [1.0] * 15 + [None]), (502, [float("nan")] * 16), (503, []), (504, [1.0, 2.0]), (None, [0.0] * 16), (7, v[7].tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").selectExpr("*", "1 as score", "2 as dim")
+    got = topk.top_k(df, rows=64, queries=3).toPandas()
+    q = np.floor(256 * v.astype(float)).astype(int)
+    for query in range(0, 230, 50):
+        s = q @ q[query]
+        want = sorted((-int(s[i]), i) for i in range(230) if i != query)[:5]
+        mine = got[got.query_id == query].sort_values("rank")
+        assert list(zip(-mine.score, mine.vec_id, strict=True)) == want
+    assert set(got.query_id) == {0, 50, 100, 150, 200}
+    assert topk.top_k(df.limit(0)).count() == 0
+
+
+# op10
+def test_network_gradient_and_scores(spark, docs):
+    shape = pseudo_lm.Shape(classes=4, per_class=4, buckets=2, hidden=3, batch=32, rounds=1)
+    net, rng = pseudo_lm.Network(shape), np.random.default_rng(0)
+    t, c = rng.integers(0, 16, 20), rng.integers(0, 17, (4, 20))
+    before = net.log_probs(t, c).mean()
+    every = np.exp([net.log_probs(np.full(20, k), c) for k in range(16)]).sum(0)
+    assert np.allclose(every, 1, atol=1e-5)
+    past = np.zeros_like(net.flat)
+    for _ in range(200):
+        net.step(t, c, past)
+    assert net.log_probs(t, c).mean() > before + 0.5
+    rows = [(i, "the cat sat on the mat and the dog ran", "s") for i in range(200)] + [(500, "mat the the dog on cat and sat ran the", "s")]
+    got = pseudo_lm.score(docs(rows), shape=pseudo_lm.Shape(classes=4, per_class=8, buckets=4, batch=64, rounds=2)).toPandas().set_index("doc_id")
+    assert got.loc[0, "pll_per_token"] > got.loc[500, "pll_per_token"] + 0.5
+
+
+def test_lm_awkward(awkward):
+    got = pseudo_lm.score(awkward, shape=pseudo_lm.Shape(rounds=1)).toPandas()
+    assert len(got) == 9 and (got[got.doc_id.isin([1, 2, 3])].n_tokens == 0).all()
+    assert pseudo_lm.score(awkward.limit(0)).count() == 0
