@@ -25,9 +25,9 @@ def estimator(kind: str, features: list[str], label: str = LABEL, seed: int = 7)
     raw = VectorAssembler(inputCols=features, outputCol="__raw", handleInvalid="error")
     scale = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True)
     made = {
-        "logistic": lambda: [scale, LogisticRegression(featuresCol="__x", labelCol=label, regParam=1e-3)],
+        "logistic": lambda: [scale, LogisticRegression(featuresCol="__x", labelCol=label, regParam=1e-3, maxIter=25)],
         "ridge": lambda: [scale, LinearRegression(featuresCol="__x", labelCol=label, regParam=1e-2, elasticNetParam=0.0)],
-        "random_forest": lambda: [RandomForestClassifier(featuresCol="__raw", labelCol=label, numTrees=20, maxDepth=5, seed=seed)],
+        "random_forest": lambda: [RandomForestClassifier(featuresCol="__raw", labelCol=label, numTrees=10, maxDepth=4, seed=seed)],
         "gbt": lambda: [GBTClassifier(featuresCol="__raw", labelCol=label, maxIter=15, maxDepth=3, seed=seed)],
     }
     if kind not in made:
@@ -71,7 +71,7 @@ def fit_ensemble(train: DataFrame, features: list[str], kinds: list[str], label:
     for k in kinds:
         m = models[k] = estimator(k, features, label).fit(fit)
         scored = VectorAssembler(inputCols=["__l"], outputCol="__lx").transform(probability(m, cal).withColumn("__l", logit(F.col("p"))))
-        lr = LogisticRegression(featuresCol="__lx", labelCol=label).fit(scored)
+        lr = LogisticRegression(featuresCol="__lx", labelCol=label, maxIter=25).fit(scored)
         platt[k] = (float(lr.coefficients[0]), float(lr.intercept))
         p = 1 / (1 + F.exp(-(platt[k][0] * logit(F.col("p")) + platt[k][1])))
         q = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), p))

@@ -123,7 +123,7 @@ QUERIES["a16_v11_shrinkage_covariance"] = _shrunk
 # models
 def _modelled(s: SparkSession, d: str) -> DataFrame:
     rows = fe.build_features(region(s, d)).select(*K, "f_mom_63", "f_rsi_14", "f_vol_21", "f_cs_rank_reversal_5", "target_direction")
-    return mo.walk_forward(sl.walk_forward(rows, 2, 60, 2, 100), fe.feature_columns(rows), ["logistic", "random_forest"])
+    return mo.walk_forward(sl.walk_forward(rows, 1, 60, 2, 100), fe.feature_columns(rows), ["logistic", "random_forest"])
 
 
 QUERIES["v04_walk_forward_train"] = lambda s, d: _modelled(s, d).select(*K, "fold", "score", "candidate_logistic", "candidate_random_forest", "target_direction")
