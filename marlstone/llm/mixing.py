@@ -60,7 +60,7 @@ def sainte_lague(votes: Sequence[float], seats: int) -> np.ndarray:
         given[b] += 1
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, total: float = TOTAL, epochs: int = EPOCHS, seed: int = 7, shard_rows: int = 20_000, max_shards: int = 4096, blocks: int = 10_000) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, total: float = TOTAL, epochs: int = EPOCHS, seed: int = 7, shard_rows: int = 2_000, max_shards: int = 4096, blocks: int = 10_000) -> DataFrame:
     """One row per input row: id, ``size`` (words), ``source_size``, ``target`` and ``taken`` (words, repeats counted).
 
     Sources in code-point order, null last, take ``weights`` in turn. Null and empty texts have size 0 and are
