@@ -1,14 +1,20 @@
 """The pipeline's stages against what they promise, on a small table."""
 
+import numpy as np
 import pandas as pd
 
 import corpus_pipeline as cp
 
 
 def corpus(spark, tmp_path):
-    prose = "The men of the {0} town went to the old market and it was good for them all in the end of {0}."
-    names = ["north", "south", "little", "green", "upper", "lower", "white", "black", "royal", "stone"]
-    rows = [(i, "\n".join(prose.format(names[(i + k) % 10] + names[(i * 3 + k) % 10] + chr(97 + i % 26) * (k + 1)) for k in range(4)), "en", f"s{i % 3}", 1) for i in range(60)]
+    rng = np.random.default_rng(5)
+    plain = ["".join(rng.choice(list("abcdefghilmnoprstu"), rng.integers(3, 9))) for _ in range(400)]
+    common = "the of and to in a is that for it was on are as with".split()
+
+    def line():
+        return " ".join(rng.choice(common if k % 2 else plain) for k in range(14)).capitalize() + "."
+
+    rows = [(i, "\n".join(line() for _ in range(5)), "en", f"s{i % 3}", 1) for i in range(60)]
     rows += [(100 + i, rows[0][1], "en", "s0", 1) for i in range(5)] + [(200, "zz### " * 40, "en", "s1", 1), (201, None, "en", "s1", 1)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
     return rows
