@@ -297,6 +297,20 @@ def test_network_gradient_and_scores(spark, docs):
     assert got.loc[0, "pll_per_token"] > got.loc[500, "pll_per_token"] + 0.5
 
 
+def test_each_word_outside_the_vocabulary_has_its_own_probability(docs):
+    times = {f"w{chr(97 + i % 26)}{i}": 1 + i // 4 for i in range(100)}
+    rows = [(i, w, "s") for i, w in enumerate(w for w, n in times.items() for _ in range(n))]
+    shape = pseudo_lm.Shape(classes=4, per_class=8, buckets=4, batch=64, rounds=1)
+    got = pseudo_lm.score(docs(rows), shape=shape).toPandas().set_index("doc_id")
+    pll = {w: got.loc[i, "pll"] for i, w, _ in rows}
+    rare = sorted(times, key=lambda w: (-times[w], w))[shape.known :]
+    first: dict = {}
+    for w in rare:
+        v = first.setdefault(zlib.crc32(w.encode()) % 4, w)
+        assert np.isclose(pll[w] - pll[v], np.log(times[w] / times[v]))
+    assert len(first) == 4 and np.isclose(np.exp(list(pll.values())).sum(), 1, atol=1e-4)
+
+
 def test_lm_awkward(awkward):
     got = pseudo_lm.score(awkward, shape=pseudo_lm.Shape(rounds=1)).toPandas()
     assert len(got) == 9 and (got[got.doc_id.isin([1, 2, 3])].n_tokens == 0).all()
