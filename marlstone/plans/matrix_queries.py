@@ -69,8 +69,8 @@ ORACLES["f13_channel_builders"] = _round_sql("date, ticker", ["volatility", "lv"
 QUERIES["f14_spectral_features"] = lambda s, d: sp.build_spectral(channels(s, d), CHANNELS, wavelet=("return",))
 QUERIES["f16_time_frequency_tensor"] = lambda s, d: sp.tensor(channels(s, d).where("ticker = 'R0'"), {"return": "ret"}).select(*K, "channel", "observed", F.size("surface").alias("frequencies"))
 QUERIES["a14_tensor_normaliser"] = lambda s, d: sp.normalise_tensor(sp.tensor(channels(s, d).where("ticker = 'R0' and date < date'1996-01-01'"), {"return": "ret"}), "1995-01-01", "1995-09-30").groupBy("channel", "f", "k").agg(F.count("z").alias("n"))
-QUERIES["e01_emd"] = lambda s, d: de.decompose(region(s, d).where("ticker = 'R0'").limit(400), "ret", "emd")
-QUERIES["e04_vmd"] = lambda s, d: de.decompose(region(s, d).where("ticker = 'R0'").limit(400), "ret", "vmd", modes=3)
+QUERIES["e01_emd"] = lambda s, d: de.decompose(region(s, d), "ret", "emd")
+QUERIES["e04_vmd"] = lambda s, d: de.decompose(region(s, d), "ret", "vmd", modes=3)
 QUERIES["e08_representations"] = lambda s, d: de.representations(region(s, d), "ret", "wavelet", stride=21)
 
 # splits, sequences

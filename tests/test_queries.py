@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from marlstone.plans import registry
+from marlstone.plans import panels, registry
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
@@ -49,5 +49,12 @@ def test_query_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("name", ["e01_emd", "e04_vmd"])
+def test_decompositions_cover_every_series(spark, name):
+    want = panels.with_returns(panels.region_day(spark, SF)).where("ret is not null").select("date", "ticker").collect()
+    got = QUERIES[name](spark, SF).where("mode = -1").select("date", "ticker").collect()
+    assert sorted(got) == sorted(want) and len({r["ticker"] for r in got}) == 5
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES) and len(ORACLES) > 100 and math.isfinite(len(QUERIES))
