@@ -172,6 +172,16 @@ def test_many_lines_and_awkward(docs, awkward):
     assert lines.drop_recurring_lines(awkward.limit(0)).count() == 0
 
 
+def test_short_lines_and_wrapped_passages(docs):
+    passage = "the old mill by\nthe river stood\nempty for\nforty years"
+    rows = [(i, f"Les.\nonly{chr(97 + i)} here", "s") for i in range(20)] + [(100 + i, f"12\nown{chr(97 + i)} text", "s") for i in range(20)]
+    rows += [(200, f"aa bb\n{passage}\ncc dd", "s"), (201, f"ee ff\n{passage}\ngg hh", "s"), (202, "the old mill by\nitself", "s"), (203, "13\n12 14", "s")]
+    got = lines.drop_recurring_lines(docs(rows)).toPandas().set_index("doc_id").sort_index()
+    assert got.loc[0, "n_dropped"] == 0 and (got.loc[1:19, "n_dropped"] == 1).all() and got.loc[1, "text"] == "onlyb here"
+    assert got.loc[100, "n_dropped"] == 0 and (got.loc[101:119, "n_dropped"] == 1).all()
+    assert got.loc[200, "n_dropped"] == 0 and got.loc[201, "text"] == "ee ff\ngg hh" and got.loc[[202, 203], "n_dropped"].eq(0).all()
+
+
 # op6
 def test_classifier_learns_from_rows_not_held_out(spark, docs):
     good, bad = "The men of the town went to the market and it was {} for them.", "ZZ### QQ$$$ {} WW%%% XX!!! "
