@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,10 +22,15 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); own one where unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset on a local master, as in tests, a folder of the warehouse is set; on a cluster that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = os.path.join(tempfile.gettempdir(), "marlstone-shared")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") + "/shared"
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -40,6 +43,31 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, spread: str, small: int, how: str = "inner", salts: int = 16) -> DataFrame:
+    """``rows`` joined with a written ``table`` that has one row a ``key``.
+
+    A table of at most ``small`` rows is broadcast; its rows must be of fixed width. For a larger one the rows of
+    each key are spread over salts by the column ``spread``, so that a hot key is no single task.
+    """
+    if table.limit(small + 1).count() <= small:
+        return rows.join(F.broadcast(table), key, how)
+    (salt,) = fresh(rows, "salt")
+    salted = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    return rows.join(salted, [key, salt], how).drop(salt)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what a Python worker holds at once: few rows to an Arrow batch, since texts may be long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
