@@ -64,4 +64,21 @@ QUERIES = {
     "op9_top_k": op9_top_k,
     "op10_lm_scoring": op10_lm_scoring,
 }
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL with the rows of the query of the same name.
+ORACLES: dict[str, str] = {
+    "op9_top_k": """
+with sound as (
+  select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), pairs as (
+  select q.rid, q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+  from sound q join sound c on q.rid <> c.rid and len(q.v) = len(c.v)
+  where q.vec_id % 50 = 0
+)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by rid order by score desc, vec_id) as rank from pairs)
+where rank <= 5
+""",
+}

@@ -1,19 +1,17 @@
 """Exact top-k by inner product over an impact-ordered, score-at-a-time index.
 
-A block of vectors is indexed by posting segments: a segment holds, for one impact level, the dimensions and
-vectors whose component has that quantised size. Segments are processed by descending impact for a block of
-queries at once. After each level the rest of a vector is known by its norm, so that accumulated score plus
-and minus that norm times the query's (Cauchy-Schwarz) bound its true score. Processing stops only when these
-bounds prove that few vectors can be among the best; those are rescored exactly in integers.
-
-Blocks have a fixed number of rows: each pair of a vector block and a query block is one unit of work, and
-only the best k of each go on.
+A block of vectors is held as postings: for each dimension and impact level the positions of the vectors whose
+component has that quantised size, and its sign. For a block of queries segments are read by descending impact, a
+level at a time; reading one adds impact times the query's weight to its vectors' scores and to no other. What of
+a vector is still unread (and the error of quantising) is known by its norm, so that the score plus and minus that
+norm times the query's bounds the true one (Cauchy-Schwarz). A query stops reading once these bounds prove that
+few vectors can be among its best; only those are rescored, exactly, in integers. Without such proof it reads all.
+
+A block of vectors is indexed once for up to ``CHUNK`` blocks of queries; only the best k of each pair go on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -21,101 +19,131 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import small_batches, written
 
-K, SCALE, EVERY, LEVELS = 5, 256, 50, 8
-ROWS, QUERIES = 8192, 512
-#: Larger quantised components take no part: scores of any usual width stay within 64 bits.
-LIMIT = 1 << 26
+K, SCALE, EVERY, LEVELS = 5, 256, 50, 32
+ROWS, QUERIES, CHUNK = 8192, 256, 64
+#: Rescoring costs less than reading on when only one vector in so many is still possible.
+FEW = 4
+_LONG = np.iinfo(np.int64)
 
 
 class ImpactIndex:
-    """Posting segments of a block of integer vectors, by descending impact level."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS):
-        self.ids, self.vectors = ids, vectors
-        size = np.abs(vectors)
-        self.step = max(1, -(-int(size.max(initial=0) + 1) // levels))
-        level = size // self.step
-        rest = vectors.astype(float)
-        self.segments = []
-        for at in range(int(level.max(initial=0)), -1, -1):
-            held = level == at
-            impact = at * self.step + (self.step - 1) / 2  # the middle of the level
-            posting = np.where(held, np.sign(vectors) * impact, 0.0)
-            rest = rest - posting
-            self.segments.append((posting, np.sqrt((rest * rest).sum(1))))
-
-    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int = K, few: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query position, vec_id, score) of each query's k best rows with another id; ties to smaller ids."""
-        weight = queries.astype(float)
+    """Posting segments of a block of vectors (integers held as doubles), by descending impact level."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS):
+        self.rows, self.ids, self.vectors = rows, ids, vectors
+        self.top = float(np.abs(vectors).max(initial=0)) or 1.0
+        rest = vectors / self.top
+        level = np.minimum((np.abs(rest) * levels).astype(np.int64), levels - 1)
+        self.segments, self.read, self.size = [], 0, vectors.size
+        for at in range(levels - 1, -1, -1):
+            impact, postings = (at + 0.5) / levels, []  # the middle of the level
+            for d in range(vectors.shape[1]):
+                held = np.nonzero(level[:, d] == at)[0]
+                if held.size:
+                    value = np.sign(rest[held, d]) * impact
+                    rest[held, d] -= value
+                    postings.append((d, held, value))
+            self.segments.append((postings, np.sqrt((rest * rest).sum(1))))
+
+    def best(self, query_rows: np.ndarray, queries: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query position, vec_id, score) of each query's k best rows but its own; ties to smaller ids."""
+        n, found = len(self.ids), []
+        top = np.maximum(np.abs(queries).max(axis=1, initial=0), 1.0)
+        weight = queries / top[:, None]
         norm = np.sqrt((weight * weight).sum(1))
-        score = np.zeros((len(queries), len(self.ids)))
-        own = query_ids[:, None] == self.ids[None, :]
-        possible = ~own
-        for posting, rest in self.segments:
-            score += weight @ posting.T
-            slack = np.outer(norm, rest) * (1 + 1e-9) + 1e-6 * (1 + norm[:, None])
-            if len(self.ids) > k:
-                low = np.where(own, -np.inf, score - slack)
-                proof = np.partition(low, len(self.ids) - k, axis=1)[:, len(self.ids) - k]
-                possible = ~own & (score + slack >= proof[:, None])
-            if possible.sum() <= few * k * len(queries):
+        score, open_ = np.zeros((n, len(queries))), np.arange(len(queries))
+        own = self.rows[:, None] == query_rows[None, :]
+        for postings, rest in self.segments:
+            if not open_.size:
                 break
-        found = []
-        for q in range(len(queries)):
-            at = np.nonzero(possible[q])[0]
-            exact = self.vectors[at] @ queries[q]
-            first = np.lexsort((self.ids[at], -exact))[:k]
-            found.append((np.full(len(first), q), self.ids[at][first], exact[first]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+            for d, held, value in postings:
+                score[held] += value[:, None] * weight[None, open_, d]
+                self.read += held.size * open_.size
+            slack = np.outer(rest, norm[open_]) * (1 + 1e-9) + 1e-9 * (1 + norm[open_])
+            possible = ~own[:, open_]
+            if n > k:
+                low = np.where(possible, score - slack, -np.inf)
+                possible &= score + slack >= np.partition(low, n - k, axis=0)[n - k]
+            done = possible.sum(0) <= max(4 * k, n // FEW)
+            found += [(q, np.nonzero(possible[:, i])[0]) for i, q in enumerate(open_) if done[i]]
+            if not done.all():
+                last = possible[:, ~done], open_[~done]
+            open_, score = open_[~done], score[:, ~done]
+        if open_.size:  # no proof for few: all that are still possible
+            found += [(q, np.nonzero(last[0][:, i])[0]) for i, q in enumerate(last[1])]
+        out = [(q, *self._exact(queries[q], at, k)) for q, at in found]
+        return tuple(np.concatenate(x) for x in zip(*((np.full(len(i), q), i, s) for q, i, s in out), strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+    def _exact(self, query: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.top * np.abs(query).max(initial=0) * max(1, len(query)) < 2.0**62:
+            score = self.vectors[at].astype(np.int64) @ query.astype(np.int64)
+            first = np.lexsort((self.ids[at], -score))[:k]
+            return self.ids[at][first], score[first]
+        wide = [int(x) for x in query]  # integers of any size
+        scores = [sum(int(x) * y for x, y in zip(v, wide, strict=True)) for v in self.vectors[at]]
+        first = sorted(range(len(at)), key=lambda i: (-scores[i], self.ids[at[i]]))[:k]
+        return self.ids[at][first], np.array([min(max(scores[i], _LONG.min), _LONG.max) for i in first], np.int64)
 
 
 def _packed(rows: pd.DataFrame) -> pd.DataFrame:
-    vectors = np.stack(rows["v"].to_numpy()).astype("<i8")
-    return pd.DataFrame({"dim": [vectors.shape[1]], "block": [rows["block"].iloc[0]], "ids": [rows["vec_id"].to_numpy("<i8").tobytes()], "data": [vectors.tobytes()]})
+    with np.errstate(over="ignore"):
+        vectors = np.nan_to_num(np.floor(SCALE * np.array(rows["v"].tolist(), "<f8").reshape(len(rows), -1)))
+    return pd.DataFrame({"dim": [vectors.shape[1]], "block": [rows["block"].iloc[0]], "rows": [rows["row"].to_numpy("<i8").tobytes()], "ids": [rows["vec_id"].to_numpy("<i8").tobytes()], "data": [vectors.tobytes()]})
 
 
-def _read(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _read(rows: bytes, ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, "<i8")
-    return i, np.frombuffer(data, "<i8").reshape(len(i), -1)
+    return np.frombuffer(rows, "<i8"), i, np.frombuffer(data, "<f8").reshape(len(i), -1)
 
 
 def _searcher(k: int):
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples():
-                query_ids, queries = _read(r.q_ids, r.q_data)
-                q, vec, score = ImpactIndex(*_read(r.ids, r.data)).best(query_ids, queries, k)
-                yield pd.DataFrame({"query_id": query_ids[q], "vec_id": vec, "score": score})
+    def search(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for b in data.itertuples():  # one block
+            index = ImpactIndex(*_read(b.rows, b.ids, b.data))
+            for r in asked.itertuples():
+                query_rows, query_ids, queries = _read(r.rows, r.ids, r.data)
+                before = index.read
+                q, vec, score = index.best(query_rows, queries, k)
+                out.append(pd.DataFrame({"query_row": query_rows[q], "query_id": query_ids[q], "vec_id": vec, "score": score, "unread": 1 - (index.read - before) / max(1, index.size * len(queries))}))
+        return pd.concat(out) if out else pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": [], "unread": []})
 
     return search
 
 
-def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, k: int = K, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: for each id divisible by ``every`` the k best other rows.
-
-    Components become ``floor(256 x)``. Vectors that are null, empty or hold a null, a non-finite or a
-    quantised component of 2**26 or more take no part, as query or candidate; so do rows without an id. Only
-    vectors of the query's length are candidates. Rows that repeat id and vector are one. An empty table, or
-    one without queries, gives no rows. Other columns are not read.
-    """
+def searched(vectors: DataFrame, id_col: str, vector_col: str, every: int, k: int, rows: int, queries: int) -> DataFrame:
+    """The best k of each query in each block, with the share of the block's postings left ``unread``."""
     spark = vectors.sparkSession
     small_batches(spark)
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
-    sound = F.coalesce(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < LIMIT // SCALE)), F.lit(False))
-    v = vectors.where(F.col(id_col).isNotNull() & sound & (F.size(vector_col) > 0))
-    v = v.select(F.col(id_col).cast("bigint").alias("vec_id"), F.transform(x, lambda c: F.floor(c * SCALE)).alias("v"))
-    v = written(v.distinct().withColumn("dim", F.size("v")), "vectors")
+    sound = F.coalesce(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False))
+    v = vectors.where(F.col(id_col).isNotNull() & sound)
+    v = v.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("vec_id"), F.size(vector_col).alias("dim"), x.alias("v"))
+    v = written(v, "vectors")
     n = v.agg(F.count("*"), F.coalesce(F.sum((F.col("vec_id") % every == 0).cast("int")), F.lit(0))).first()
     blocks, query_blocks = max(1, -(-n[0] // rows)), max(1, -(-n[1] // queries))
 
     def packed(d: DataFrame, parts: int) -> DataFrame:
-        d = d.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int"))
-        return d.groupBy("dim", "block").applyInPandas(_packed, "dim int, block int, ids binary, data binary")
-
-    data = written(packed(v, blocks), "blocks")
-    asked = packed(v.where(F.col("vec_id") % every == 0), query_blocks)
-    asked = asked.select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    pairs = data.join(asked, ["dim", "block"]).repartition(F.xxhash64("dim", "block", "q_ids"))
-    found = pairs.select("ids", "data", "q_ids", "q_data").mapInPandas(_searcher(k), "query_id bigint, vec_id bigint, score bigint")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        d = d.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
+        return d.groupBy("dim", "block").applyInPandas(_packed, "dim int, block int, rows binary, ids binary, data binary")
+
+    data = written(packed(v, blocks), "blocks").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((query_blocks - 1) // CHUNK))))
+    asked = packed(v.where(F.col("vec_id") % every == 0), query_blocks).withColumn("chunk", F.expr(f"block div {CHUNK}").cast("int"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    key = ["dim", "block", "chunk"]
+    return data.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_searcher(k), "query_row bigint, query_id bigint, vec_id bigint, score bigint, unread double")
+
+
+def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, k: int = K, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: for each row whose id is divisible by ``every`` the k best other rows.
+
+    Components become ``floor(256 x)``. Vectors that are null or hold a null or non-finite component take no part,
+    as query or candidate; so do rows without an id. Only vectors of the query's length are candidates; empty
+    vectors have the score 0. Components may be of any size: scores are exact integers, given as the nearest
+    ``bigint`` where they exceed it. A vector may be of any length. Each row counts for itself: rows that repeat
+    an id or a vector are candidates as often as they occur, and a query that occurs twice is answered twice. Ties
+    go to the smaller id. An empty table, or one without queries, gives no rows. Other columns are not read.
+    """
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    found = searched(vectors, id_col, vector_col, every, k, rows, queries)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,6 +1,8 @@
 """Operators against brute force, on small tables with awkward rows."""
 
 import collections
+import itertools
+import math
 import re
 import zlib
 
@@ -164,6 +166,77 @@ def test_recurring_lines_stay_in_the_first_document(docs):
     assert got.loc[20, "n_dropped"] == 0 and (got.loc[21:40, "n_dropped"] == 1).all()
 
 
+def test_lines_that_differ_by_a_word_meet(docs):
+    names = ["alice", "bob", "carol", "dave", "erin", "frank", "grace", "heidi", "ivan", "judy", "kim", "leo", "mia", "ned", "olga", "pat", "quin", "rose", "sam", "tess", "uma", "vic"]
+    long = "please send the {} report to the office in {} before the end of the week"
+    rows = [(i, f"user {n} logged in\nown line of {n} alone here", "s") for i, n in enumerate(names)]
+    rows += [(100, long.format("annual", "paris") + "\nfirst", "s"), (101, long.format("monthly", "rome") + "\nsecond", "s"), (102, "please send no letters to any house in berlin after the start of this month", "s")]
+    got = lines.drop_recurring_lines(docs(rows)).toPandas().set_index("doc_id").sort_index()
+    assert got.loc[0, "n_dropped"] == 0 or got.loc[0, "text"].startswith("user")
+    assert all(not got.loc[i, "text"].startswith("user") for i in range(1, len(names)))
+    assert got.loc[100, "n_dropped"] == 0 and got.loc[101, "text"] == "second" and got.loc[102, "n_dropped"] == 0
+
+
+def brute_lines(rows, tree=lines.Tree()):
+    """Lines dropped, by comparing every line with every other: id -> kept lines. No variable words, no short lines."""
+    every = [(i, p, tuple(x.split())) for i, t in rows for p, x in enumerate(t.split("\n"))]
+    kinds = sorted({w for _, _, w in every})
+    parent = {w: w for w in kinds}
+
+    def root(w):
+        while parent[w] != w:
+            w = parent[w]
+        return w
+
+    def places(w):
+        return [w[i * len(w) // 16 : (i + 1) * len(w) // 16] for i in range(16)]
+
+    differ = {}
+    for a, b in itertools.combinations(kinds, 2):
+        if len(a) == len(b) and a[0] == b[0]:
+            apart = {i for i, (x, y) in enumerate(zip(places(a), places(b), strict=True)) if x != y}
+            if len(apart) <= min(len(a) // tree.alike, tree.fields):
+                parent[root(a)] = root(b)
+                differ[a, b] = apart
+    fields = collections.defaultdict(set)
+    for (a, _), d in differ.items():
+        fields[root(a)] |= d
+    groups = collections.defaultdict(set)
+    for i, _, w in every:
+        groups[root(w)].add(i)
+    gone = set()
+    for r, ids in groups.items():
+        fixed = len(r) - len(fields[r]) * -(-len(r) // 16)
+        if fixed >= tree.long_words and len(ids) >= tree.long_docs or len(ids) >= tree.short_docs:
+            gone |= {(i, p) for i, p, w in every if root(w) == r and i != min(ids)}
+    return {i: "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone) for i, t in rows}
+
+
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_template_tree_agrees_with_brute_force(docs, small):
+    rng = np.random.default_rng(8)
+    vocabulary = ["w" + "".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000)]
+    bases = [list(rng.choice(vocabulary, int(rng.integers(9, 40)))) for _ in range(60)]
+
+    def variant():
+        w = list(bases[rng.integers(len(bases))]) if rng.random() < 0.5 else list(rng.choice(vocabulary, int(rng.integers(9, 40))))
+        for _ in range(rng.integers(0, 3)):
+            w[rng.integers(1, len(w))] = str(rng.choice(vocabulary))
+        return " ".join(w)
+
+    rows = [(i, "\n".join(variant() for _ in range(rng.integers(1, 7)))) for i in range(70)]
+    got = {r["doc_id"]: r["text"] for r in lines.drop_recurring_lines(docs([(i, t, "s") for i, t in rows]), small=small).collect()}
+    assert got == brute_lines(rows) and sum(got[i] != t for i, t in rows) > 30
+
+
+def test_columns_of_any_name_survive(spark):
+    names = ["gone", "__kept", "__lines", "__id", "of", "mark", "lost", "every", "kept", "salt", "template", "id", "pos", "first"]
+    rows = [(i, f"a line of eight words stands right here today\n{chr(97 + i)}", *range(len(names))) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{n} int" for n in names))
+    got = lines.drop_recurring_lines(df).toPandas().set_index("doc_id")
+    assert got[names].iloc[2].tolist() == list(range(len(names))) and got.n_dropped.sort_index().tolist() == [0, 1, 1]
+
+
 def test_many_lines_and_awkward(docs, awkward):
     many = "\n".join(f"{chr(97 + i % 26)}{'q' * (i % 50)} common words in a rather long line" for i in range(3000))
     got = lines.drop_recurring_lines(docs([(1, many, "s"), (2, many + "\nlast one alone", "s")])).toPandas().set_index("doc_id")
@@ -273,21 +346,47 @@ def test_pages_table(spark):
 
 
 # op9
+def brute_top(rows, every=50, k=5):
+    """Best rows by Python integers, each row for itself."""
+    sound = [(n, i, [math.floor(256 * x) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for n, i, v in sound:
+        if i % every == 0:
+            found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for m, j, w in sound if m != n and len(w) == len(v))[:k]
+            out += [(i, r + 1, j, min(max(-s, -(2**63)), 2**63 - 1)) for r, (s, j) in enumerate(found)]
+    return sorted(out)
+
+
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(0, 0.2, (230, 16)).astype(np.float32)
     v[100:140] = v[100]
-    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(500, None), (501, [1.0] * 15 + [None]), (502, [float("nan")] * 16), (503, []), (504, [1.0, 2.0]), (None, [0.0] * 16), (7, v[7].tolist())]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").selectExpr("*", "1 as score", "2 as dim")
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    rows += [(500, None), (501, [1.0] * 15 + [None]), (502, [float("nan")] * 16), (550, [float("inf")] * 16), (None, [0.0] * 16)]  # take no part
+    rows += [(503, []), (600, []), (504, [1.0, 2.0]), (650, [3.0, 1.0]), (7, v[7].tolist()), (50, v[50].tolist()), (100, v[9].tolist())]
+    rows += [(800 + i, [3e5 * (i - 2)] * 16) for i in range(4)] + [(50, [2.0**30] * 16)]  # large components
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").selectExpr("*", "1 as score", "2 as dim", "3 as `row`")
     got = topk.top_k(df, rows=64, queries=3).toPandas()
-    q = np.floor(256 * v.astype(float)).astype(int)
-    for query in range(0, 230, 50):
-        s = q @ q[query]
-        want = sorted((-int(s[i]), i) for i in range(230) if i != query)[:5]
-        mine = got[got.query_id == query].sort_values("rank")
-        assert list(zip(-mine.score, mine.vec_id, strict=True)) == want
-    assert set(got.query_id) == {0, 50, 100, 150, 200}
-    assert topk.top_k(df.limit(0)).count() == 0
+    assert sorted(got[["query_id", "rank", "vec_id", "score"]].itertuples(index=False, name=None)) == brute_top(rows)
+    assert topk.top_k(df.limit(0)).count() == 0 and topk.top_k(df.where("vec_id = 7")).count() == 0
+
+
+def test_scores_beyond_a_long_keep_their_order(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [1e31, 0.0]), (3, [-1e31, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).toPandas().sort_values("rank")
+    assert got.vec_id.tolist() == [2, 1, 3] and got.score.tolist() == [2**63 - 1, 2**63 - 1, -(2**63)]
+
+
+def test_reading_stops_before_the_last_postings():
+    rng = np.random.default_rng(5)
+    v = np.floor(rng.normal(0, 32, (4000, 32)))
+    index = topk.ImpactIndex(np.arange(4000), np.arange(4000), v)
+    q, vec, score = index.best(np.arange(40), v[:40])
+    for i in range(40):
+        s = (v @ v[i]).astype(int)
+        s[i] = -(10**9)
+        assert sorted(score[q == i].tolist()) == sorted(np.sort(s)[-5:].tolist())
+    assert 0.5 < index.read / (v.size * 40) < 0.9
 
 
 # op10
