@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import components, small_batches, written
+from marlstone.llm.common import components, looked_up, small_batches, written
 
 SEED, SHINGLE, NEAR, GROUP, FAN = 42, 3, 2, 4096, 8
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -146,7 +146,7 @@ def _dealt(codes: DataFrame, masks: list[int], mask: str, key: str) -> DataFrame
 
 
 def links(codes: DataFrame, group: int = GROUP) -> DataFrame:
-    """Links ``(u, v)`` that join all fingerprints within ``NEAR`` bits; ``codes``: distinct fp, rep (bigint)."""
+    """Links ``(u, v)`` that join all fingerprints within ``NEAR`` bits; ``codes``: distinct fp and its name rep (bigint)."""
     dealt = _dealt(codes, MASKS, "m", "key")
     shared = dealt.groupBy("m", "key").agg(F.count("*").alias("n")).where("n > 1")
     dealt = dealt.join(shared, ["m", "key"])
@@ -158,19 +158,22 @@ def links(codes: DataFrame, group: int = GROUP) -> DataFrame:
     return groups.where(F.size("members") > 1).select("members").mapInPandas(_forests, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = 200_000) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
-    Null texts and texts without words have fingerprint zero and link like any other. Repeated rows stay.
-    A row without an id keeps its fingerprint and takes the component of the others that share it, if any
-    has an id, else null. Other columns are not read, whatever their names.
+    Null texts and texts without words have fingerprint zero and link like any other. Repeated rows stay; ties do
+    not arise, since a component is named by its smallest id. A row without an id has its fingerprint, links like
+    any other, also between rows that have one, and takes their component; a component without any id is null.
+    Texts of any length are read whole. An empty table gives no rows. Other columns are not read, whatever their names.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = written(rows.mapInPandas(_fingerprints, "doc_id bigint, fp bigint"), "fingerprints")
-    codes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "codes")
-    root = components(links(codes.where("rep is not null"))).select(F.col("u").alias("rep"), F.col("v").alias("root"))
-    named = codes.join(root, "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return rows.join(named, "fp", "left").select(
+    codes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
+    linked = components(links(codes.select("fp", F.col("fp").alias("rep")))).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    codes = codes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = written(codes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")).where("n > 1"), "components")
+    codes = looked_up(codes, least.drop("n"), "root", "fp", small, "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return rows.join(codes, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

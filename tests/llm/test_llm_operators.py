@@ -83,6 +83,46 @@ def test_near_duplicates_awkward(awkward):
     assert simhash.near_duplicates(awkward.limit(0)).count() == 0
 
 
+def brute_components(rows):
+    """Component by fingerprint: every pair is compared."""
+    fps = sorted({simhash.fingerprint(t) for _, t in rows})
+    x = np.array(fps, np.uint64)
+    a, b = np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= 2)
+    root = dict(zip(fps, simhash._union(np.arange(len(fps)), a, b).tolist(), strict=True))
+    least = {}
+    for i, t in rows:
+        if i is not None:
+            r = root[simhash.fingerprint(t)]
+            least[r] = min(i, least.get(r, i))
+    return [(i, f"{simhash.fingerprint(t):016x}", least.get(root[simhash.fingerprint(t)])) for i, t in rows]
+
+
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_near_duplicates_agree_with_brute_force(docs, small):
+    rng = np.random.default_rng(11)
+    base = [" ".join("".join(rng.choice(list("abcdef"), 4)) for _ in range(400)) for _ in range(12)]
+    rows = []
+    for i in range(240):
+        w = base[i % 12].split()
+        for _ in range(rng.integers(0, 3)):
+            w[rng.integers(len(w))] = "zz"
+        rows.append((None if i % 4 == 0 else 1000 - i, " ".join(w)))
+    w = base[0].split()[::-1]
+    for i in range(40):  # a chain of small changes; most links run through rows without an id
+        rows.append((2000 + i if i % 6 == 0 else None, " ".join(w)))
+        w[i * 9] = "yy"
+    rows += [(None, None), (None, "alone without an id"), (None, "alone without an id"), (5, "alone"), (6, "alone"), (6, "alone")]
+    got = simhash.near_duplicates(docs([(i, t, "s") for i, t in rows]), small=small)
+    key = lambda r: tuple((x is None, x or 0) if not isinstance(x, str) else (False, x) for x in r)
+    got = sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got.collect()), key=key)
+    want = sorted(brute_components(rows), key=key)
+    assert got == want
+    # some links run only through rows without an id
+    with_id = [(i, t) for i, t in rows if i is not None]
+    alone = {i: c for i, _, c in brute_components(with_id)}
+    assert any(alone[i] != c for i, _, c in want if i is not None)
+
+
 # op3
 def brute_repeats(w, n=8):
     seen = collections.Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
@@ -189,7 +229,7 @@ def brute_lines(rows, tree=lines.Tree()):
         return w
 
     def places(w):
-        return [w[i * len(w) // 16 : (i + 1) * len(w) // 16] for i in range(16)]
+        return [w[i * len(w) // 9 : (i + 1) * len(w) // 9] for i in range(9)]
 
     differ = {}
     for a, b in itertools.combinations(kinds, 2):
@@ -206,7 +246,7 @@ def brute_lines(rows, tree=lines.Tree()):
         groups[root(w)].add(i)
     gone = set()
     for r, ids in groups.items():
-        fixed = len(r) - len(fields[r]) * -(-len(r) // 16)
+        fixed = len(r) - len(fields[r]) * -(-len(r) // 9)
         if fixed >= tree.long_words and len(ids) >= tree.long_docs or len(ids) >= tree.short_docs:
             gone |= {(i, p) for i, p, w in every if root(w) == r and i != min(ids)}
     return {i: "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone) for i, t in rows}
@@ -226,7 +266,7 @@ def test_template_tree_agrees_with_brute_force(docs, small):
 
     rows = [(i, "\n".join(variant() for _ in range(rng.integers(1, 7)))) for i in range(70)]
     got = {r["doc_id"]: r["text"] for r in lines.drop_recurring_lines(docs([(i, t, "s") for i, t in rows]), small=small).collect()}
-    assert got == brute_lines(rows) and sum(got[i] != t for i, t in rows) > 30
+    assert got == brute_lines(rows) and sum(got[i] != t for i, t in rows) > 20
 
 
 def test_columns_of_any_name_survive(spark):
