@@ -1,9 +1,13 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes a row of text blocks with their place in the element tree. A linear classifier over tags,
-class and id words, link density and length gives each block a cost for either label; these are capacities to
-the two terminals. Neighbours, and more so neighbours of the same element, are joined by smoothness edges. The
-minimum cut, found by maximum flow, separates content from boilerplate.
+A page becomes a row of text blocks with their place in the element tree. A logistic classifier over elements,
+class and id words, link density, length and punctuation gives each block a cost for either label; these are
+capacities to the two terminals. Neighbours, and more so blocks of the same container, are joined by smoothness
+edges. The minimum cut, found by maximum flow, separates content from boilerplate, so that an unsure block (a short
+line, a heading, a cell) goes with what stands around it.
+
+The classifier and the smoothness are fitted on labelled pages that ``html_training`` makes, a fixed number from a
+fixed seed; both are small vectors.
 """
 
 from __future__ import annotations
@@ -12,127 +16,253 @@ import html
 import re
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import small_batches
 
-_RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|title"
-_MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</\1\b[^>]*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_RAW = frozenset("script style noscript template svg iframe object canvas textarea select title noframes xmp".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-_CLOSED_BY_BLOCK = frozenset(["p"])
-#: Elements that hold no main text wherever they are, and those that do so outside an article.
-_NEVER = frozenset("nav aside footer form button dialog head menu fieldset".split())
-_OUTSIDE = frozenset(["header"])
-_INSIDE = frozenset(["article", "main"])
-_BAD = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?"
-    r"|footer|masthead|topbar|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend(?:ed|ations)?"
-    r"|comments?|comment-?list|replies|reply|disqus|widget|pagination|pager|toolbar|search|tags|hidden)(?:$|[-_\s\d])",
-    re.I,
-)
-_GOOD = re.compile(r"(?:^|[-_\s])(?:article|content|post|entry|story|main|body|text)(?:$|[-_\s\d])", re.I)
-_ATTRIBUTE = re.compile(r"([\w:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mrow msqrt msub msup mtext q s samp small span strike strong sub sup time tt u var wbr".split())
+_ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+_ENDS_ITEM = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+_LISTS = frozenset("ul ol dl menu table".split())
 _HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
-#: Classifier weights (scores above zero speak for content), and smoothness across and within an element.
-BIAS, NEVER, OUTSIDE, BAD, GOOD, INSIDE, LINKS, WORDS, SENTENCE, PROSE, HEADING = -1.0, -12.0, -8.0, -9.0, 1.5, 6.0, -4.0, 0.05, 0.5, 1.0, 0.5
-ACROSS, WITHIN = 0.25, 0.75
+#: Elements that a block shares with others; what stands between such an element and its text is the block's own.
+_OWN = _HEADINGS | frozenset("p li dt dd td th tr tbody thead tfoot figcaption summary caption".split())
+_NEVER = frozenset("nav aside footer form button dialog menu fieldset".split())
+_ARTICLE = frozenset(["article", "main"])
+#: Words of class and id names that speak against content or for it, and such that only say what a page has.
+BAD = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs"
+    " footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social"
+    " related recommend recommended recommendations comment comments commentlist replies reply disqus widget pagination pager toolbar search tags hidden".split()
+)
+GOOD = frozenset("article content post entry story main body text prose".split())
+_HAS = frozenset("with has no without layout".split())
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_TAG = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*(?:([^\s/>][^\s/>=]*)(?:\s*(=)\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)?))?)?")
+_CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _RAW}
+FEATURES = ["one", "never", "header", "bad", "good", "inside", "nested", "links", "list_links", "words", "ends", "commas", "paragraph", "heading", "item", "cell"]
 
 
+@dataclass
 class Block:
-    """Text of one block with what the classifier reads."""
-
-    __slots__ = ("linked", "parent", "score", "text")
-
-    def __init__(self, text: str, linked: int, tag: str, mark: tuple, parent: int):
-        self.text, self.parent = text, parent
-        never, outside, bad, good, inside = mark
-        n = len(text)
-        w = text.count(" ") + 1
-        score = BIAS + NEVER * never + BAD * bad + GOOD * good + INSIDE * inside + OUTSIDE * (outside and not inside)
-        score += LINKS * (linked / n) + WORDS * min(w, 40) + SENTENCE * (text[-1] in ".!?:\"”»") + PROSE * (tag == "p") + HEADING * (tag in _HEADINGS)
-        self.score = score
-
-
-def _mark(tag: str, attributes: str, above: tuple) -> tuple:
-    """What an element passes on: never, outside, bad, good, inside."""
-    never, outside, bad, good, inside = above
-    never, outside = never or tag in _NEVER, outside or tag in _OUTSIDE
-    if attributes.strip():
-        for name, *values in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), "".join(values)
-            if name in ("class", "id", "role"):
-                body = tag in ("body", "html") or tag in _INSIDE and not re.search(r"comment|repl", value, re.I)
-                bad, good = bad or not body and bool(_BAD.search(value)), good or bool(_GOOD.search(value))
-            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                bad = True
-    return never, outside, bad, good, inside or tag in _INSIDE
-
-
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order; white space within a block is one blank."""
-    out: list[Block] = []
-    stack: list[tuple[str, tuple, int]] = [("", (False,) * 5, 0)]
-    parts: list[str] = []
-    state = {"link": 0, "linked": 0, "node": 0}
-
-    def flush() -> None:
-        text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
+    """Text of one block, characters of it in links, its element, its container and its inherited marks."""
+
+    text: str
+    linked: int
+    tag: str
+    parent: int
+    mark: tuple
+
+
+class Page:
+    """Elements and text blocks of a page; one pass, each character read a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.tags, self.parents, self.names, self.holds = [""], [0], [()], [False]
+        self.stack, self.links, self.parts, self.linked = [0], 0, [], 0
+        self.raw: list[tuple[str, int, int]] = []
+        self._parse(page)
+        self._flush()
+
+    def _parse(self, page: str) -> None:
+        at = 0
+        while (lt := page.find("<", at)) >= 0:
+            self._take(page[at:lt])
+            if page.startswith("<!--", lt):
+                short = next((k for k in (">", "->") if page.startswith(k, lt + 4)), None)
+                end = lt + 4 + len(short) if short else page.find("-->", lt + 4) + 3
+                at = end if end > 2 else len(page)
+            elif m := _TAG.match(page, lt + 1):
+                at = self._open(page, m[0].lower(), m.end())
+            elif page.startswith("</", lt) and (m := _TAG.match(page, lt + 2)):
+                at = self._attributes(page, m.end())[0]
+                self._close(m[0].lower())
+            elif page.startswith(("<!", "<?", "</"), lt):
+                at = page.find(">", lt) + 1 or len(page)
+            else:
+                self._take("<")
+                at = lt + 1
+        self._take(page[at:])
+
+    @staticmethod
+    def _attributes(page: str, at: int) -> tuple[int, list[tuple[str, str]], bool]:
+        """Past the tag's end, its attributes, and whether it closes itself; a tag that never ends takes the rest."""
+        out = []
+        while True:
+            m = _ATTRIBUTE.match(page, at)
+            at = m.end()
+            if m[1]:
+                out.append((m[1].lower(), m[3] or m[4] or m[5] or ""))
+            if at >= len(page) or (m[2] and page[at] in "\"'" and m[3] is None and m[4] is None and m[5] is None):
+                return len(page), out, False
+            if page[at] == ">":
+                return at + 1, out, page[at - 1] == "/"
+
+    def _take(self, text: str) -> None:
         if text:
-            holder = next((s for s in reversed(stack) if s[0] not in _INLINE), stack[0])
-            up = next((s for s in reversed(stack) if s[0] not in _INLINE and s[0] != "p" and s[0] not in _HEADINGS), stack[0])
-            out.append(Block(text, min(state["linked"], len(text)), holder[0], stack[-1][1], up[2]))
-        parts.clear()
-        state["linked"] = 0
+            self.parts.append(html.unescape(text) if "&" in text else text)
+            if self.links:
+                self.linked += len(text)
 
-    def take(text: str) -> None:
+    def _flush(self) -> None:
+        text = " ".join("".join(self.parts).split())
         if text:
-            parts.append(text)
-            if state["link"]:
-                state["linked"] += len(text)
-
-    at = 0
-    for m in _MARKUP.finditer(page):
-        take(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or m[6] or "").lower()
-        if not tag:
-            continue
-        closing, attributes = (m[2], m[4]) if m[3] else (m[5], m[7])
+            self.raw.append((text, min(self.linked, len(text)), self.stack[-1]))
+        self.parts.clear()
+        self.linked = 0
+
+    def _cut(self, i: int) -> None:
+        self.links -= sum(self.tags[s] == "a" for s in self.stack[i:])
+        del self.stack[i:]
+
+    def _open(self, page: str, tag: str, at: int) -> int:
+        at, attributes, closed = self._attributes(page, at)
         if tag == "br":
-            parts.append(" ")
-            continue
+            self.parts.append(" ")
+            return at
+        if tag not in _INLINE and tag not in _VOID or tag == "hr":
+            self._flush()
+        if tag in _RAW:
+            end = None if closed and tag == "svg" else _CLOSE[tag].search(page, at)
+            return at if closed and tag == "svg" else self._attributes(page, end.end())[0] if end else len(page)
+        if tag in _VOID:
+            return at
+        if tag in _ENDS_PARAGRAPH:
+            self._end(("p",))
+        if tag in _ENDS_ITEM:
+            self._end(_ENDS_ITEM[tag])
+        node = len(self.tags)
+        names, hidden = [], False
+        for name, value in attributes:
+            if name in ("class", "id", "role"):
+                names.append(value)
+            hidden = hidden or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "none" in value and bool(re.search(r"display\s*:\s*none", value))
+        self.tags.append(tag)
+        self.parents.append(self.stack[-1])
+        self.names.append((tuple(names), hidden))
+        self.holds.append(False)
+        if tag in _ARTICLE:
+            up = self.stack[-1]
+            while up and not self.holds[up]:
+                self.holds[up] = True
+                up = self.parents[up]
+        self.links += tag == "a"
+        self.stack.append(node)
+        return at
+
+    def _end(self, tags) -> None:
+        """Close what is open of ``tags``, unless a list or another block holds it."""
+        for i in range(len(self.stack) - 1, max(0, len(self.stack) - 64), -1):
+            tag = self.tags[self.stack[i]]
+            if tag in tags:
+                self._cut(i)
+                if "tr" not in tags:
+                    return
+            elif tag in _LISTS or tag not in _INLINE and tag not in _OWN:
+                return
+
+    def _close(self, tag: str) -> None:
         if tag not in _INLINE:
-            flush()
-        if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    state["link"] -= sum(s[0] == "a" for s in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i][0] not in _INLINE and tag in _INLINE:
-                    break
-        elif tag not in _VOID and not attributes.endswith("/"):
-            if tag not in _INLINE:  # a block ends an open paragraph and what is open in it
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in _CLOSED_BY_BLOCK or tag == stack[i][0] == "li":
-                        state["link"] -= sum(s[0] == "a" for s in stack[i:])
-                        del stack[i:]
-                        break
-                    if stack[i][0] not in _INLINE:
-                        break
-            state["node"] += 1
-            state["link"] += tag == "a"
-            stack.append((tag, _mark(tag, attributes, stack[-1][1]), state["node"]))
-    take(page[at:])
-    flush()
+            self._flush()
+        if tag == "br":
+            self.parts.append(" ")
+            return
+        for i in range(len(self.stack) - 1, max(0, len(self.stack) - 512), -1):
+            open_ = self.tags[self.stack[i]]
+            if open_ == tag:
+                self._cut(i)
+                return
+            if open_ not in _INLINE and tag in _INLINE:
+                return
+
+    def _marks(self) -> list[tuple]:
+        """What each element passes on: never, header, bad, good, inside, nested, tag of the block, container."""
+        out = [(0.0, 0.0, 0.0, 0.0, 0.0, 0.0, "", 0)]
+        for i in range(1, len(self.tags)):
+            never, header, bad, good, inside, nested, tag, box = out[self.parents[i]]
+            own = self.tags[i]
+            names, hidden = self.names[i]
+            if hidden or own in _NEVER:
+                never = 1.0
+            if own == "header" and not inside:
+                header = 1.0
+            if names:
+                w = [x.lower() for n in names for x in _NAME.findall(n)]
+                wrapper = self.holds[i] or own in ("html", "body")
+                if w and not wrapper and not _HAS.intersection(w):
+                    n_bad = sum(x in BAD for x in w)
+                    bad = max(bad, max(0.5, n_bad / len(w)) if n_bad and (own not in _ARTICLE or {"comment", "comments", "reply"} & set(w)) else 0.0)
+                if w and not wrapper:
+                    good = max(good, 1.0 if any(x in GOOD for x in w) else 0.0)
+            if own == "article":
+                nested = 1.0 if inside == 1.0 and any(self.tags[a] == "article" for a in self._above(i)) else nested
+            if own in _ARTICLE:
+                inside, header = 1.0, 0.0
+            if own not in _INLINE:
+                tag = own
+                box = i if own not in _OWN else box
+            out.append((never, header, bad, good, inside, nested, tag, box))
+        return out
+
+    def _above(self, i: int) -> Iterator[int]:
+        while i := self.parents[i]:
+            yield i
+
+    def blocks(self) -> list[Block]:
+        """The blocks in order; white space within a block is one blank."""
+        marks = self._marks()
+        return [Block(text, linked, marks[n][6], marks[n][7], marks[n][:6]) for text, linked, n in self.raw]
+
+
+def features(blocks: list[Block]) -> np.ndarray:
+    """One row of ``FEATURES`` a block."""
+    linked, chars = {}, {}
+    for b in blocks:
+        linked[b.parent] = linked.get(b.parent, 0) + b.linked
+        chars[b.parent] = chars.get(b.parent, 0) + len(b.text)
+    rows = [
+        (
+            1.0, *b.mark, b.linked / len(b.text), linked[b.parent] / chars[b.parent], float(np.log1p(b.text.count(" "))), b.text[-1] in ".!?:\"”»",
+            min(1.0, b.text.count(",") / 3), b.tag == "p", b.tag in _HEADINGS, b.tag in ("li", "dt", "dd"), b.tag in ("td", "th"),
+        )
+        for b in blocks
+    ]
+    return np.array(rows, float).reshape(-1, len(FEATURES))
+
+
+@dataclass(frozen=True)
+class Model:
+    """Classifier weights, and smoothness across containers and within one."""
+
+    weights: tuple[float, ...]
+    across: float
+    within: float
+    #: No block is surer than this, so that enough neighbours outweigh any.
+    surest: float = 8.0
+
+    def scores(self, blocks: list[Block]) -> list[float]:
+        return np.clip(features(blocks) @ np.array(self.weights), -self.surest, self.surest).tolist()
+
+    def labels(self, blocks: list[Block]) -> list[bool]:
+        return min_cut(self.scores(blocks), edges(blocks, self.across, self.within))
+
+
+def edges(blocks: list[Block], across: float, within: float) -> list[tuple[int, int, float]]:
+    """Neighbours, and a block with the last one of its container where others lie between."""
+    out = [(i, i + 1, within if a.parent == b.parent else across) for i, (a, b) in enumerate(zip(blocks, blocks[1:], strict=False))]
+    last: dict[int, int] = {}
+    for i, b in enumerate(blocks):
+        if i - last.get(b.parent, i) > 1:
+            out.append((last[b.parent], i, within))
+        last[b.parent] = i
     return out
 
 
@@ -199,31 +329,33 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
     return [bool(s) for s in side]
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, model: Model | None = None) -> str:
     """The content blocks of a page, joined by one newline; empty if it has none."""
-    found = blocks(page or "")
-    edges = [(i, i + 1, WITHIN if a.parent == b.parent else ACROSS) for i, (a, b) in enumerate(zip(found, found[1:], strict=False))]
-    last: dict[int, int] = {}
-    for i, b in enumerate(found):  # the previous block of the same element, if others lie between
-        if i - last.get(b.parent, i) > 1:
-            edges.append((last[b.parent], i, WITHIN))
-        last[b.parent] = i
-    side = min_cut([b.score for b in found], edges)
-    return "\n".join(b.text for b, s in zip(found, side, strict=True) if s)
-
+    if model is None:
+        from marlstone.llm.html_training import fitted
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        text = [main_text(h) for h in b["html"]]
-        yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": list(map(len, text))})
+        model = fitted()
+    found = Page(page or "").blocks()
+    return "\n".join(b.text for b, s in zip(found, model.labels(found), strict=True) if s)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", model: Model | None = None) -> DataFrame:
     """One row per input row: page_id, url, text, n_chars (code points).
 
     A null or empty page has empty text. Unclosed elements, stray end tags and unterminated comments end where
-    a browser would end them, at the latest with the page. Repeated rows stay; other columns are not read.
+    a browser would end them, at the latest with the page; pages may be of any length and are read whole, in time
+    that grows with it. Ties of a cut go to boilerplate. Repeated rows stay; an empty table gives no rows; other
+    columns are not read, whatever their names.
     """
+    from marlstone.llm.html_training import fitted
+
     small_batches(pages.sparkSession)
+    used = model or fitted()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            text = [main_text(h, used) for h in b["html"]]
+            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": list(map(len, text))})
+
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInPandas(_extract, "page_id bigint, url string, text string, n_chars bigint")
+    return rows.mapInPandas(run, "page_id bigint, url string, text string, n_chars bigint")

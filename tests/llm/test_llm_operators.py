@@ -4,6 +4,7 @@ import collections
 import itertools
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marlstone.llm import classifier, html_text, lines, mixing, packing, pseudo_lm, quality, simhash, tokens, topk, unigram
+from marlstone.llm import classifier, html_text, html_training, lines, mixing, packing, pseudo_lm, quality, simhash, tokens, topk, unigram
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SIMPLE = settings(max_examples=60, deadline=None)
@@ -367,6 +368,31 @@ def test_broken_pages(page):
     assert isinstance(html_text.main_text(page), str)
 
 
+@pytest.mark.parametrize("wrapper", ['div class="page with-sidebar"', 'div class="content has-comments"', "div id=main-search-page", 'div class="layout side-right"', "div role=main", "section id=adsRight"])
+def test_wrappers_of_an_article_are_neutral(wrapper):
+    page = f"<body><nav><a href=x>Home</a></nav><{wrapper}><article><h1>Title</h1><p>Text of the article stands here.</p><p>Yes.</article><div class=sidebar>More to read</div></{wrapper.split()[0]}><footer>f</footer>"
+    assert html_text.main_text(page) == "Title\nText of the article stands here.\nYes."
+
+
+def test_lists_cells_formulas_and_comments():
+    page = "<body><div class=menu><a>x</a></div><div class=content><p>One long sentence is here, and it goes on for a while.</p><ul><li>first<li>second item</ul><table><tr><td>a<td>b</table><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be &amp;a<b>mp;</b> it.</p></div><div id=comments><article class=comment><p>I like this article a lot, thank you.</p></article></div><footer>f</footer>"
+    assert html_text.main_text(page).split("\n") == ["One long sentence is here, and it goes on for a while.", "first", "second item", "a", "b", "Let x=2 be &amp; it."]
+
+
+@pytest.mark.parametrize("part", ["<a x", "<div>", "<p>x", "<a '", "<!--", "<script>", "</x", "<b></p>", "<table><tr><td>x", "<a =  ", "&amp", "<ul><li>x", "<p>ab, cd "])
+def test_long_broken_pages_take_linear_time(part):
+    at = time.process_time()
+    html_text.main_text(part * (1_000_000 // len(part)))
+    assert time.process_time() - at < 30
+
+
+def test_the_cut_has_fewer_errors_than_the_classifier_alone():
+    model = html_training.fitted()
+    alone, pages = html_text.Model(model.weights, 0.0, 0.0), html_training.labelled(150, 99)
+    wrong = [sum(x != y for blocks, want in pages for x, y in zip(m.labels(blocks), want, strict=True)) for m in (alone, model)]
+    assert wrong[1] < 0.9 * wrong[0] and wrong[1] < 0.04 * sum(len(b) for b, _ in pages)
+
+
 def test_min_cut_is_minimal():
     rng = np.random.default_rng(2)
     for _ in range(60):
