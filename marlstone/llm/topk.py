@@ -23,7 +23,7 @@ K, SCALE, EVERY, LEVELS = 5, 256, 50, 32
 ROWS, QUERIES, CHUNK = 8192, 256, 64
 #: Rescoring costs less than reading on when only one vector in so many is still possible.
 FEW = 4
-_LONG = np.iinfo(np.int64)
+_LONG, _HUGE = np.iinfo(np.int64), int(np.finfo(float).max)
 
 
 class ImpactIndex:
@@ -45,8 +45,8 @@ class ImpactIndex:
                     postings.append((d, held, value))
             self.segments.append((postings, np.sqrt((rest * rest).sum(1))))
 
-    def best(self, query_rows: np.ndarray, queries: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query position, vec_id, score) of each query's k best rows but its own; ties to smaller ids."""
+    def best(self, query_rows: np.ndarray, queries: np.ndarray, k: int = K) -> tuple[np.ndarray, ...]:
+        """(query position, vec_id, score, score as double) of each query's k best rows but its own; ties to smaller ids."""
         n, found = len(self.ids), []
         top = np.maximum(np.abs(queries).max(axis=1, initial=0), 1.0)
         weight = queries / top[:, None]
@@ -72,17 +72,17 @@ class ImpactIndex:
         if open_.size:  # no proof for few: all that are still possible
             found += [(q, np.nonzero(last[0][:, i])[0]) for i, q in enumerate(last[1])]
         out = [(q, *self._exact(queries[q], at, k)) for q, at in found]
-        return tuple(np.concatenate(x) for x in zip(*((np.full(len(i), q), i, s) for q, i, s in out), strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        return tuple(np.concatenate(x) for x in zip(*((np.full(len(i), q), i, s, near) for q, i, s, near in out), strict=True)) if out else (np.zeros(0, np.int64),) * 4
 
-    def _exact(self, query: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _exact(self, query: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.top * np.abs(query).max(initial=0) * max(1, len(query)) < 2.0**62:
             score = self.vectors[at].astype(np.int64) @ query.astype(np.int64)
             first = np.lexsort((self.ids[at], -score))[:k]
-            return self.ids[at][first], score[first]
+            return self.ids[at][first], score[first], score[first].astype(float)
         wide = [int(x) for x in query]  # integers of any size
         scores = [sum(int(x) * y for x, y in zip(v, wide, strict=True)) for v in self.vectors[at]]
         first = sorted(range(len(at)), key=lambda i: (-scores[i], self.ids[at[i]]))[:k]
-        return self.ids[at][first], np.array([min(max(scores[i], _LONG.min), _LONG.max) for i in first], np.int64)
+        return self.ids[at][first], np.array([min(max(scores[i], _LONG.min), _LONG.max) for i in first], np.int64), np.array([min(max(scores[i], -_HUGE), _HUGE) for i in first], float)
 
 
 def _packed(rows: pd.DataFrame) -> pd.DataFrame:
@@ -104,9 +104,9 @@ def _searcher(k: int):
             for r in asked.itertuples():
                 query_rows, query_ids, queries = _read(r.rows, r.ids, r.data)
                 before = index.read
-                q, vec, score = index.best(query_rows, queries, k)
-                out.append(pd.DataFrame({"query_row": query_rows[q], "query_id": query_ids[q], "vec_id": vec, "score": score, "unread": 1 - (index.read - before) / max(1, index.size * len(queries))}))
-        return pd.concat(out) if out else pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": [], "unread": []})
+                q, vec, score, near = index.best(query_rows, queries, k)
+                out.append(pd.DataFrame({"query_row": query_rows[q], "query_id": query_ids[q], "vec_id": vec, "score": score, "near": near, "unread": 1 - (index.read - before) / max(1, index.size * len(queries))}))
+        return pd.concat(out) if out else pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": [], "near": [], "unread": []})
 
     return search
 
@@ -131,7 +131,7 @@ def searched(vectors: DataFrame, id_col: str, vector_col: str, every: int, k: in
     asked = packed(v.where(F.col("vec_id") % every == 0), query_blocks).withColumn("chunk", F.expr(f"block div {CHUNK}").cast("int"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     key = ["dim", "block", "chunk"]
-    return data.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_searcher(k), "query_row bigint, query_id bigint, vec_id bigint, score bigint, unread double")
+    return data.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_searcher(k), "query_row bigint, query_id bigint, vec_id bigint, score bigint, near double, unread double")
 
 
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, k: int = K, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
@@ -144,6 +144,6 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     an id or a vector are candidates as often as they occur, and a query that occurs twice is answered twice. Ties
     go to the smaller id. An empty table, or one without queries, gives no rows. Other columns are not read.
     """
-    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_row").orderBy(F.desc("near"), F.desc("score"), "vec_id")  # beyond a bigint, the doubles order
     found = searched(vectors, id_col, vector_col, every, k, rows, queries)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

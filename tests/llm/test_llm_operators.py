@@ -447,7 +447,7 @@ def test_reading_stops_before_the_last_postings():
     rng = np.random.default_rng(5)
     v = np.floor(rng.normal(0, 32, (4000, 32)))
     index = topk.ImpactIndex(np.arange(4000), np.arange(4000), v)
-    q, vec, score = index.best(np.arange(40), v[:40])
+    q, vec, score, _ = index.best(np.arange(40), v[:40])
     for i in range(40):
         s = (v @ v[i]).astype(int)
         s[i] = -(10**9)
@@ -456,37 +456,94 @@ def test_reading_stops_before_the_last_postings():
 
 
 # op10
-def test_network_gradient_and_scores(spark, docs):
-    shape = pseudo_lm.Shape(classes=4, per_class=4, buckets=2, hidden=3, batch=32, rounds=1)
-    net, rng = pseudo_lm.Network(shape), np.random.default_rng(0)
+SMALL = pseudo_lm.Shape(classes=4, per_class=8, lengths=6, batch=64, part_words=600, every=2)
+
+
+def test_network_gradient():
+    shape = pseudo_lm.Shape(classes=4, per_class=4, lengths=2, hidden=3, batch=32, rounds=1)
+    rng = np.random.default_rng(0)
+    net = pseudo_lm.Network(shape, np.random.default_rng(1).normal(0, 0.3, pseudo_lm.Network(shape).flat.size))
     t, c = rng.integers(0, 16, 20), rng.integers(0, 17, (4, 20))
-    before = net.log_probs(t, c).mean()
     every = np.exp([net.log_probs(np.full(20, k), c) for k in range(16)]).sum(0)
-    assert np.allclose(every, 1, atol=1e-5)
-    past = np.zeros_like(net.flat)
+    assert np.allclose(every, 1, atol=1e-9)
+    grad = net.gradient(t, c)
+    for i in range(0, grad.size, 7):
+        ends = []
+        for step in (1e-5, -1e-5):
+            moved = net.flat.copy()
+            moved[i] += step
+            ends.append(-pseudo_lm.Network(shape, moved).log_probs(t, c).mean())
+        assert abs((ends[0] - ends[1]) / 2e-5 - grad[i]) < 1e-6
+    before, past = net.log_probs(t, c).mean(), np.zeros_like(net.flat)
     for _ in range(200):
         net.step(t, c, past)
     assert net.log_probs(t, c).mean() > before + 0.5
-    rows = [(i, "the cat sat on the mat and the dog ran", "s") for i in range(200)] + [(500, "mat the the dog on cat and sat ran the", "s")]
-    got = pseudo_lm.score(docs(rows), shape=pseudo_lm.Shape(classes=4, per_class=8, buckets=4, batch=64, rounds=2)).toPandas().set_index("doc_id")
-    assert got.loc[0, "pll_per_token"] > got.loc[500, "pll_per_token"] + 0.5
 
 
-def test_each_word_outside_the_vocabulary_has_its_own_probability(docs):
-    times = {f"w{chr(97 + i % 26)}{i}": 1 + i // 4 for i in range(100)}
-    rows = [(i, w, "s") for i, w in enumerate(w for w, n in times.items() for _ in range(n))]
-    shape = pseudo_lm.Shape(classes=4, per_class=8, buckets=4, batch=64, rounds=1)
-    got = pseudo_lm.score(docs(rows), shape=shape).toPandas().set_index("doc_id")
-    pll = {w: got.loc[i, "pll"] for i, w, _ in rows}
-    rare = sorted(times, key=lambda w: (-times[w], w))[shape.known :]
-    first: dict = {}
-    for w in rare:
-        v = first.setdefault(zlib.crc32(w.encode()) % 4, w)
-        assert np.isclose(pll[w] - pll[v], np.log(times[w] / times[v]))
-    assert len(first) == 4 and np.isclose(np.exp(list(pll.values())).sum(), 1, atol=1e-4)
+def test_spelling_is_a_distribution():
+    counts = pseudo_lm.Spelling.count([b"ab", b"", b"b"], np.array([2.0, 5.0, 3.0]))
+    assert counts.sum() == 7 and counts[256 * 256 + ord("a")] == 2 and counts[256 * 256 + ord("b")] == 3 and counts[ord("a") * 256 + ord("b")] == 2
+    s = pseudo_lm.Spelling(pseudo_lm.Shape(lengths=3), counts)
+    assert np.isclose(sum(np.exp(s.log_prob(bytes([a, b]))) for a in range(256) for b in range(256)), 1)
+    tail = [sum(np.exp(s.log_prob(b"x" * n) - pseudo_lm.Spelling(pseudo_lm.Shape(lengths=999), counts).log_prob(b"x" * n)) for n in range(3, m)) for m in (10, 200)]
+    assert tail[0] < tail[1] < 1 + 1e-9 and tail[1] > 0.999
+
+
+def lm_corpus():
+    rng = np.random.default_rng(6)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), rng.integers(1, 9))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(vocabulary, rng.integers(0, 40), p=np.arange(60, 0, -1) / 1830)), "s") for i in range(80)]
+    return rows + [(100, rows[7][1], "s"), (101, rows[8][1] + " " + rows[8][1], "s"), (102, None, "s"), (103, "", "s"), (None, rows[9][1], "s")]
+
+
+def test_scores_are_the_sums_of_a_plain_loop(spark, docs):
+    rows = lm_corpus()
+    df = docs(rows)
+    texts = df.selectExpr(f"xxhash64({SMALL.seed}, doc_id, text) as draw", "text")
+    counts = pseudo_lm.count(texts)
+    vocabulary, flat = pseudo_lm.train(texts, counts, SMALL)
+    spelling = pseudo_lm.spell(counts, vocabulary, SMALL)
+    own = collections.Counter(w for _, t, _ in rows for w in (t or "").encode().lower().split())
+    assert vocabulary == sorted(own, key=lambda w: (-own[w], w))[: SMALL.known]
+    rare = [w for w in own if w not in vocabulary]
+    assert np.allclose(spelling.logs, pseudo_lm.Spelling(SMALL, pseudo_lm.Spelling.count(rare, np.array([own[w] for w in rare], float))).logs)
+    net, encoder, pad = pseudo_lm.Network(SMALL, flat), pseudo_lm.Encoder(vocabulary, SMALL), None
+    seen = [collections.Counter() for _ in rows]
+    tokens = []
+    for n, (_, t, _) in enumerate(rows):
+        w = [pad, pad, *(t or "").encode().lower().split(), pad, pad]
+        for i in range(2, len(w) - 2):
+            window = w[i - 2], w[i - 1], w[i + 1], w[i + 2]
+            ids = [SMALL.ids if x is pad else vocabulary.index(x) if x in vocabulary else SMALL.known + min(len(x), SMALL.lengths) - 1 for x in (*window, w[i])]
+            logp = net.log_probs(np.array(ids[4:]), np.array(ids[:4])[:, None])[0] + (0 if w[i] in vocabulary else spelling.log_prob(w[i]))
+            code = [SMALL.ids if x is pad else encoder.codes[x] for x in window]
+            kept = int(pseudo_lm._mixed(np.array(code)[:, None] >> pseudo_lm.Encoder.BITS)[0]) % SMALL.every == 0
+            tokens.append((n, window, w[i], logp, kept))
+            seen[n][window] += 1
+            seen[n][window, w[i]] += 1
+    total = sum(seen, collections.Counter())
+    want = np.zeros(len(rows))
+    for n, window, w, logp, kept in tokens:
+        there, same = total[window] - seen[n][window], total[window, w] - seen[n][window, w]
+        want[n] += np.log((same + np.exp(logp)) / (there + 1)) if kept else logp
+    got = pseudo_lm.score(df, shape=SMALL).toPandas()
+    got = got.set_index(got.doc_id.fillna(-1).astype(int)).loc[[-1 if i is None else i for i, _, _ in rows]]
+    assert np.allclose(got.pll, want, rtol=1e-5, atol=1e-4)
+    assert got.n_tokens.tolist() == [len((t or "").split()) for _, t, _ in rows]
+    # texts that occur twice score higher than the same words would alone
+    assert got.loc[100, "pll_per_token"] > got.loc[list(range(20, 80)), "pll_per_token"].quantile(0.9)
+
+
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_scores_do_not_depend_on_partitions(docs, small):
+    df = docs(lm_corpus())
+    a = pseudo_lm.score(df.repartition(7), shape=SMALL, small=small).toPandas().sort_values("doc_id")
+    b = pseudo_lm.score(df.coalesce(1).orderBy("text"), shape=SMALL).toPandas().sort_values("doc_id")
+    assert np.allclose(a.pll, b.pll, rtol=1e-6, atol=1e-5)
 
 
 def test_lm_awkward(awkward):
     got = pseudo_lm.score(awkward, shape=pseudo_lm.Shape(rounds=1)).toPandas()
-    assert len(got) == 9 and (got[got.doc_id.isin([1, 2, 3])].n_tokens == 0).all()
+    assert len(got) == 9 and (got[got.doc_id.isin([1, 2, 3])].n_tokens == 0).all() and got[got.n_tokens > 0].pll.notna().all()
+    assert got[got.doc_id == 6].n_tokens.iloc[0] == 30_000 and got[got.doc_id == 4].pll.nunique() == 1
     assert pseudo_lm.score(awkward.limit(0)).count() == 0
