@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import small_batches, words, written
-from marlstone.llm.quality import COMMON
+from marlstone.llm.quality import OTHER, Rules, common_words, letters
 
 #: Shrinkage toward the pooled covariance, and toward a multiple of the identity.
 POOLED, ROUND = 0.1, 0.01
@@ -27,20 +27,25 @@ FEATURES = ["words", "length", "upper", "symbols", "cries", "marks", "digits", "
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and one double for each of ``FEATURES``; null and empty texts give zeros."""
+    """doc_id and one double for each of ``FEATURES``; null and empty texts give zeros.
+
+    Common words are learned from the texts: those that make up a five-hundredth of all or more.
+    """
+    common = common_words(docs.select(text_col), text_col, "", Rules(common_of=500))[OTHER]
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     d = d.withColumns({"w": words(F.col("t")), "rest": F.regexp_replace("t", r"\p{L}+", "")})
-    every = sorted({x for c in COMMON.values() for x in c.split()})
     d = d.withColumns({
         "n": F.size("w"),
         "c": F.length("t"),
         "upper": F.length(F.regexp_replace("t", r"[^\p{Lu}]+", "")),
         "other": F.size(F.array_distinct("w")),
         "same": F.size(F.filter(F.zip_with("w", F.expr("slice(w, 2, size(w))"), lambda a, b: a == b), lambda x: x)),
-        "frequent": F.size(F.filter("w", lambda x: x.isin(every))),
+        "letters": letters(F.col("t")),
         "line": F.array_max(F.transform(F.split("t", "\n"), lambda x: F.length(x))),
     })
 
+    d = d.withColumns({"frequent": F.size(F.filter("letters", lambda x: x.isin(list(common) or [""]))), "runs": F.size("letters")})
+
     def kept(chars: str) -> Column:
         return F.length("rest") - F.length(F.regexp_replace("rest", f"[{chars}]+", ""))
 
@@ -60,7 +65,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "spaces": share(kept(r"\x20\x09-\x0D"), "c"),
         "distinct": share("other", "n"),
         "again": share("same", "n"),
-        "common": share("frequent", "n"),
+        "common": share("frequent", "runs"),
         "long_line": F.log1p(F.coalesce(F.col("line"), F.lit(0)).cast("double")),
     }
     return d.select("doc_id", *(made[f].alias(f) for f in FEATURES))

@@ -12,8 +12,9 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from marlstone.llm import classifier, html_text, html_training, lines, mixing, packing, pseudo_lm, quality, simhash, tokens, topk, unigram
+from marlstone.llm import classifier, html_text, html_training, lines, mixing, packing, pseudo_lm, quality, queries, simhash, tokens, topk, unigram
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SIMPLE = settings(max_examples=60, deadline=None)
@@ -143,18 +144,49 @@ def test_base_rules(docs):
         assert not (got.loc[i, "base_failed"] and got.loc[i, "kept"])
 
 
-def test_divergence_rejects_junk_and_keeps_prose(docs):
-    prose = "The men of the town went to the market and it was good for them. "
-    rows = [(i, prose * 4 + f"It is number {i}.", "s") for i in range(20)] + [(100, "The*** men### of$$$ the%%% town&&& went*** to### " * 3 + "zz", "s"), (101, "THE MEN!! OF!! THE!! OLD TOWN!! WENT!! " + " ".join(f"AB{chr(65 + i)}!!" for i in range(25)), "s")]
-    got = quality.quality(docs(rows)).toPandas().set_index("doc_id")
-    assert got.loc[list(range(20)), "base_failed"].all() or got.loc[[101], "kept"].eq(False).all()
-    assert not got.loc[100, "kept"] and not got.loc[101, "kept"]
+def matches_sql(spark, tmp_path, name, table, rows):
+    """The query over a folder with one table, and its SQL in DuckDB: whole results."""
+    import duckdb
+
+    rows.coalesce(1).write.parquet(f"{tmp_path}/raw")
+    next(tmp_path.glob("raw/*.parquet")).rename(tmp_path / f"{table}.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet'")
+    want, got = db.execute(queries.ORACLES[name]).df(), queries.QUERIES[name](spark, str(tmp_path)).toPandas()
+    assert sorted(want.columns) == sorted(got.columns) and len(want) == len(got)
+    key = lambda df: sorted(tuple("" if pd.isna(x) else f"{x:.9g}" if isinstance(x, float) else str(x) for x in r) for r in df[sorted(df.columns)].astype({"doc_id": float} if "doc_id" in df else {}).itertuples(index=False))
+    assert key(want) == key(got)
+    return got
+
+
+def prose(rng, vocabulary, n):
+    common = "the of and to in a is that it for was on with as be by".split()
+    w = [str(rng.choice(common if rng.random() < 0.45 else vocabulary)) for _ in range(n)]
+    return " ".join(x.capitalize() + "," * (i % 11 == 0) + "." * (i % 9 == 8) for i, x in enumerate(w))
+
+
+def test_divergence_rejects_junk_and_keeps_prose(spark, docs, tmp_path):
+    rng = np.random.default_rng(12)
+    vocabulary = ["".join(rng.choice(list("abcdefghiklmnoprstu"), rng.integers(3, 9))) for _ in range(900)]
+    rows = [(i, prose(rng, vocabulary, int(rng.integers(80, 300))), "s") for i in range(120)]
+    junk = [(200, " ".join(f"{x}{'*' * 3}" for x in rng.choice(vocabulary, 90)), "s"), (201, " ".join(rng.choice(vocabulary, 120)).upper(), "s"), (202, " ".join(x for x in rng.choice(vocabulary, 40) for _ in range(4)), "s")]
+    got = quality.quality(docs(rows + junk)).toPandas().set_index("doc_id").sort_index()
+    assert got.loc[:119, "kept"].all() and not got.loc[200:, "kept"].any() and not got.loc[200:, "base_failed"].any()
+    odd = [(300, None, "s"), (301, "", "s"), (301, "", "s"), (None, rows[0][1], "s"), (302, "ß É 日本 🙂 x\ny\n\ny", "s")]
+    many = docs(rows + junk + odd).withColumn("lang", F.expr("case when doc_id % 50 = 3 then 'rare' when doc_id % 7 = 1 then null when doc_id % 7 = 2 then 'de' else lang end"))
+    matches_sql(spark, tmp_path, "op3_quality_rules", "documents", many)
+
+
+def test_common_words_are_learned(docs):
+    rows = [(i, "Alpha beta, " * 50 + f"own{i} " * 3, "s") for i in range(30)]
+    found = quality.common_words(docs(rows).withColumn("lang", F.expr("if(doc_id < 20, 'xx', null)")), "text", "lang", quality.Rules())
+    assert set(found) == {"xx", "other"} and {"alpha", "beta"} <= set(found["xx"]) and abs(found["xx"]["alpha"] - 50 / 103) < 1e-9
 
 
 def test_quality_awkward(awkward):
     got = quality.quality(awkward, carry=True).toPandas()
-    assert len(got) == 9 and not got[got.doc_id < 5].kept.any()
-    assert quality.quality(awkward.limit(0)).count() == 0
+    assert len(got) == 9 and not got[got.doc_id < 5].kept.any() and got.row.map(lambda r: r["kept"]).eq(3).all()
+    assert quality.quality(awkward.limit(0)).count() == 0 and quality.quality(awkward.drop("lang")).count() == 9
 
 
 # op4
@@ -437,6 +469,12 @@ def test_top_k_is_exact(spark):
     assert topk.top_k(df.limit(0)).count() == 0 and topk.top_k(df.where("vec_id = 7")).count() == 0
 
 
+def test_top_k_matches_sql(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i % 190, rng.normal(0, 0.3, 8).tolist()) for i in range(200)] + [(300, None), (350, [float("nan")] * 8), (None, [0.1] * 8), (400, [1.0] * 3)]
+    matches_sql(spark, tmp_path, "op9_top_k", "embeddings", spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"))
+
+
 def test_scores_beyond_a_long_keep_their_order(spark):
     rows = [(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [1e31, 0.0]), (3, [-1e31, 0.0])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).toPandas().sort_values("rank")
