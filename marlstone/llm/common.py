@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space other than the blank; words are what lies between any of these and blanks.
@@ -75,6 +75,22 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def numbered(rows: DataFrame, *order: str, name: str = "rank") -> DataFrame:
+    """``rows`` with a gapless number from 0 in the order given, written to the shared folder.
+
+    Ranges of the order are sorted apart, so no task holds all rows; ``order`` should tell rows apart that many
+    share their first columns. Only one number a partition is broadcast.
+    """
+    (at,) = fresh(rows, "at")
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    rows = written(rows, "numbered").withColumn("part", F.shiftright(at, 33))
+    parts = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # one row a partition
+    rows = rows.join(F.broadcast(parts), "part")
+    return rows.withColumn(name, F.col("base") + F.col(at) - F.shiftleft(F.col("part"), 33)).drop(at, "part", "base")
+
+
 class Cache(dict):
     """A dict that computes what is missing and starts anew beyond ``bound`` entries."""
 

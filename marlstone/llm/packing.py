@@ -4,8 +4,8 @@ A document's ids and an end id are cut into full sequences and one shorter rest.
 lengths, rounded up to a grid of a few ids, is a cutting-stock problem (at most ``capacity / grid`` numbers,
 whatever the corpus): a linear program over patterns, whose columns are priced by knapsack dynamic
 programming. Pattern counts are rounded down; the few rests left over are placed best-fit. Rests are then
-ranked within their size class and take the slots of the patterns in order, by a join with a table of slot
-ranges; they move together within their sequence, so that only its end is padded.
+numbered by size class, in ranges that are sorted apart, and take the slots of the patterns in order, by a join
+with a table of slot ranges; they move together within their sequence, so that only its end is padded.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import small_batches, written
+from marlstone.llm.common import numbered, small_batches, written
 from marlstone.llm.tokens import VOCABULARY, token_ids
 
 CAPACITY, END, GRID = 1024, 0, 4
@@ -150,23 +150,13 @@ def _slots(chosen: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, int, in
     return out
 
 
-def _ranked(rows: DataFrame, by: str, buckets: int) -> DataFrame:
-    """A gapless rank from 0 within ``by``, by salted buckets, so that one hot value takes many tasks."""
-    order = ["doc_id", "start", "ids_crc32", "doc_tokens"]
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    sizes = rows.groupBy(by, "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy(by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(by, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = F.row_number().over(Window.partitionBy(by, "bucket").orderBy(*order)) - 1
-    return rows.withColumn("inside", inside).join(sizes, [by, "bucket"]).withColumn("rank", F.col("base") + F.col("inside")).drop("bucket", "base", "inside")
-
-
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end: int = END, grid: int = GRID, buckets: int = 256) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end: int = END, grid: int = GRID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A null or empty text is the end id alone. Repeated rows are packed each for itself. Rows without an id
-    are packed with a null one. An empty table gives no pieces. Sequences are filled from offset 0 without
-    gaps; what a sequence lacks to ``capacity`` is padding. Other columns are not read.
+    A null or empty text is the end id alone. Repeated rows are packed each for itself; pieces that tie in all that
+    is read are interchangeable. Rows without an id are packed with a null one. Texts of any length are read whole.
+    An empty table gives no pieces. Sequences are filled from offset 0 without gaps; what a sequence lacks to
+    ``capacity`` is padding. Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -181,7 +171,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     slots = [(whole, 0, top, 0, 1, 0)] + [(n, lo, hi, s + top, k, o) for n, lo, hi, s, k, o in _slots(patterns(counts, whole))]
     schema = "class int, low bigint, high bigint, sequence bigint, copies bigint, at bigint"
     table = F.broadcast(spark.createDataFrame(slots, schema))  # a few ranges for each size class
-    placed = _ranked(cut, "class", buckets).join(table, "class").where("rank >= low and rank < high")
+    sizes = np.append(counts, 0)
+    sizes[whole] = top
+    firsts = spark.createDataFrame([(n, int(f)) for n, f in enumerate(np.cumsum(sizes) - sizes)], "class int, first bigint")
+    cut = cut.withColumn("draw", F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"))
+    ranked = numbered(cut, "class", "draw", "doc_id", "start").join(F.broadcast(firsts), "class")  # one row a size class
+    ranked = ranked.withColumn("rank", F.col("rank") - F.col("first"))
+    placed = ranked.join(table, "class").where("rank >= low and rank < high")
     nth = F.col("rank") - F.col("low")
     placed = placed.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",

@@ -348,24 +348,45 @@ def test_classifier_awkward(spark, awkward):
 
 
 # op7
-@SIMPLE
-@given(st.lists(st.integers(0, 50), min_size=1, max_size=12), st.integers(0, 80))
-def test_sainte_lague_is_highest_quotients(votes, seats):
-    got = mixing.sainte_lague(votes, seats)
-    if not any(votes):
-        assert not got.any()
-        return
-    want = [0] * len(votes)
-    for _ in range(seats):
-        i = max(range(len(votes)), key=lambda i: votes[i] / (2 * want[i] + 1))
-        want[i] += 1
-    quotients = lambda s: sorted(v / (2 * k + 1) for v, n in zip(votes, s, strict=True) for k in range(n))
-    assert got.sum() == seats and np.allclose(quotients(got), quotients(want))
+def brute_seats(votes, seats):
+    got = [0] * len(votes)
+    for _ in range(seats if any(votes) else 0):
+        got[max(range(len(votes)), key=lambda i: (votes[i] / (2 * got[i] + 1), -i))] += 1
+    return got
 
 
-def test_targets_stop_at_the_cap():
-    t = mixing.targets([100, 10, 1, 50, 0], [5, 2, 1, 5, 2])
-    assert np.isclose(t.sum(), 1.5 * 161) and (t <= 2 * np.array([100, 10, 1, 50, 0]) + 1e-9).all()
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_seats_go_to_the_highest_quotients(spark, small):
+    rng = np.random.default_rng(2)
+    cases = [(g, rng.integers(0, [60, 3, 1000, 1][g % 4], rng.integers(1, 13)).tolist(), int(rng.integers(0, 80))) for g in range(60)]
+    table = spark.createDataFrame([(g, k, float(v)) for g, votes, _ in cases for k, v in enumerate(votes)], "group bigint, key bigint, votes double")
+    groups = spark.createDataFrame([(g, n) for g, _, n in cases], "group bigint, seats bigint")
+    got = {(r["group"], r["key"]): r["seats"] for r in mixing.apportion(table, groups, small).collect()}
+    for g, votes, n in cases:
+        assert [got[g, k] for k in range(len(votes))] == brute_seats(votes, n), (votes, n)
+
+
+def brute_targets(sizes, weights, total=1.5, epochs=2):
+    out, open_ = [0.0] * len(sizes), {i for i, n in enumerate(sizes) if n}
+    left = total * sum(sizes)
+    while open_:
+        share = {i: left * weights[i] / sum(weights[j] for j in open_) for i in open_}
+        over = {i for i in open_ if share[i] > epochs * sizes[i]}
+        for i in over or open_:
+            out[i] = epochs * sizes[i] if i in over else share[i]
+        if not over:
+            break
+        left -= sum(epochs * sizes[i] for i in over)
+        open_ -= over
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100, 10, 1, 50, 0], [5], [0, 0], [1000, 1, 1, 1, 1], [7] * 9, [1, 2, 4, 8, 16, 32, 64, 128]])
+def test_targets_stop_at_the_cap(spark, sizes):
+    weights = [[5.0, 2.0, 1.0][i % 3] for i in range(len(sizes))]
+    table = spark.createDataFrame([(i, n, w) for i, (n, w) in enumerate(zip(sizes, weights, strict=True))], "i int, size bigint, weight double")
+    got = [r["target"] for r in sorted(mixing.targets(table).collect())]
+    assert np.allclose(got, brute_targets(sizes, weights))
 
 
 def test_mix_reaches_targets_and_reruns_agree(docs):
@@ -379,8 +400,46 @@ def test_mix_reaches_targets_and_reruns_agree(docs):
     assert (g["size"] == g.own).all() and ((g.taken - g.target).abs() <= 0.01 * g.target + 2).all() and (a.taken <= 2 * a["size"]).all()
 
 
+def test_mix_is_what_a_plain_loop_takes(spark, docs):
+    """Blocks, their order and the cut, by a loop over each shard's rows, with the operator's hashes."""
+    rng = np.random.default_rng(21)
+    rows = [(i if i % 23 else None, "w " * int(rng.integers(0, 40)), f"s{i % 3}" if i % 10 else None) for i in range(400)] + [(7, "a b", "s0"), (7, "a b", "s0")]
+    got = mixing.mix(docs(rows), shard_rows=60, shard_blocks=10, small=0, carry=True).toPandas()
+    assert len(got) == len(rows) and got.row.map(lambda r: r["score"]).eq("x").all()
+    source = got.row.map(lambda r: r["source"] or "~")
+    sizes = got.groupby(source)["size"].sum()
+    assert np.allclose(got.groupby(source).target.first(), brute_targets(sizes.tolist(), [5, 2, 1, 5]))
+    block = max(1, int(sum(got.groupby(source).target.first()) / (10 * sum(-(-n // 60) for n in source.value_counts()))))
+    draw = {(r["doc_id"], r["text"]): (r["d"], r["h"]) for r in docs(rows).selectExpr("doc_id", "text", "xxhash64(7, doc_id, text) as d", "hash(xxhash64(7, doc_id, text)) as h").collect()}
+    shards, taken = collections.defaultdict(list), {}
+    for r in got.itertuples():
+        d, h = draw[r.row["doc_id"], r.row["text"]]
+        place = sorted(sizes.index).index(r.row["source"] or "~")
+        shards[place, h % -(-int((source == (r.row["source"] or "~")).sum()) // 60)].append((d, -1 if pd.isna(r.doc_id) else int(r.doc_id), r.size, r.Index))
+    votes = [float(got.target[source == k].iloc[0]) for k in sorted(sizes.index)]
+    seats = brute_seats(votes, round(sum(votes) / block))
+    for place in range(len(votes)):
+        own = sorted(k for k in shards if k[0] == place)
+        for k, n in zip(own, brute_seats([sum(x[2] for x in shards[k]) for k in own], seats[place]), strict=True):
+            start, blocks = 0, collections.defaultdict(list)
+            for x in sorted(shards[k]):
+                blocks[start // block].append(x)
+                start += x[2]
+            order = {b: spark.sql(f"select xxhash64(7, {place}L, {k[1]}L, {b}L) as x").first()["x"] for b in blocks}
+            left, everything = n * block, [x for b in sorted(blocks, key=order.get) for x in blocks[b]]
+            for _ in range(2):
+                for x in everything:
+                    part = min(x[2], left)
+                    taken[x[3]] = taken.get(x[3], 0) + part
+                    left -= part
+    same = [(taken[r.Index], r.taken) for r in got.itertuples() if (r.row["doc_id"], r.row["text"]) != (7, "a b")]
+    assert all(a == b for a, b in same)
+
+
 def test_mix_awkward(awkward):
-    assert len(mixing.mix(awkward).toPandas()) == 9
+    got = mixing.mix(awkward).toPandas()
+    assert len(got) == 9 and (got.taken <= 2 * got["size"]).all() and got[got.doc_id.isin([1, 2, 3])].taken.eq(0).all()
+    assert got[got.doc_id == 6]["size"].iloc[0] == 30_000 and abs(got.taken.sum() - got.groupby("source_size").target.first().sum()) < 0.02 * got["size"].sum()
     assert mixing.mix(awkward.limit(0)).count() == 0 and mixing.mix(awkward.where("doc_id < 3")).toPandas().taken.eq(0).all()
 
 
@@ -522,8 +581,9 @@ def test_spelling_is_a_distribution():
     counts = pseudo_lm.Spelling.count([b"ab", b"", b"b"], np.array([2.0, 5.0, 3.0]))
     assert counts.sum() == 7 and counts[256 * 256 + ord("a")] == 2 and counts[256 * 256 + ord("b")] == 3 and counts[ord("a") * 256 + ord("b")] == 2
     s = pseudo_lm.Spelling(pseudo_lm.Shape(lengths=3), counts)
-    assert np.isclose(sum(np.exp(s.log_prob(bytes([a, b]))) for a in range(256) for b in range(256)), 1)
-    tail = [sum(np.exp(s.log_prob(b"x" * n) - pseudo_lm.Spelling(pseudo_lm.Shape(lengths=999), counts).log_prob(b"x" * n)) for n in range(3, m)) for m in (10, 200)]
+    assert np.isclose(np.exp(s.log_probs([bytes([a, b]) for a in range(256) for b in range(256)])).sum(), 1)
+    whole = pseudo_lm.Spelling(pseudo_lm.Shape(lengths=999), counts)
+    tail = [sum(np.exp(s.log_probs([b"x" * n]) - whole.log_probs([b"x" * n]))[0] for n in range(3, m)) for m in (10, 200)]
     assert tail[0] < tail[1] < 1 + 1e-9 and tail[1] > 0.999
 
 
@@ -537,15 +597,16 @@ def lm_corpus():
 def test_scores_are_the_sums_of_a_plain_loop(spark, docs):
     rows = lm_corpus()
     df = docs(rows)
-    texts = df.selectExpr(f"xxhash64({SMALL.seed}, doc_id, text) as draw", "text")
+    texts = df.selectExpr("monotonically_increasing_id() as row", "doc_id", f"xxhash64({SMALL.seed}, doc_id, text) as draw", "xxhash64(text) as mark", "text")
     counts = pseudo_lm.count(texts)
-    vocabulary, flat = pseudo_lm.train(texts, counts, SMALL)
+    vocabulary = pseudo_lm.vocabulary_of(counts, SMALL)
     spelling = pseudo_lm.spell(counts, vocabulary, SMALL)
+    flat = pseudo_lm.train(pseudo_lm.encode(texts, vocabulary, spelling, SMALL), sum(len((t or "").split()) for _, t, _ in rows), SMALL)
     own = collections.Counter(w for _, t, _ in rows for w in (t or "").encode().lower().split())
     assert vocabulary == sorted(own, key=lambda w: (-own[w], w))[: SMALL.known]
     rare = [w for w in own if w not in vocabulary]
     assert np.allclose(spelling.logs, pseudo_lm.Spelling(SMALL, pseudo_lm.Spelling.count(rare, np.array([own[w] for w in rare], float))).logs)
-    net, encoder, pad = pseudo_lm.Network(SMALL, flat), pseudo_lm.Encoder(vocabulary, SMALL), None
+    net, encoder, pad = pseudo_lm.Network(SMALL, flat), pseudo_lm.Encoder(vocabulary, SMALL, spelling), None
     seen = [collections.Counter() for _ in rows]
     tokens = []
     for n, (_, t, _) in enumerate(rows):
@@ -553,7 +614,7 @@ def test_scores_are_the_sums_of_a_plain_loop(spark, docs):
         for i in range(2, len(w) - 2):
             window = w[i - 2], w[i - 1], w[i + 1], w[i + 2]
             ids = [SMALL.ids if x is pad else vocabulary.index(x) if x in vocabulary else SMALL.known + min(len(x), SMALL.lengths) - 1 for x in (*window, w[i])]
-            logp = net.log_probs(np.array(ids[4:]), np.array(ids[:4])[:, None])[0] + (0 if w[i] in vocabulary else spelling.log_prob(w[i]))
+            logp = net.log_probs(np.array(ids[4:]), np.array(ids[:4])[:, None])[0] + (0 if w[i] in vocabulary else spelling.log_probs([w[i]])[0])
             code = [SMALL.ids if x is pad else encoder.codes[x] for x in window]
             kept = int(pseudo_lm._mixed(np.array(code)[:, None] >> pseudo_lm.Encoder.BITS)[0]) % SMALL.every == 0
             tokens.append((n, window, w[i], logp, kept))
