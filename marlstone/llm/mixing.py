@@ -96,9 +96,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = numbered(sources, "source", name="place")
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))
     sources = written(targets(sources.withColumn("weight", weight), total, epochs), "sources")
-    sums = sources.agg(F.sum("target").alias("target"), F.sum(F.expr(f"(n + {shard_rows - 1}) div {shard_rows}")).alias("shards")).first()
-    block = max(1, int((sums["target"] or 0) / (shard_blocks * (sums["shards"] or 1))))
     shards = F.expr(f"(n + {shard_rows - 1}) div {shard_rows}")
+    sums = sources.agg(F.sum("target").alias("all"), F.sum(shards).alias("shards"), F.min(F.expr("if(target > 0, target, null)")).alias("least")).first()
+    # small against a shard and against the smallest source
+    block = max(1, int(min((sums["all"] or 0) / (sums["shards"] or 1), sums["least"] or 0) / shard_blocks))
     rows = looked_up(rows, sources.select("source", "place", F.col("size").alias("source_size"), "target", shards.alias("shards")), "source", "draw", small)
     rows = rows.withColumn("shard", F.pmod(F.hash("draw"), F.col("shards"))).drop("source", "shards")
     votes = sources.select(F.lit(0).cast("bigint").alias("group"), F.col("place").alias("key"), F.col("target").alias("votes"))

@@ -57,7 +57,7 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         made = np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)
-        yield pd.DataFrame({"doc_id": b["doc_id"], "fp": made})
+        yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "mark": b["mark"], "fp": made})
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -158,6 +158,20 @@ def links(codes: DataFrame, group: int = GROUP) -> DataFrame:
     return groups.where(F.size("members") > 1).select("members").mapInPandas(_forests, "u bigint, v bigint")
 
 
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = 200_000) -> DataFrame:
+    """One row per input row: doc_id, mark (hash of the text), fp, root (a fingerprint that names the component) and
+    least (its smallest id)."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).cast("string").alias("text"))
+    rows = written(rows.mapInPandas(_fingerprints, "doc_id bigint, mark bigint, fp bigint"), "fingerprints")
+    codes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("own")), "codes")
+    linked = components(links(codes.select("fp", F.col("fp").alias("rep")))).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    codes = codes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = codes.groupBy("root").agg(F.min("own").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    codes = looked_up(codes, written(least, "components"), "root", "fp", small, "left").select("fp", "root", F.coalesce("least", "own").alias("least"))
+    return rows.join(codes, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = 200_000) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
@@ -166,14 +180,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     any other, also between rows that have one, and takes their component; a component without any id is null.
     Texts of any length are read whole. An empty table gives no rows. Other columns are not read, whatever their names.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = written(rows.mapInPandas(_fingerprints, "doc_id bigint, fp bigint"), "fingerprints")
-    codes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
-    linked = components(links(codes.select("fp", F.col("fp").alias("rep")))).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    codes = codes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = written(codes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")).where("n > 1"), "components")
-    codes = looked_up(codes, least.drop("n"), "root", "fp", small, "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(codes, "fp", "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    return grouped(docs, id_col, text_col, small).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id")
     )

@@ -409,7 +409,8 @@ def test_mix_is_what_a_plain_loop_takes(spark, docs):
     source = got.row.map(lambda r: r["source"] or "~")
     sizes = got.groupby(source)["size"].sum()
     assert np.allclose(got.groupby(source).target.first(), brute_targets(sizes.tolist(), [5, 2, 1, 5]))
-    block = max(1, int(sum(got.groupby(source).target.first()) / (10 * sum(-(-n // 60) for n in source.value_counts()))))
+    goal = got.groupby(source).target.first()
+    block = max(1, int(min(sum(goal) / sum(-(-n // 60) for n in source.value_counts()), min(goal)) / 10))
     draw = {(r["doc_id"], r["text"]): (r["d"], r["h"]) for r in docs(rows).selectExpr("doc_id", "text", "xxhash64(7, doc_id, text) as d", "hash(xxhash64(7, doc_id, text)) as h").collect()}
     shards, taken = collections.defaultdict(list), {}
     for r in got.itertuples():

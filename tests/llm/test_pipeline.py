@@ -44,3 +44,36 @@ def test_stages(spark, tmp_path):
     whole = cp.run(spark, str(tmp_path)).toPandas()
     key = ["doc_id", "start", "length", "ids_crc32"]
     pd.testing.assert_frame_equal(whole[key].sort_values(key).reset_index(drop=True), pieces[key].sort_values(key).reset_index(drop=True))
+
+
+AWKWARD = [(1, None, "en", "a", 0), (2, "", None, None, 0), (3, " \t\n", "en", "a", 3), (None, "two words", "en", "b", 9), (None, "two words", "en", "b", 9), (None, "others alone", "de", None, 5), (7, "same id", "en", "a", 7), (7, "another text altogether", "en", "a", 7), (7, "same id", "en", "a", 7), (9, "x" * 50_000, "en", "a", 1), (10, "word " * 30_000, "en", "a", 1)]
+
+
+def awkward(spark, rows):
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int")
+    return d.selectExpr("*", "1 as kept", "2 as size", "3 as taken", "4 as `row`", "5 as own", "6 as mark", "7 as one", "8 as gone")
+
+
+def test_stages_over_awkward_rows(spark, tmp_path):
+    docs = awkward(spark, AWKWARD)
+    rules = cp.quality_rules(spark, docs, "").toPandas()
+    assert list(rules.columns) == cp.COLUMNS and len(rules) == 0
+    lines = cp.line_dedup(spark, docs, "").toPandas()
+    assert len(lines) == len(AWKWARD) and lines.doc_id.isna().sum() == 3 and lines.text.isna().sum() == 1
+    near = cp.near_dedup(spark, docs, "").toPandas()
+    # null, empty and blank texts are one group; a repeated row stays once; rows without an id stay once a group
+    assert sorted(near.text.fillna("").str[:10]) == sorted(["", "two words", "others alo", "same id", "another te", "x" * 10, "word word "])
+    assert near[near.text.isna()].doc_id.tolist() == [1]
+    mixed = cp.mix_sources(spark, docs, "").toPandas()
+    size = mixed.text.str.split().str.len()
+    assert list(mixed.columns) == cp.COLUMNS and (size > 0).all() and {"two words", "others alone"} <= set(mixed.text[mixed.doc_id.isna()])
+    total = sum(len((t or "").split()) for _, t, *_ in AWKWARD)
+    assert abs(size.sum() - 1.5 * total) < 0.1 * total
+    pieces = cp.pack_sequences(spark, docs, "").toPandas()
+    assert (pieces.start == 0).sum() == len(AWKWARD)
+
+
+def test_stages_over_an_empty_table(spark):
+    docs = awkward(spark, AWKWARD).limit(0)
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs, "").count() == 0
