@@ -21,26 +21,46 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go, and with them null and empty texts.
+
+    Rows without an id, source or language are judged like any other; rows that repeat one another go or stay
+    together. An empty table gives no rows. Columns besides those of ``documents`` go.
+    """
     return quality.quality(docs, carry=True).where("kept").select("row.*").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose template recurs across documents stay in the first document only."""
-    return _counted(lines.drop_recurring_lines(docs))
+    """Lines whose template recurs across documents stay in the document with the smallest id only.
+
+    No document goes; one that loses all its lines has an empty text. Null texts stay null. Rows without an id count
+    as one document that comes last. An empty table gives no rows. Columns besides those of ``documents`` go.
+    """
+    return _counted(lines.drop_recurring_lines(docs.select(*COLUMNS)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest id; of rows that repeat it one. Rows without id go."""
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "lang", "source")))
-    return docs.join(first, "doc_id", "left_semi").withColumn("one", one).where("one = 1").select(*COLUMNS)
+    """One document of each group stays: that with the smallest id, and of several texts with that id the one of the
+    smallest hash. A group of rows without an id keeps one of them.
+
+    Null and empty texts have one fingerprint and so are one group. Of rows that repeat id and text one stays. An
+    empty table gives no rows. Columns besides those of ``documents`` go.
+    """
+    found = simhash.grouped(docs)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("f"))
+    first = first.select(F.col("f.doc_id").alias("first_id"), F.col("f.mark").alias("mark"))
+    d = docs.select(*COLUMNS).withColumn("own", F.xxhash64("text"))
+    kept = d.join(first, d["doc_id"].eqNullSafe(first["first_id"]) & (d["own"] == first["mark"]))
+    one = F.row_number().over(Window.partitionBy("doc_id", "own").orderBy(F.xxhash64("text", "lang", "source", "n_chars")))
+    return kept.withColumn("one", one).where("one = 1").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one at a shard's edge gives only the words taken."""
-    taken = mixing.mix(docs).where("taken > 0").select("doc_id", "size", "taken")
-    d = docs.join(taken, "doc_id")
+    """Documents as often as the mix takes them; the one at a shard's edge gives only the words taken.
+
+    Documents without a word are never taken, and so go. Rows without an id or source are mixed like any other, rows
+    that repeat one another each for itself. An empty table gives no rows. Columns besides those of ``documents`` go.
+    """
+    d = mixing.mix(docs.select(*COLUMNS), carry=True).where("taken > 0").select("size", "taken", "row.*")
     whole = F.floor(F.col("taken") / F.col("size")).cast("int")
     rest = (F.col("taken") % F.col("size")).cast("int")
     cut = F.array_join(F.slice(common.words(F.col("text")), F.lit(1), rest), " ")
@@ -49,7 +69,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences of at most 1024 ids."""
+    """Pieces of token sequences of at most 1024 ids.
+
+    A null or empty text is one end id. Rows without an id are packed with a null one, repeated rows each for itself.
+    An empty table gives no pieces.
+    """
     return packing.pack(docs)
 
 
