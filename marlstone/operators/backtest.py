@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marlstone.functions.nulls import ratio
+from marlstone.functions.shared import calendar_grid
 from marlstone.operators import recursive
 from marlstone.operators.cross_sectional import percent_rank_average, quantile_count
 from marlstone.operators.technical import YEAR
@@ -98,14 +99,12 @@ def held_weights(scores: DataFrame, calendar: DataFrame, p: Policy) -> DataFrame
     Dates without a signal keep the last target. The grid of dates and tickers is what the backtest holds.
     """
     wanted = limits(row_weights(scores, p), p).select("date", "ticker", "weight")
-    signal = wanted.select("date").distinct()
-    grid = calendar.select("date").distinct().crossJoin(wanted.select("ticker").distinct())
-    wanted = grid.join(wanted, ["date", "ticker"], "left")
+    wanted = calendar_grid(calendar, scores).join(wanted, ["date", "ticker"], "left")
     # a date with any signal sets all its names; others carry the last such date forward
-    wanted = wanted.join(signal.withColumn("__set", F.lit(True)), "date", "left")
-    wanted = wanted.withColumn("weight", F.when(F.col("__set"), F.coalesce("weight", F.lit(0.0))))
+    signal = F.count("weight").over(by_date()) > 0
+    wanted = wanted.withColumn("weight", F.when(signal, F.coalesce("weight", F.lit(0.0))))
     before = by_ticker().rowsBetween(Window.unboundedPreceding, 0)
-    wanted = wanted.withColumn("weight", F.coalesce(F.last("weight", ignorenulls=True).over(before), F.lit(0.0))).drop("__set")
+    wanted = wanted.withColumn("weight", F.coalesce(F.last("weight", ignorenulls=True).over(before), F.lit(0.0)))
     if p.band > 0:
         wanted = recursive.along(wanted, lambda rows: {"held": recursive.no_trade_band(rows["weight"].to_numpy(float), p.band)}, ["held"]).drop("weight").withColumnRenamed("held", "weight")
     wanted = limits(wanted, p)
@@ -163,6 +162,16 @@ def cost_grid(days: DataFrame, bps: list[float]) -> DataFrame:
     return with_equity(d, ("bps",))
 
 
+def delay_grid(delayed: list[DataFrame]) -> DataFrame:
+    """Summed gross returns, turnover and Sharpe ratio by ``delay``, of daily results that hold that column."""
+    rows = delayed[0]
+    for other in delayed[1:]:
+        rows = rows.unionByName(other)
+    net = F.col("net")
+    sharpe = ratio(F.avg(net), F.stddev_samp(net)) * F.sqrt(F.lit(YEAR))
+    return rows.groupBy("delay").agg(F.sum("gross").alias("gross"), F.sum("turnover").alias("turnover"), sharpe.alias("sharpe"))
+
+
 def break_even_bps(days: DataFrame) -> DataFrame:
     """One-way cost at which summed gross returns are used up; null without turnover."""
     both = days.where("gross is not null and turnover is not null")

@@ -14,15 +14,20 @@ def window_before(returns: DataFrame, as_of: DataFrame, n: int, date: str = "dat
     w = Window.partitionBy(F.lit(0)).orderBy(date)
     days = returns.select(date).distinct().withColumn("i", F.row_number().over(w))
     marks = as_of.join(days, as_of["as_of"] == days[date]).select("as_of", F.col("i").alias("at"))
-    near = days.crossJoin(F.broadcast(marks)).where((F.col("i") < F.col("at")) & (F.col("i") >= F.col("at") - n))
-    return returns.join(F.broadcast(near.select(date, "as_of")), date)  # n dates a mark
+    # each mark names its n dates; dates and marks are rows of a calendar, so hints are left to the planner's sizes
+    near = marks.select("as_of", F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - n), F.col("at") - 1)).alias("i")).where("i >= 1")
+    return returns.join(near.join(days, "i").select(date, "as_of"), date)
 
 
 def edges(windowed: DataFrame, value: str = "ret", lagged: str | None = None, threshold: float = 0.2, degree: int = 3) -> DataFrame:
     """(as_of, src, dst, weight): absolute correlations over the threshold, the strongest few of each node, rows summing to one."""
     a = windowed.select("as_of", "date", F.col("ticker").alias("src"), F.col(lagged or value).alias("a")).where("a is not null")
     b = windowed.select("as_of", "date", F.col("ticker").alias("dst"), F.col(value).alias("b")).where("b is not null")
-    c = a.join(b, ["as_of", "date"]).where("src <> dst").groupBy("as_of", "src", "dst").agg(F.abs(F.corr("a", "b")).alias("w"))
+    if lagged:
+        c = a.join(b, ["as_of", "date"]).where("src <> dst").groupBy("as_of", "src", "dst").agg(F.abs(F.corr("a", "b")).alias("w"))
+    else:  # symmetric: each pair once, then mirrored
+        c = a.join(b, ["as_of", "date"]).where("src < dst").groupBy("as_of", "src", "dst").agg(F.abs(F.corr("a", "b")).alias("w"))
+        c = c.select("as_of", F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))), "w")
     c = c.where(F.col("w") >= threshold)
     node = Window.partitionBy("as_of", "src")
     c = c.withColumn("place", F.row_number().over(node.orderBy(F.desc("w"), "dst"))).where(F.col("place") <= degree)

@@ -23,7 +23,7 @@ def walk_forward(df: DataFrame, folds: int, test: int, embargo: int = 0, least:
     training = (F.col("i") < F.col("until")) & (F.lit(expanding) | (F.col("i") >= F.col("until") - train))
     part = F.when(training, "train").when((F.col("i") >= F.col("a")) & (F.col("i") < F.col("b")), "test")
     d = d.where((F.col("a") >= 0) & (F.col("until") >= least)).withColumn("part", part).where("part is not null")
-    return df.join(F.broadcast(d.select(date, "fold", "part")), date)
+    return df.join(d.select(date, "fold", "part"), date)  # a few rows a date; the planner broadcasts by size
 
 
 def sequences(df: DataFrame, features: list[str], n: int, entity: str = "ticker", date: str = "date") -> DataFrame:

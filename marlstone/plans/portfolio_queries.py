@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.shared import calendar_grid, written
 from marlstone.functions.trail import Trail
 from marlstone.operators import backtest as bt
 from marlstone.operators import risk
@@ -28,13 +29,35 @@ def add(name: str, query: Callable[[SparkSession, str], DataFrame], keys: list[s
         ORACLES[name] = _round_sql(", ".join(keys) or "", columns, sql) if keys else f"select {', '.join(f'{P.rounded_sql(c)} as {c}' for c in columns)} from ({sql})"
 
 
+class Book:
+    """What a portfolio query needs of one panel, each made once: the panel, the grid, and weights by policy."""
+
+    def __init__(self, s: SparkSession, d: str):
+        self.panel = written(P.region_day(s, d), "panel")
+        t = Trail(P.with_returns(self.panel))
+        rows = t.put(score=te.momentum(t, F.col("close"), 20)).result()
+        full = calendar_grid(self.panel, self.panel).join(rows, K, "left")
+        #: every date and region with scaled return (zero where there was no bar), and 20-bar momentum as score
+        self.grid = written(full.select(*K, F.coalesce(F.col("ret") * 0.01, F.lit(0.0)).alias("ret"), "score"), "grid")
+        self._held: dict[bt.Policy, DataFrame] = {}
+
+    def held(self, p: bt.Policy | None = None, delay: int = 0) -> DataFrame:
+        p = p or EQUAL
+        if (p, delay) not in self._held:
+            scores = self.grid.withColumn("score", F.lag("score", delay).over(bt.by_ticker())) if delay else self.grid
+            self._held[p, delay] = written(bt.held_weights(scores, self.grid, p), "held")
+        return self._held[p, delay]
+
+    def days(self, p: bt.Policy | None = None, delay: int = 0) -> DataFrame:
+        return bt.daily(self.held(p, delay), self.grid, p or EQUAL)
+
+    def with_market(self) -> DataFrame:
+        market = self.grid.groupBy("date").agg(F.avg("ret").alias("market"))
+        return self.days().join(market, "date", "left")
+
+
 def grid(s: SparkSession, d: str) -> DataFrame:
-    """Every date and region with scaled return (zero where there was no bar), and 20-bar momentum as score."""
-    panel = P.region_day(s, d)
-    t = Trail(P.with_returns(panel))
-    rows = t.put(score=te.momentum(t, F.col("close"), 20)).result()
-    every = panel.select("date").distinct().crossJoin(panel.select("ticker").distinct())
-    return every.join(rows, K, "left").select(*K, F.coalesce(F.col("ret") * 0.01, F.lit(0.0)).alias("ret"), "score")
+    return Book(s, d).grid
 
 
 GRID = f"""select c.date, t.ticker, coalesce(r.ret * 0.01e0, 0) as ret, r.score from (select distinct date from ({P.REGION_SQL})) c cross join (select distinct ticker from ({P.REGION_SQL})) t
@@ -73,12 +96,26 @@ EQUAL = bt.Policy()
 
 
 def held(s: SparkSession, d: str, p: bt.Policy = EQUAL) -> DataFrame:
-    g = grid(s, d)
-    return bt.held_weights(g, g, p)
+    return Book(s, d).held(p)
 
 
 def days(s: SparkSession, d: str, p: bt.Policy = EQUAL) -> DataFrame:
-    return bt.daily(held(s, d, p), grid(s, d), p)
+    return Book(s, d).days(p)
+
+
+def _trades(s: SparkSession, d: str) -> DataFrame:
+    b = Book(s, d)
+    return bt.trade_summary(b.held(), b.days())
+
+
+def _capacity(s: SparkSession, d: str) -> DataFrame:
+    b = Book(s, d)
+    return bt.capacity(b.held(), b.panel, [1e3, 1e5])
+
+
+def _products(s: SparkSession, d: str) -> DataFrame:
+    b = Book(s, d)
+    return b.held().join(b.grid, K).groupBy("date").agg(F.sum(F.col("weight") * F.col("ret")).alias("x"))
 
 
 DAY = ["gross", "turnover", "cost", "net", "equity", "drawdown"]
@@ -103,13 +140,12 @@ add("b05_backtest", days, ["date"], DAY, DAYS)
 _over = "coalesce(least(0.1e0 / nullif(case when count(g) over z >= 31 then stddev_samp(g) over z end * sqrt(252), 0), 3), 1)"
 _LEV = f"select h.* replace (h.weight * m.m as weight) from ({HELD}) h join (select date, {_over} as m from (select date, sum(weight * ret) as g from ({HELD}) group by date) window z as (order by date rows between 63 preceding and 1 preceding)) m on h.date = m.date"
 add("b04_vol_target", lambda s, d: days(s, d, bt.Policy(vol_target=0.1)), ["date"], ["gross", "turnover", "net"], f"select *, gross - turnover * 0.0005e0 as net from ({_DAYS.format(limits_sql(_LEV))})")
-add("b05_trade_summary", lambda s, d: bt.trade_summary(held(s, d), days(s, d)), ["n_days"], ["avg_positions", "avg_gross_exposure", "avg_net_exposure", "avg_daily_turnover", "best_day", "worst_day", "pct_positive_days"], f"select count(*) as n_days, avg(p) as avg_positions, avg(e.g) as avg_gross_exposure, avg(e.n) as avg_net_exposure, avg(turnover) as avg_daily_turnover, max(net) as best_day, min(net) as worst_day, avg(cast(net > 0 as int)) as pct_positive_days from ({DAYS}) d join (select date, sum(abs(weight)) as g, sum(weight) as n, count(*) filter (abs(weight) > 1e-8) as p from ({HELD}) group by date) e on d.date = e.date")
+add("b05_trade_summary", _trades, ["n_days"], ["avg_positions", "avg_gross_exposure", "avg_net_exposure", "avg_daily_turnover", "best_day", "worst_day", "pct_positive_days"], f"select count(*) as n_days, avg(p) as avg_positions, avg(e.g) as avg_gross_exposure, avg(e.n) as avg_net_exposure, avg(turnover) as avg_daily_turnover, max(net) as best_day, min(net) as worst_day, avg(cast(net > 0 as int)) as pct_positive_days from ({DAYS}) d join (select date, sum(abs(weight)) as g, sum(weight) as n, count(*) filter (abs(weight) > 1e-8) as p from ({HELD}) group by date) e on d.date = e.date")
 add("a06_exposure_summary", lambda s, d: bt.exposures(held(s, d)), ["date", "n_long", "n_short"], ["gross", "net", "long", "short"], f'select date, count(*) filter (weight > 0) as n_long, count(*) filter (weight < 0) as n_short, sum(abs(weight)) as gross, sum(weight) as net, sum(greatest(weight, 0)) as "long", sum(least(weight, 0)) as short from ({HELD}) group by date')
 
 
 def _with_market(s: SparkSession, d: str) -> DataFrame:
-    market = grid(s, d).groupBy("date").agg(F.avg("ret").alias("market"))
-    return days(s, d).join(market, "date", "left")
+    return Book(s, d).with_market()
 
 
 _WM = f"select d.*, m.market from ({DAYS}) d left join (select date, avg(ret) as market from ({GRID}) group by date) m on d.date = m.date"
@@ -139,19 +175,15 @@ SHOCKS = {"equity_crash": -0.2, "vol_spike": 2.0, "rates_up": -0.03}
 _shock = ", ".join(f"('{k}', {v}e0)" for k, v in SHOCKS.items())
 add("r07_stress", lambda s, d: risk.stress(risk.summary(_with_market(s, d)), SHOCKS), ["scenario"], ["shock", "impact"], f"select scenario, shock, case when scenario like '%equity%' then beta * shock when scenario like '%vol%' then -var * shock else shock end as impact from ({_SUM}) cross join (values {_shock}) as t(scenario, shock)")
 add("j03_beta_join", lambda s, d: _with_market(s, d).agg((F.covar_samp("net", "market") / F.var_samp("market")).alias("x")), [], ["x"], f"select {_beta} as x from ({_WM})")
-add("j12_weights_times_returns", lambda s, d: held(s, d).join(grid(s, d), K).groupBy("date").agg(F.sum(F.col("weight") * F.col("ret")).alias("x")), ["date"], ["x"], f"select date, sum(weight * ret) as x from ({HELD}) group by date")
+add("j12_weights_times_returns", _products, ["date"], ["x"], f"select date, sum(weight * ret) as x from ({HELD}) group by date")
 BPS = [0.0, 5.0, 10.0, 25.0]
 add("g01_cost_sensitivity", lambda s, d: risk.summary(bt.cost_grid(days(s, d), BPS).withColumn("market", F.lit(0.0)), keys=("bps",)), ["bps"], ["ann_return", "sharpe", "max_drawdown"], f"select bps, {_ann.format('net')} as ann_return, avg(net) / stddev_samp(net) * sqrt(252) as sharpe, min(drawdown) as max_drawdown from ({_equity(f'select date, bps, gross - turnover * bps / 1e4 as net from ({DAYS}) cross join (select unnest({BPS}) as bps)', 'bps')}) group by bps")
 
 
 def _delays(s: SparkSession, d: str) -> DataFrame:
-    g, out = grid(s, d), []
-    for k in (0, 1, 2):
-        late = g.withColumn("score", F.lag("score", k).over(bt.by_ticker())) if k else g
-        w = bt.held_weights(late, g, EQUAL)
-        out.append(bt.daily(w, g, EQUAL).withColumn("delay", F.lit(k)))
-    rows = out[0].unionByName(out[1]).unionByName(out[2])
-    return rows.groupBy("delay").agg(F.sum("gross").alias("gross"), F.sum("turnover").alias("turnover"), risk.sharpe(F.col("net")).alias("sharpe"))
+    b = Book(s, d)
+    rows = [b.days(delay=k).withColumn("delay", F.lit(k)) for k in (0, 1, 2)]
+    return bt.delay_grid(rows)
 
 
 def _late(k: int) -> str:
@@ -166,4 +198,4 @@ _cap = f"""select aum, count(*) filter (move > 0) as trades, count(x) as observe
   quantile_cont(x * aum, 0.95) as p95_rate, max(x * aum) as max_rate, avg(cast(x * aum > 0.1 as int)) as share_above, 0.1e0 / max(x) as capacity from (
   select *, case when move > 0 then move / liquidity end as x from (select h.*, l.liquidity, abs(weight - coalesce(lag(weight) over (partition by h.ticker order by h.date), 0)) as move from ({HELD}) h left join
   (select date, ticker, quantile_cont(case when close * volume > 0 then close * volume end, 0.5) over (partition by ticker order by date rows between 19 preceding and current row) as liquidity from ({P.REGION_SQL})) l on l.date = h.date and l.ticker = h.ticker)) cross join (select unnest([1000.0e0, 100000.0e0]) as aum) group by aum"""
-add("g04_liquidity_capacity", lambda s, d: bt.capacity(held(s, d), P.region_day(s, d), [1e3, 1e5]), ["aum", "trades", "observed"], ["coverage", "traded", "median_rate", "p95_rate", "max_rate", "share_above", "capacity"], _cap)
+add("g04_liquidity_capacity", _capacity, ["aum", "trades", "observed"], ["coverage", "traded", "median_rate", "p95_rate", "max_rate", "share_above", "capacity"], _cap)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.nulls import finite
+from marlstone.functions.shared import calendar_grid, written
 from marlstone.functions.trail import Trail
 from marlstone.operators import cross_sectional as xs
 from marlstone.operators import recursive as rc
@@ -91,7 +92,7 @@ add("k02_quantile_sides", _quantiles, f"select date, ticker, up <= k as top, dow
 add("k05_bounded_read", lambda s, d: P.region_day(s, d).where("date >= date'1995-03-01' and date <= date'1995-06-30'").orderBy("date", "ticker").limit(101).select("date", "ticker", "volume"), f"select date, ticker, volume from ({P.REGION_SQL}) where date between date '1995-03-01' and date '1995-06-30' order by date, ticker limit 101")
 add("k07_union_all", lambda s, d: P.region_day(s, d).unionByName(P.brand_day(s, d)).groupBy("ticker").agg(F.count("*").alias("bars"), F.sum("volume").alias("volume")), f"select ticker, count(*) as bars, sum(volume) as volume from (({P.REGION_SQL}) union all ({P.BRAND_SQL})) group by ticker")
 add("k08_distinct_first", lambda s, d: P.region_day(s, d).groupBy("date").agg(F.min_by("volume", "ticker").alias("volume"), F.min("ticker").alias("ticker")), f"select date, min(ticker) as ticker, arg_min(volume, ticker) as volume from ({P.REGION_SQL}) group by date")
-add("k09_set_difference", lambda s, d: P.table(s, d, "customer").select(F.col("c_custkey").alias("key")).exceptAll(P.table(s, d, "orders").select(F.col("o_custkey").alias("key")).distinct()).distinct(), "select distinct c_custkey as key from customer where c_custkey not in (select o_custkey from orders)")
+add("k09_set_difference", lambda s, d: P.table(s, d, "customer").select(F.col("c_custkey").alias("key")).exceptAll(P.table(s, d, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("key")).distinct()).distinct(), "select distinct c_custkey as key from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 200000)")
 
 # aggregates
 add("a01_panel_metadata", lambda s, d: P.region_day(s, d).agg(F.count("*").alias("n_rows"), F.countDistinct("ticker").alias("n_tickers"), F.min("date").alias("first"), F.max("date").alias("last")), f"select count(*) as n_rows, count(distinct ticker) as n_tickers, min(date) as first, max(date) as last from ({P.REGION_SQL})")
@@ -104,7 +105,12 @@ def correlations(returns: DataFrame, value: str = "ret", date: str = "date", ent
     """Pairwise-complete Pearson correlations (src, dst); ``lagged`` names the source side's column."""
     a = returns.select(F.col(date), F.col(entity).alias("src"), F.col(lagged or value).alias("a")).where("a is not null")
     b = returns.select(F.col(date), F.col(entity).alias("dst"), F.col(value).alias("b")).where("b is not null")
-    return a.join(b, date).groupBy("src", "dst").agg(F.corr("a", "b").alias("corr"), F.count("*").alias("n"))
+    if lagged:
+        return a.join(b, date).groupBy("src", "dst").agg(F.corr("a", "b").alias("corr"), F.count("*").alias("n"))
+    # symmetric: each pair once, then mirrored
+    half = a.join(b, [a[date] == b[date], F.col("src") <= F.col("dst")]).groupBy("src", "dst").agg(F.corr("a", "b").alias("corr"), F.count("*").alias("n"))
+    both = F.when(F.col("src") == F.col("dst"), F.array(F.struct("src", "dst"))).otherwise(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    return half.select(F.inline(both), "corr", "n")
 
 
 add("a07_correlation_matrix", lambda s, d: _round(correlations(P.with_returns(P.region_day(s, d))), ["src", "dst", "n"], ["corr"]), _round_sql("src, dst, n", ["corr"], f"select a.ticker as src, b.ticker as dst, corr(a.ret, b.ret) as corr, count(*) as n from ({P.returns_sql(P.REGION_SQL)}) a join ({P.returns_sql(P.REGION_SQL)}) b on a.date = b.date where a.ret is not null and b.ret is not null group by 1, 2"))
@@ -147,8 +153,7 @@ def calendar_fill(weights: DataFrame, calendar: DataFrame, tickers: DataFrame, v
 
     The grid is dates times tickers, which is what a backtest holds anyway.
     """
-    grid = calendar.select("date").distinct().crossJoin(tickers.select("ticker").distinct())
-    full = grid.join(weights, K, "left")
+    full = calendar_grid(calendar, tickers).join(weights, K, "left")
     w = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return full.select("date", "ticker", F.coalesce(F.last(value, ignorenulls=True).over(w), F.lit(0.0)).alias(value))
 
@@ -161,7 +166,7 @@ def _filled(s: SparkSession, d: str) -> DataFrame:
 
 add("j05_calendar_fill", _filled, f"select date, ticker, coalesce(last_value(weight ignore nulls) over (partition by ticker order by date rows unbounded preceding), 0) as weight from (select c.date, t.ticker, p.volume as weight from (select distinct date from ({P.REGION_SQL})) c cross join (select distinct ticker from ({P.REGION_SQL})) t left join (select * from ({P.REGION_SQL}) where day(date) = 15) p on p.date = c.date and p.ticker = t.ticker)")
 add("j07_semi_join", lambda s, d: P.brand_day(s, d).where(F.col("ticker").isin("Brand#11", "Brand#23") & F.col("date").between("1995-02-01", "1995-12-31")).select("date", "ticker", "volume"), f"select date, ticker, volume from ({P.BRAND_SQL}) where ticker in ('Brand#11', 'Brand#23') and date between date '1995-02-01' and date '1995-12-31'")
-add("j08_anti_join", lambda s, d: P.table(s, d, "part").join(P.table(s, d, "lineitem"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey"), "select p_partkey from part where p_partkey not in (select l_partkey from lineitem)")
+add("j08_anti_join", lambda s, d: P.table(s, d, "part").join(P.table(s, d, "lineitem").where("l_quantity >= 48"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey"), "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity >= 48)")
 
 
 def lead_lag(s: SparkSession, d: str) -> DataFrame:

@@ -554,7 +554,7 @@ def test_reading_stops_before_the_last_postings():
 
 
 # op10
-SMALL = pseudo_lm.Shape(classes=4, per_class=8, lengths=6, batch=64, part_words=600, every=2)
+SMALL = pseudo_lm.Shape(classes=4, per_class=8, lengths=6, batch=64, part_words=600, span=3, every=2)
 
 
 def test_network_gradient():
@@ -579,12 +579,12 @@ def test_network_gradient():
 
 
 def test_spelling_is_a_distribution():
-    counts = pseudo_lm.Spelling.count([b"ab", b"", b"b"], np.array([2.0, 5.0, 3.0]))
+    counts = pseudo_lm.Spelling.count(pseudo_lm.Words([b"ab", b"b"]), np.array([2.0, 3.0]))
     assert counts.sum() == 7 and counts[256 * 256 + ord("a")] == 2 and counts[256 * 256 + ord("b")] == 3 and counts[ord("a") * 256 + ord("b")] == 2
     s = pseudo_lm.Spelling(pseudo_lm.Shape(lengths=3), counts)
-    assert np.isclose(np.exp(s.log_probs([bytes([a, b]) for a in range(256) for b in range(256)])).sum(), 1)
+    assert np.isclose(np.exp(s.log_probs(pseudo_lm.Words([bytes([a, b]) for a in range(256) for b in range(256)]))).sum(), 1)
     whole = pseudo_lm.Spelling(pseudo_lm.Shape(lengths=999), counts)
-    tail = [sum(np.exp(s.log_probs([b"x" * n]) - whole.log_probs([b"x" * n]))[0] for n in range(3, m)) for m in (10, 200)]
+    tail = [sum(np.exp(s.log_probs(pseudo_lm.Words([b"x" * n])) - whole.log_probs(pseudo_lm.Words([b"x" * n])))[0] for n in range(3, m)) for m in (10, 200)]
     assert tail[0] < tail[1] < 1 + 1e-9 and tail[1] > 0.999
 
 
@@ -606,32 +606,35 @@ def test_scores_are_the_sums_of_a_plain_loop(spark, docs):
     own = collections.Counter(w for _, t, _ in rows for w in (t or "").encode().lower().split())
     assert vocabulary == sorted(own, key=lambda w: (-own[w], w))[: SMALL.known]
     rare = [w for w in own if w not in vocabulary]
-    assert np.allclose(spelling.logs, pseudo_lm.Spelling(SMALL, pseudo_lm.Spelling.count(rare, np.array([own[w] for w in rare], float))).logs)
-    net, encoder, pad = pseudo_lm.Network(SMALL, flat), pseudo_lm.Encoder(vocabulary, SMALL, spelling), None
+    assert np.allclose(spelling.logs, pseudo_lm.Spelling(SMALL, pseudo_lm.Spelling.count(pseudo_lm.Words(rare), np.array([own[w] for w in rare], float))).logs)
+    net, pad = pseudo_lm.Network(SMALL, flat), None
     seen = [collections.Counter() for _ in rows]
-    tokens = []
+    want, spans = np.zeros(len(rows)), []
     for n, (_, t, _) in enumerate(rows):
         w = [pad, pad, *(t or "").encode().lower().split(), pad, pad]
+        logp = {}
         for i in range(2, len(w) - 2):
-            window = w[i - 2], w[i - 1], w[i + 1], w[i + 2]
-            ids = [SMALL.ids if x is pad else vocabulary.index(x) if x in vocabulary else SMALL.known + min(len(x), SMALL.lengths) - 1 for x in (*window, w[i])]
-            logp = net.log_probs(np.array(ids[4:]), np.array(ids[:4])[:, None])[0] + (0 if w[i] in vocabulary else spelling.log_probs([w[i]])[0])
-            code = [SMALL.ids if x is pad else encoder.codes[x] for x in window]
-            kept = int(pseudo_lm._mixed(np.array(code)[:, None] >> pseudo_lm.Encoder.BITS)[0]) % SMALL.every == 0
-            tokens.append((n, window, w[i], logp, kept))
-            seen[n][window] += 1
-            seen[n][window, w[i]] += 1
-    total = sum(seen, collections.Counter())
-    want = np.zeros(len(rows))
-    for n, window, w, logp, kept in tokens:
-        there, same = total[window] - seen[n][window], total[window, w] - seen[n][window, w]
-        want[n] += np.log((same + np.exp(logp)) / (there + 1)) if kept else logp
+            ids = [SMALL.ids if x is pad else vocabulary.index(x) if x in vocabulary else SMALL.known + min(len(x), SMALL.lengths) - 1 for x in (w[i - 2], w[i - 1], w[i + 1], w[i + 2], w[i])]
+            logp[i] = net.log_probs(np.array(ids[4:]), np.array(ids[:4])[:, None])[0] + (0 if w[i] in vocabulary else spelling.log_probs(pseudo_lm.Words([w[i]]))[0])
+        want[n], free = sum(logp.values()), 0
+        for i in range(2, len(w) - 2 - SMALL.span + 1):
+            around = w[i - 2], w[i - 1], w[i + SMALL.span], w[i + SMALL.span + 1]
+            code = [np.zeros(1, np.uint64) if x is pad else pseudo_lm.Words([x]).hashes() for x in around]
+            if int(pseudo_lm._mixed(code)[0]) % SMALL.every == 0 and i >= free:
+                free, inside = i + SMALL.span, tuple(w[i : i + SMALL.span])
+                spans.append((n, around, inside, sum(logp[k] for k in range(i, free))))
+                seen[n][around] += 1
+                seen[n][around, inside] += 1
+    total, alone = sum(seen, collections.Counter()), want.copy()
+    for n, around, inside, logp in spans:
+        there, same = total[around] - seen[n][around], total[around, inside] - seen[n][around, inside]
+        want[n] += np.log((same + np.exp(logp)) / (there + 1)) - logp
     got = pseudo_lm.score(df, shape=SMALL).toPandas()
     got = got.set_index(got.doc_id.fillna(-1).astype(int)).loc[[-1 if i is None else i for i, _, _ in rows]]
     assert np.allclose(got.pll, want, rtol=1e-5, atol=1e-4)
     assert got.n_tokens.tolist() == [len((t or "").split()) for _, t, _ in rows]
-    # texts that occur twice score higher than the same words would alone
-    assert got.loc[100, "pll_per_token"] > got.loc[list(range(20, 80)), "pll_per_token"].quantile(0.9)
+    # a text that occurs twice scores higher than the network alone says, by its remembered spans
+    assert got.loc[100, "pll"] > alone[80] + 2
 
 
 @pytest.mark.parametrize("small", [200_000, 0])
