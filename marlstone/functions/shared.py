@@ -45,3 +45,17 @@ def numbered(rows: DataFrame, *order: str | Column, name: str = "rank") -> DataF
     parts = parts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))  # one row a partition
     rows = rows.join(F.broadcast(parts), "__part")
     return rows.withColumn(name, F.col("__base") + F.col("__at") - F.shiftleft(F.col("__part"), 33)).drop("__at", "__part", "__base")
+
+
+def running(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """``rows`` with ``run_<column>``: sums from the first row up to this one by ``order``, whose values are distinct.
+
+    Ranges are sorted apart and summed within; only one row a partition is broadcast to set them end to end.
+    """
+    rows = written(rows.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id()), "running")
+    inside = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = rows.groupBy("__part").agg(*(F.sum(c).alias(f"__{c}") for c in columns))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("__part", *(F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in columns))  # one row a partition
+    rows = rows.withColumns({f"run_{c}": F.sum(c).over(inside) for c in columns}).join(F.broadcast(parts), "__part")
+    return rows.withColumns({f"run_{c}": F.col(f"run_{c}") + F.col(f"__{c}") for c in columns}).drop("__part", *(f"__{c}" for c in columns))

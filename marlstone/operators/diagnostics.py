@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marlstone.functions.nulls import ratio
+from marlstone.functions.shared import numbered, running
 
 
 
@@ -68,31 +69,28 @@ def brier_decomposition(df: DataFrame, n: int = 10, quantile: bool = True) -> Da
 
 
 def scoring_rules(df: DataFrame, eps: float = 1e-12) -> DataFrame:
-    """Log loss, Brier score and its skill over the mean of the same labels."""
+    """Log loss, Brier score and its skill over the mean of the same labels, whose score is the labels' variance."""
     q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), _p()))
-    d = df.withColumn("base", F.avg(_y()).over(_all()))
-    brier, reference = F.avg((_p() - _y()) * (_p() - _y())), F.avg((F.col("base") - _y()) * (F.col("base") - _y()))
-    return d.agg(F.avg(-(_y() * F.ln(q) + (1 - _y()) * F.ln(1 - q))).alias("log_loss"), brier.alias("brier"), F.when(reference > eps, 1 - brier / reference).alias("skill"))
+    brier, reference = F.avg((_p() - _y()) * (_p() - _y())), F.var_pop(_y())
+    return df.agg(F.avg(-(_y() * F.ln(q) + (1 - _y()) * F.ln(1 - q))).alias("log_loss"), brier.alias("brier"), F.when(reference > eps, 1 - brier / reference).alias("skill"))
 
 
 def selective_frontier(df: DataFrame, key: str, coverages: tuple[float, ...] = (0.2, 0.5, 1.0)) -> DataFrame:
-    """Accuracy over the most confident share of rows; ties by key. Ranks by range-partitioned order.
-
-    A global order is inherent here; the row number runs over one partition of three narrow columns.
-    """
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.abs(_p() - 0.5)), key)
-    d = df.select(key, _p(), _y().alias("y")).withColumns({"rn": F.row_number().over(w), "n": F.count("*").over(_all())})
+    """Accuracy over the most confident share of rows; ties by key. Ranges of the order are ranked apart."""
+    d = df.select(key, _p(), _y().alias("y"), (-F.abs(_p() - 0.5)).alias("order"))
+    d = numbered(d, "order", key)
+    every = d.agg(F.count("*").alias("n"))
     right = ((_p() >= 0.5) == (F.col("y") >= 0.5)).cast("double")
-    d = d.withColumn("right", right).select("*", F.explode(F.array(*map(F.lit, coverages))).alias("coverage"))
-    return d.where(F.col("rn") <= F.ceil(F.col("coverage") * F.col("n"))).groupBy("coverage").agg(F.count("*").alias("n"), F.avg("right").alias("accuracy"), F.min(F.abs(_p() - 0.5)).alias("least_confidence"))
+    d = d.withColumn("right", right).join(F.broadcast(every)).select("*", F.explode(F.array(*map(F.lit, coverages))).alias("coverage"))  # one row
+    return d.where(F.col("rank") < F.ceil(F.col("coverage") * F.col("n"))).groupBy("coverage").agg(F.count("*").alias("n"), F.avg("right").alias("accuracy"), F.min(F.abs(_p() - 0.5)).alias("least_confidence"))
 
 
 def decile_returns(df: DataFrame, score: str, value: str, key: str, n: int = 10) -> DataFrame:
     """Balanced bins of ranked scores (first come by key): statistics of the value in each."""
     d = df.where(F.col(score).isNotNull() & F.col(value).isNotNull())
-    d = d.withColumns({"rn": F.row_number().over(_all().orderBy(score, key)), "all": F.count("*").over(_all())})
-    d = d.withColumn("bin", F.greatest(F.lit(1), F.ceil((F.col("rn") - 1) * n / F.greatest(F.col("all") - 1, F.lit(1)))).cast("int"))
-    d = d.withColumn("mean_all", F.avg(value).over(_all()))
+    d = numbered(d.select(score, value, key), score, key)
+    d = d.join(F.broadcast(d.agg(F.count("*").alias("all"), F.avg(value).alias("mean_all"))))  # one row
+    d = d.withColumn("bin", F.greatest(F.lit(1), F.ceil(F.col("rank") * n / F.greatest(F.col("all") - 1, F.lit(1)))).cast("int"))
     v = F.col(value)
     return d.groupBy("bin").agg(
         F.count("*").alias("count"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.stddev_samp(v).alias("std"),
@@ -104,11 +102,10 @@ def classification_metrics(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Confusion counts and what follows; ROC area by average ranks, average precision by steps over distinct scores."""
     hit, yes = _p() >= threshold, _y() >= 0.5
     d = df.groupBy("p").agg(F.sum(yes.cast("long")).alias("pos"), F.sum((~yes).cast("long")).alias("neg"))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "np": F.sum("pos").over(_all()), "nn": F.sum("neg").over(_all())})
-    auc = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)) / F.max(F.col("np") * F.col("nn"))
-    precision = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("np")
-    curves = d.agg(auc.alias("roc_auc"), precision.alias("average_precision"))
+    d = running(d.withColumn("down", -_p()), "down", ["pos", "neg"])
+    area, steps = F.sum(F.col("neg") * (F.col("run_pos") - F.col("pos") / 2)), F.sum(F.col("pos") * F.col("run_pos") / (F.col("run_pos") + F.col("run_neg")))
+    np_, nn = F.sum("pos"), F.sum("neg")
+    curves = d.agg((area / (np_ * nn)).alias("roc_auc"), (steps / np_).alias("average_precision"))
     c = df.agg(F.count_if(hit & yes).alias("tp"), F.count_if(hit & ~yes).alias("fp"), F.count_if(~hit & yes).alias("fn"), F.count_if(~hit & ~yes).alias("tn"))
     tp, fp, fn, tn = (F.col(k).cast("double") for k in ("tp", "fp", "fn", "tn"))
     made = {
@@ -143,8 +140,11 @@ def quality_report(df: DataFrame, required: list[str], universe: list[str], keys
     last = F.to_date(F.lit(as_of)) if as_of else F.max(date)
     a = d.agg(
         F.count("*").alias("rows"), F.count_if(F.col(date).isNull()).alias("no_date"), F.count_if(F.col("__n") > 1).alias("repeats"), F.max(F.coalesce("__gap", F.lit(0))).alias("gap"),
-        F.sum(missing).alias("missing"), F.size(F.array_except(F.array(*map(F.lit, universe)), F.collect_set(ticker))).alias("absent"), business_days(F.max(date), last).alias("stale"),
+        F.sum(missing).alias("missing"), business_days(F.max(date), last).alias("stale"),
     )
+    # the names asked for are given, so few; those in the panel are not gathered
+    asked = df.sparkSession.createDataFrame([(u,) for u in universe], f"{ticker} string")
+    a = a.crossJoin(asked.join(df.select(ticker).distinct(), ticker, "left_anti").agg(F.count("*").alias("absent")))  # one row each
     share = ratio(F.col("missing").cast("double"), F.col("rows") * max(1, len(have)))
     checks = [
         ("schema.required", F.lit(not lost), F.lit(float(len(lost)))), ("rows.non_empty", F.col("rows") > 0, F.col("rows")), ("dates.valid", F.col("no_date") == 0, F.col("no_date")), ("universe.complete", F.col("absent") == 0, F.col("absent")),
@@ -172,9 +172,10 @@ def drift(reference: DataFrame, current: DataFrame, column: str, bins: int = 10,
     x = F.col(column).cast("double")
     both = reference.select(x.alias("x"), F.lit(1).alias("r")).unionByName(current.select(x.alias("x"), F.lit(0).alias("r"))).where("x is not null and not isnan(x)")
     per = both.groupBy("x").agg(F.sum("r").alias("a"), F.sum(1 - F.col("r")).alias("b"))
-    up = Window.partitionBy(F.lit(0)).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    e = per.withColumns({"ca": F.sum("a").over(up), "cb": F.sum("b").over(up), "na": F.sum("a").over(_all()), "nb": F.sum("b").over(_all())})
-    ks = e.agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("ks"), F.max("na").alias("n_reference"), F.max("nb").alias("n_current"))
+    e = running(per, "x", ["a", "b"])
+    totals = per.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    e = e.join(F.broadcast(totals))  # one row
+    ks = e.agg(F.max(F.abs(F.col("run_a") / F.col("na") - F.col("run_b") / F.col("nb"))).alias("ks"), F.max("na").alias("n_reference"), F.max("nb").alias("n_current"))
     inner = both.where("r = 1").agg(F.array_sort(F.array_distinct(F.percentile("x", [i / bins for i in range(1, bins)]))).alias("edges"))
     bin_ = F.size(F.filter("edges", lambda v: v < F.col("x")))
     c = both.crossJoin(F.broadcast(inner)).withColumn("bin", bin_).groupBy("bin").agg(F.sum("r").cast("double").alias("a"), F.sum(1 - F.col("r")).cast("double").alias("b"))
