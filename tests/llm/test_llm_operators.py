@@ -1,6 +1,7 @@
 """Operators against brute force, on small tables with awkward rows."""
 
 import collections
+import dataclasses
 import itertools
 import math
 import re
@@ -588,6 +589,17 @@ def test_spelling_is_a_distribution():
     assert tail[0] < tail[1] < 1 + 1e-9 and tail[1] > 0.999
 
 
+def test_chunks_of_texts_do_not_change_what_is_encoded():
+    texts = [None, "a b c d e f", "", "g " * 9, "é h", "a b c d e f g h i j k l"] * 5
+    spelling = pseudo_lm.Spelling(SMALL, np.zeros(257 * 256))
+    whole, ones = (list(pseudo_lm.Encoder([b"a", b"g"], s, spelling).encoded(texts)) for s in (SMALL, dataclasses.replace(SMALL, batch=0)))
+    assert len(whole) == len(ones) == len(texts)
+    for x, y, t in zip(whole, ones, texts, strict=True):
+        assert x[0] == y[0] and len(x[0]) == 2 * len((t or "").split()) and np.isclose(x[1], y[1])
+        assert all(np.array_equal(i, j) for i, j in zip(x[2:5], y[2:5], strict=True)) and np.allclose(x[5], y[5])
+    assert any(len(x[2]) for x in whole)
+
+
 def lm_corpus():
     rng = np.random.default_rng(6)
     vocabulary = ["".join(rng.choice(list("abcdefgh"), rng.integers(1, 9))) for _ in range(60)]
