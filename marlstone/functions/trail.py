@@ -2,11 +2,14 @@
 
 All windows of one ``Trail`` share partitioning and order, so a pipeline of them costs one exchange and one
 sort. A window function can't hold another, so builders that need an intermediate series put it in a column:
-``Trail.series`` names it, and ``drop`` removes what was named.
+``Trail.series`` names it, and ``result`` removes what was named. Columns are gathered until the result is asked
+for and then made by depth: all that need no other one first, then all that need only those, so that a whole matrix
+has as many window nodes as its longest chain.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from itertools import count
 
@@ -17,6 +20,7 @@ from marlstone.functions.nulls import ratio
 
 Aggregate = Callable[[Column], Column]
 _names = count()
+_WORD = re.compile(r"\w+")
 
 
 class Trail:
@@ -25,6 +29,7 @@ class Trail:
     def __init__(self, df: DataFrame, entity: str = "ticker", time: str = "date"):
         self.df, self.entity, self.time, self.own = df, entity, time, []
         self.rows: WindowSpec = Window.partitionBy(entity).orderBy(time)
+        self.waiting: dict[str, tuple[int, Column]] = {}
 
     def last(self, n: int) -> WindowSpec:
         return self.rows.rowsBetween(-(n - 1), 0)
@@ -32,19 +37,38 @@ class Trail:
     def so_far(self) -> WindowSpec:
         return self.rows.rowsBetween(Window.unboundedPreceding, 0)
 
+    def _add(self, name: str, x: Column) -> None:
+        needs = [self.waiting[w][0] for w in set(_WORD.findall(str(x))) if w in self.waiting]
+        self.waiting[name] = (max(needs) + 1 if needs else 0, x)
+
     def series(self, x: Column) -> Column:
         """Hold an expression in a column, so that windows can read it."""
         name = f"__s{next(_names)}"
-        self.df = self.df.withColumn(name, x)
+        self._add(name, x)
         self.own.append(name)
         return F.col(name)
 
     def put(self, **columns: Column) -> Trail:
-        self.df = self.df.withColumns(columns)
+        if (set(columns) & (set(self.df.columns) | set(self.waiting))) or any(n in str(x) for n in columns for x in columns.values()):
+            self._flush()  # what came before reads the columns as they were
+            self.df = self.df.withColumns(columns)
+        else:
+            for name, x in columns.items():
+                self._add(name, x)
         return self
 
+    def _flush(self) -> None:
+        for depth in sorted({d for d, _ in self.waiting.values()}):
+            self.df = self.df.withColumns({name: x for name, (d, x) in self.waiting.items() if d == depth})
+        self.waiting = {}
+
+    def result_so_far(self) -> DataFrame:
+        """All columns up to now, with the held ones."""
+        self._flush()
+        return self.df
+
     def result(self) -> DataFrame:
-        return self.df.drop(*self.own)
+        return self.result_so_far().drop(*self.own)
 
     def lag(self, x: Column, k: int = 1) -> Column:
         return F.lag(x, k).over(self.rows)

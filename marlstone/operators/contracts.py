@@ -85,14 +85,14 @@ def _all() -> list[Contract]:
         c("skew_63", "moment", close, 63, lambda t: st.rolling_skewness(t, F.col("ret"))),
         c("kurt_63", "moment", close, 63, lambda t: st.rolling_kurtosis(t, F.col("ret"))),
         c("downside_dev_63", "moment", close, 63, lambda t: st.downside_deviation(t, F.col("ret")), low=0),
-        c("mad_63", "moment", close, 63, lambda t: st.median_absolute_deviation(t, F.col("ret")), low=0),
+        c("mad_63", "moment", close, 63, series=lambda p: rc.median_absolute_deviation(p["ret"].to_numpy(float)), low=0),
         c("autocorr_1_63", "dependence", close, 63, lambda t: st.autocorrelation(t, F.col("ret")), low=-1, high=1),
         c("pacf_2_63", "dependence", close, 63, lambda t: st.partial_autocorrelation_2(t, F.col("ret")), low=-1, high=1),
         c("hurst_128", "dependence", close, 128, lambda t: st.hurst_exponent(t, F.col("close"))),
         c("var_ratio_5_63", "dependence", close, 63, lambda t: st.variance_ratio(t, F.col("ret")), low=0),
         c("beta_mkt_63", "market", close, 63, lambda t: _beta(t, 63)),
         c("corr_mkt_63", "market", close, 63, lambda t: t.correlation(F.col("ret"), F.col("market"), 63), low=-1, high=1),
-        c("mutual_info_mkt_63", "market", close, 63, lambda t: st.mutual_information(t, F.col("ret"), F.col("market")), low=0),
+        c("mutual_info_mkt_63", "market", close, 63, series=lambda p: rc.mutual_information(p["ret"].to_numpy(float), p["market"].to_numpy(float)), low=0),
         c("volume_change_1", "liquidity", ("volume",), 1, lambda t: li.volume_change(t, F.col("volume"))),
         c("dollar_volume_21", "liquidity", ("close", "volume"), 21, lambda t: li.log_dollar_volume(t, F.col("close"), F.col("volume"))),
         c("rel_volume_21", "liquidity", ("volume",), 21, lambda t: li.relative_volume(t, F.col("volume")), low=0),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.nulls import scrub
@@ -25,9 +25,9 @@ def build_features(panel: DataFrame, horizon: int = 1, drop: bool = True) -> Dat
 
     def smooth(p):
         x = p["close"].to_numpy(float)
-        return {"f_ema_ratio_12": x / rc.ema(x, 12) - 1, "f_ema_ratio_26": x / rc.ema(x, 26) - 1, "f_rsi_14": rc.rsi(x), **{f"f_{k}": v for k, v in rc.macd(x).items()}}
+        return {"f_ema_ratio_12": x / rc.ema(x, 12) - 1, "f_ema_ratio_26": x / rc.ema(x, 26) - 1, "f_rsi_14": rc.rsi(x), "f_max_dd_252": rc.rolling_max_drawdown(x, 252), **{f"f_{k}": v for k, v in rc.macd(x).items()}}
 
-    d = rc.along(panel, smooth, ["f_ema_ratio_12", "f_ema_ratio_26", "f_rsi_14", "f_macd", "f_macd_signal", "f_macd_hist"])
+    d = rc.along(panel, smooth, ["f_ema_ratio_12", "f_ema_ratio_26", "f_rsi_14", "f_macd", "f_macd_signal", "f_macd_hist", "f_max_dd_252"])
     t = Trail(d)
     band, vol = te.bollinger(t, c), te.volume_features(t, F.col("volume"), c)
     made = {"ret_1d": r, "logret_1d": F.col("lret"), "ret_5d": te.simple_return(t, c, 5)}
@@ -37,7 +37,7 @@ def build_features(panel: DataFrame, horizon: int = 1, drop: bool = True) -> Dat
     made |= {"bb_pctb": band["pctb"], "bb_bandwidth": band["bandwidth"]}
     made |= {f"mom_{n}": te.momentum(t, c, n) for n in (21, 63, 126, 252)}
     made |= {"mom_12_1": te.momentum(t, c, 252, 21), "reversal_5": -te.simple_return(t, c, 5), "zscore_21": te.zscore(t, c), **vol}
-    made |= {"beta_63": te.rolling_beta(t, r, F.col("market")), "drawdown": te.drawdown(t, c), "max_dd_252": te.rolling_max_drawdown(t, c, 252)}
+    made |= {"beta_63": te.rolling_beta(t, r, F.col("market")), "drawdown": te.drawdown(t, c)}
     t.put(**{PREFIX + k: v for k, v in made.items()}, **xs.forward_targets(t, c, horizon))
     d = t.result()
     for name in SECTION:
@@ -46,3 +46,30 @@ def build_features(panel: DataFrame, horizon: int = 1, drop: bool = True) -> Dat
     wanted = [*feature_columns(d), "target_forward_return", "target_direction"]
     d = scrub(d, wanted)
     return d.dropna(subset=wanted) if drop else d
+
+
+def _first(df: DataFrame, *names: str) -> Column:
+    """The first of the columns that the matrix has; none is an error."""
+    for name in names:
+        if PREFIX + name in df.columns:
+            return F.col(PREFIX + name)
+    raise ValueError(f"the matrix has none of {names}")
+
+
+def baseline_momentum(matrix: DataFrame) -> DataFrame:
+    """``score``: cross-sectional rank of 12-1 momentum, of 252-bar momentum where the matrix lacks it."""
+    return matrix.withColumn("score", xs.percent_rank_average(_first(matrix, "mom_12_1", "mom_252")))
+
+
+def baseline_crossover(matrix: DataFrame, fast: int = 50, slow: int = 200) -> DataFrame:
+    """``score``: sign of the fast ratio less the slow one, zero where unknown; without these, the shortest and longest."""
+    have = sorted(int(c.removeprefix("f_ma_ratio_")) for c in matrix.columns if c.startswith("f_ma_ratio_"))
+    if not have:
+        raise ValueError("the matrix has no price to average ratios")
+    fast, slow = (fast, slow) if {fast, slow} <= set(have) else (have[0], have[-1])
+    return matrix.withColumn("score", F.coalesce(F.signum(F.col(f"f_ma_ratio_{fast}") - F.col(f"f_ma_ratio_{slow}")), F.lit(0.0)))
+
+
+def baseline_reversion(matrix: DataFrame) -> DataFrame:
+    """``score``: cross-sectional rank of 5-bar reversal."""
+    return matrix.withColumn("score", xs.percent_rank_average(_first(matrix, "reversal_5")))

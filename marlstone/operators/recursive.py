@@ -1,7 +1,8 @@
 """Recursions along time: exponential averages, variance recursions, Kalman filters, hysteresis.
 
-These are the only panel operators that leave the JVM: one grouped pass for each entity computes all of an
-operator family's columns. ``ignore_na`` is off: weights decay across gaps.
+These, and windows whose value needs all their members at once (medians, two-way histograms, falls from a peak),
+leave the JVM: one grouped pass for each entity computes all of an operator family's columns, windows as views of
+the series, some thousands at a time. ``ignore_na`` is off: weights decay across gaps.
 """
 
 from __future__ import annotations
@@ -11,9 +12,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from marlstone.functions.trail import Trail
+
 
 def ewm(x: np.ndarray, alpha: float, least: int = 1) -> np.ndarray:
     """Exponential average seeded by the first value; null until ``least`` values came."""
@@ -127,6 +131,64 @@ def no_trade_band(wanted: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
+def _windows(x: np.ndarray, n: int, made: Callable[..., np.ndarray], *more: np.ndarray, at_once: int = 4096) -> np.ndarray:
+    """A value of each full window of ``n``, from blocks of windows; null before the first."""
+    out = np.full(len(x), np.nan)
+    if len(x) < n:
+        return out
+    views = [np.lib.stride_tricks.sliding_window_view(np.asarray(s, float), n) for s in (x, *more)]
+    for i in range(0, len(views[0]), at_once):
+        block = [v[i : i + at_once] for v in views]
+        whole = ~np.logical_or.reduce([np.isnan(v).any(1) for v in block])
+        if whole.any():
+            values = np.full(len(whole), np.nan)
+            values[whole] = made(*(v[whole] for v in block))
+            out[n - 1 + i : n - 1 + i + len(whole)] = values
+    return out
+
+
+def median_absolute_deviation(x: np.ndarray, n: int = 63) -> np.ndarray:
+    """Median distance from the window's median, unscaled; every value must be there."""
+    return _windows(x, n, lambda w: np.median(np.abs(w - np.median(w, axis=1, keepdims=True)), axis=1))
+
+
+def mutual_information(a: np.ndarray, b: np.ndarray, n: int = 63, bins: int = 8) -> np.ndarray:
+    """Plug-in mutual information (nats) of an equal-width two-way histogram over the window.
+
+    The last bin is closed on the right; a constant series has no information. Null if any value is missing.
+    """
+
+    def cells(w: np.ndarray) -> np.ndarray:
+        low, high = w.min(1, keepdims=True), w.max(1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.minimum(bins - 1, np.nan_to_num(np.floor((w - low) * bins / (high - low)))).astype(np.int64)
+
+    def entropy_sum(keys: np.ndarray, kinds: int) -> np.ndarray:
+        rows = np.arange(len(keys))[:, None] * kinds
+        c = np.bincount((rows + keys).ravel(), minlength=len(keys) * kinds).reshape(-1, kinds).astype(float)
+        return (c * np.log(np.maximum(c, 1))).sum(1)
+
+    def of(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        i, j = cells(v), cells(w)
+        return np.maximum(0.0, (entropy_sum(i * bins + j, bins * bins) - entropy_sum(i, bins) - entropy_sum(j, bins)) / n + math.log(n))
+
+    return _windows(a, n, of, b)
+
+
+def rolling_max_drawdown(price: np.ndarray, n: int = 252) -> np.ndarray:
+    """Worst fall from a peak within the window; null with fewer than half its rows or a missing price in it."""
+
+    def worst(w: np.ndarray) -> np.ndarray:
+        return np.minimum(0.0, (w / np.maximum.accumulate(w, axis=1) - 1).min(1))
+
+    price = np.asarray(price, float)
+    out = _windows(price, n, worst)
+    for i in range(max(0, n // 2 - 1), min(n - 1, len(price))):  # windows cut short by the start
+        if not np.isnan(price[: i + 1]).any():
+            out[i] = worst(price[None, : i + 1])[0]
+    return out
+
+
 def along(df: DataFrame, made: Callable[[pd.DataFrame], dict[str, np.ndarray]], columns: list[str], entity: str = "ticker", time: str = "date") -> DataFrame:
     """Append double columns computed from each entity's rows in time order, in one grouped pass."""
     schema = StructType(df.schema.fields + [StructField(c, DoubleType()) for c in columns])
@@ -136,3 +198,9 @@ def along(df: DataFrame, made: Callable[[pd.DataFrame], dict[str, np.ndarray]],
         return rows.assign(**made(rows))[[f.name for f in schema.fields]]
 
     return df.groupBy(entity).applyInPandas(run, schema)
+
+
+def on(t: Trail, made: Callable[[pd.DataFrame], dict[str, np.ndarray]], columns: list[str]) -> dict[str, Column]:
+    """The same over a ``Trail``: its rows get the columns, which are returned by name."""
+    t.df = along(t.result_so_far(), made, columns, t.entity, t.time)
+    return {c: F.col(c) for c in columns}

@@ -52,18 +52,6 @@ def downside_deviation(t: Trail, ret: Column, n: int = 63) -> Column:
     return F.sqrt(t.mean(low * low, n)) * F.sqrt(F.lit(YEAR))
 
 
-def median_absolute_deviation(t: Trail, x: Column, n: int = 63) -> Column:
-    """Median distance from the window's median, unscaled."""
-
-    def median(a: Column) -> Column:
-        s = F.array_sort(a)
-        return (F.get(s, F.lit((n - 1) // 2)) + F.get(s, F.lit(n // 2))) / 2
-
-    values = t.series(F.when(F.count(x).over(t.last(n)) == n, F.collect_list(x).over(t.last(n))))
-    middle = t.series(median(values))
-    return median(F.transform(values, lambda v: F.abs(v - middle)))
-
-
 def autocorrelation(t: Trail, x: Column, n: int = 63, k: int = 1) -> Column:
     past = t.series(t.lag(x, k))
     return t.correlation(x, past, n)
@@ -106,39 +94,3 @@ def variance_ratio(t: Trail, ret: Column, n: int = 63, q: int = 5) -> Column:
     w = t.last(m)
     long_ = F.sum(sums * sums).over(w) - 2 * q * mean * F.sum(sums).over(w) + m * q * q * mean * mean
     return F.when(F.count(ret).over(t.last(n)) == n, ratio(long_ / (q * m * (1 - q / n)), F.var_samp(ret).over(t.last(n))))
-
-
-def mutual_information(t: Trail, a: Column, b: Column, n: int = 63, bins: int = 8) -> Column:
-    """Plug-in mutual information (nats) of an equal-width two-way histogram over the window.
-
-    The last bin is closed on the right; a constant series has no information. Null if any value is missing.
-    """
-    both = F.struct(a.alias("a"), b.alias("b"))
-    w = t.last(n)
-    full = (F.count(a).over(w) == n) & (F.count(b).over(w) == n)
-    pairs = t.series(F.when(full, F.collect_list(both).over(w)))
-    edge = {k: t.series(f(x).over(w)) for k, f, x in (("a0", F.min, a), ("a1", F.max, a), ("b0", F.min, b), ("b1", F.max, b))}
-
-    def cell(x: Column, low: Column, high: Column) -> Column:
-        return F.coalesce(F.least(F.lit(bins - 1), F.floor(F.try_divide((x - low) * bins, high - low)).cast("int")), F.lit(0))
-
-    cells = t.series(F.transform(pairs, lambda p: F.struct(cell(p["a"], edge["a0"], edge["a1"]).alias("i"), cell(p["b"], edge["b0"], edge["b1"]).alias("j"))))
-
-    def entropy_sum(of) -> Column:
-        # sum of c ln c over the cells' counts: each member adds the log of its own cell's count
-        keys = F.transform(cells, of)
-        ordered = F.array_sort(keys)
-        start = F.struct(F.lit(-1).alias("key"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
-
-        def closed(z: Column) -> Column:
-            return z["sum"] + F.when(z["run"] > 0, z["run"] * F.ln(z["run"].cast("double"))).otherwise(0.0)
-
-        def step(z: Column, k: Column) -> Column:
-            same = z["key"] == k
-            return F.struct(k.alias("key"), F.when(same, z["run"] + 1).otherwise(1).alias("run"), F.when(same, z["sum"]).otherwise(closed(z)).alias("sum"))
-
-        return F.aggregate(ordered, start, step, closed)
-
-    joint = entropy_sum(lambda c: c["i"] * bins + c["j"])
-    found = (joint - entropy_sum(lambda c: c["i"]) - entropy_sum(lambda c: c["j"])) / n + math.log(n)
-    return clip(found, low=0.0)

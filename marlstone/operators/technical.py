@@ -76,20 +76,6 @@ def drawdown(t: Trail, price: Column) -> Column:
     return ratio(price, F.max(price).over(t.so_far())) - 1
 
 
-def rolling_max_drawdown(t: Trail, price: Column, n: int = 252) -> Column:
-    """Worst fall from a peak within the window; null with fewer than half its rows or a missing price in it."""
-    w = t.last(n)
-    prices = F.collect_list(F.coalesce(price, F.lit(float("nan")))).over(w)
-    start = F.struct(F.lit(float("-inf")).alias("peak"), F.lit(0.0).alias("worst"))
-
-    def step(z: Column, p: Column) -> Column:
-        peak = F.greatest(z["peak"], p)
-        return F.struct(peak.alias("peak"), F.least(z["worst"], p / peak - 1).alias("worst"))
-
-    whole = (F.count(F.lit(1)).over(w) >= n // 2) & (F.count(price).over(w) == F.count(F.lit(1)).over(w))
-    return F.when(whole, F.aggregate(prices, start, step, lambda z: z["worst"]))
-
-
 def vwap_deviation(t: Trail, high: Column, low: Column, close: Column, volume: Column, n: int = 21) -> Column:
     typical = (high + low + close) / 3
     return ratio(close, ratio(t.sum(typical * volume, n), t.sum(F.when(typical.isNotNull(), volume), n))) - 1

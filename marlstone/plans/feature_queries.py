@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.trail import Trail
 from marlstone.operators import liquidity as li
+from marlstone.operators import recursive as rc
 from marlstone.operators import statistics as st
 from marlstone.operators import technical as te
 from marlstone.plans import panels as P
@@ -77,7 +78,7 @@ add("t15_rolling_beta", lambda t: {"x": te.rolling_beta(t, F.col("ret"), F.col("
 add("t16_drawdown", lambda t: {"x": te.drawdown(t, F.col("close"))}, {"x": "close / max(close) over (partition by ticker order by date rows unbounded preceding) - 1"})
 add(
     "t17_rolling_max_drawdown",
-    lambda t: {"x": te.rolling_max_drawdown(t, F.col("close"), 63)},
+    lambda t: rc.on(t, lambda p: {"x": rc.rolling_max_drawdown(p["close"].to_numpy(float), 63)}, ["x"]),
     {"x": "case when len(p) >= 31 then list_min(list_transform(range(1, len(p) + 1), lambda i: p[i] / list_max(p[1:i]) - 1)) end"},
     [{"p": f"list(close) {w(63)}"}],
 )
@@ -91,7 +92,7 @@ add("s03_rogers_satchell_volatility", lambda t: {"x": st.rogers_satchell_volatil
 add("s05_rolling_skewness", lambda t: {"x": st.rolling_skewness(t, F.col("ret"))}, {"x": agg("skewness", "ret", 63)})
 add("s06_rolling_kurtosis", lambda t: {"x": st.rolling_kurtosis(t, F.col("ret"))}, {"x": agg("kurtosis", "ret", 63)})
 add("s07_downside_deviation", lambda t: {"x": st.downside_deviation(t, F.col("ret"))}, {"x": f"sqrt({agg('avg', 'a', 63)}) * {Y}"}, [{"a": "case when ret is not null then least(ret, 0) * least(ret, 0) end"}])
-add("s08_median_absolute_deviation", lambda t: {"x": st.median_absolute_deviation(t, F.col("ret"))}, {"x": agg("mad", "ret", 63)})
+add("s08_median_absolute_deviation", lambda t: rc.on(t, lambda p: {"x": rc.median_absolute_deviation(p["ret"].to_numpy(float))}, ["x"]), {"x": agg("mad", "ret", 63)})
 
 
 def _corr(a: str, b: str, n: int) -> str:
@@ -118,7 +119,7 @@ def _hist(x: str) -> str:
 
 add(
     "s14_mutual_information",
-    lambda t: {"x": st.mutual_information(t, F.col("ret"), F.col("market"))},
+    lambda t: rc.on(t, lambda p: {"x": rc.mutual_information(p["ret"].to_numpy(float), p["market"].to_numpy(float))}, ["x"]),
     {"x": f"case when count(ret) {w(63)} = 63 then greatest(0, ({_hist('cj')} - {_hist('ca')} - {_hist('cb')}) / 63.0e0 + ln(63)) end"},
     [{"la": f"list(ret) {w(63)}", "lb": f"list(market) {w(63)}"}, {"ca": _cells["a"], "cb": _cells["b"]}, {"cj": "list_transform(range(1, len(ca) + 1), lambda i: ca[i] * 8 + cb[i])"}],
 )

@@ -17,8 +17,9 @@ from marlstone.operators import models as mo
 from marlstone.operators import spectral as sp
 from marlstone.operators import splits as sl
 from marlstone.plans import panels as P
+from marlstone.plans import feature_queries, section_queries
 from marlstone.plans.feature_queries import agg, div, lag
-from marlstone.plans.section_queries import _round, _round_sql
+from marlstone.plans.section_queries import _rank, _round, _round_sql, _smooth
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,17 +30,71 @@ def region(s: SparkSession, d: str) -> DataFrame:
     return P.with_market(P.with_returns(P.region_day(s, d)))
 
 
-# contracts: the closed-form ones against SQL, the whole set by rows
-CHECKED = {
-    "fc_ret_5d": f"{div('close', lag('close', 5))} - 1", "fc_mom_63": f"{div('close', lag('close', 63))} - 1", "fc_ma_dist_20": f"{div('close', agg('avg', 'close', 20))} - 1",
-    "fc_zscore_21": div(f"close - ({agg('avg', 'close', 21)})", agg("stddev_samp", "close", 21)), "fc_skew_63": agg("skewness", "ret", 63), "fc_rel_volume_21": div("volume", agg("avg", "volume", 21)),
+# contracts: every default one against SQL. Those with a query of their own read its SQL.
+_FROM = {
+    "ret_1d": ("t01_simple_returns", "r1"), "ret_5d": ("t01_simple_returns", "r5"), "logret_1d": ("t02_log_returns", "x"), "vwap_dev_21": ("t18_vwap_deviation", "x"), "resid_63": ("t19_regression_residual", "x"),
+    "parkinson_vol_21": ("s01_parkinson_volatility", "x"), "garman_klass_vol_21": ("s02_garman_klass_volatility", "x"), "rogers_satchell_vol_21": ("s03_rogers_satchell_volatility", "x"), "ewma_vol_21": ("s04_ewma_volatility", "x"),
+    "skew_63": ("s05_rolling_skewness", "x"), "kurt_63": ("s06_rolling_kurtosis", "x"), "downside_dev_63": ("s07_downside_deviation", "x"), "mad_63": ("s08_median_absolute_deviation", "x"),
+    "corr_mkt_63": ("s09_rolling_correlation", "x"), "autocorr_1_63": ("s10_autocorrelation", "x"), "pacf_2_63": ("s11_partial_autocorrelation", "x"), "hurst_128": ("s12_hurst_exponent", "x"),
+    "var_ratio_5_63": ("s13_variance_ratio", "x"), "mutual_info_mkt_63": ("s14_mutual_information", "x"), "volume_change_1": ("l02_volume_change", "x"), "dollar_volume_21": ("l01_log_dollar_volume", "x"),
+    "rel_volume_21": ("l03_relative_volume", "x"), "amihud_21": ("l04_amihud_illiquidity", "x"), "volume_imbalance_21": ("l05_volume_imbalance", "x"), "corwin_schultz_21": ("l06_corwin_schultz_spread", "x"), "roll_spread_21": ("l07_roll_spread", "x"),
 }
-_warm = {"fc_ret_5d": 5, "fc_mom_63": 63, "fc_ma_dist_20": 20, "fc_zscore_21": 21, "fc_skew_63": 63, "fc_rel_volume_21": 21}
-QUERIES["c01_contracts_checked"] = lambda s, d: _round(ct.build(P.region_day(s, d), [c[3:] for c in CHECKED]), K, list(CHECKED))
-ORACLES["c01_contracts_checked"] = _round_sql("date, ticker", list(CHECKED), f"select date, ticker, {', '.join(f'case when rn >= {_warm[c]} then {x} end as {c}' for c, x in CHECKED.items())} from (select *, row_number() over (partition by ticker order by date) as rn from ({P.market_sql(P.REGION_SQL)}))")
+_pairs = "case when ret is not null and market is not null then 1 end"
+_w63 = "over (partition by ticker order by date rows between 62 preceding and current row)"
+_HERE = {
+    "ret_21d": f"{div('close', lag('close', 21))} - 1", "roc_10": f"{div('close', lag('close', 10))} - 1", **{f"mom_{n}": f"{div('close', lag('close', n))} - 1" for n in (63, 126, 252)}, "mom_252_21": f"{div(lag('close', 21), lag('close', 252))} - 1",
+    **{f"ma_dist_{n}": f"{div('close', agg('avg', 'close', n))} - 1" for n in (20, 50, 200)}, **{f"ema_dist_{n}": f"{div('close', _smooth('close', 2 / (n + 1), n // 2))} - 1" for n in (12, 26)},
+    "zscore_21": div(f"close - ({agg('avg', 'close', 21)})", agg("stddev_samp", "close", 21)), "reversal_5": f"-({div('close', lag('close', 5))} - 1)",
+    "beta_mkt_63": div(f"case when count({_pairs}) {_w63} >= 63 then covar_samp(ret, market) {_w63} end", agg("var_samp", "market", 63)),
+}
+ALL = [*_HERE, *_FROM, "cs_rank_mom_63", "cs_z_mom_63"]
+_masked = ", ".join(f"case when rn >= {ct.get(c).warmup} then {x} end as {c}" for c, x in _HERE.items())
+_here = f"select *, {_rank.format('mom_63')} as cs_rank_mom_63, (mom_63 - avg(mom_63) over (partition by date)) / nullif(stddev_samp(mom_63) over (partition by date), 0) as cs_z_mom_63 from (select date, ticker, rn, {_masked} from (select *, row_number() over (partition by ticker order by date) as rn from ({P.market_sql(P.REGION_SQL)})))"
+_own = [c for c in ALL if c not in _FROM]
+QUERIES["c01_contracts_checked"] = lambda s, d: _round(ct.build(P.region_day(s, d), ALL), K, ["fc_" + c for c in ALL])
+_ask = {c: (feature_queries.ORACLES | section_queries.ORACLES)[q] for c, (q, _) in _FROM.items()}
+ORACLES["c01_contracts_checked"] = (
+    f"select h.date, h.ticker, {', '.join(f'{P.rounded_sql(c)} as fc_{c}' for c in _own)}, {', '.join(f'case when rn >= {ct.get(c).warmup} then {c}.{x} end as fc_{c}' for c, (_, x) in _FROM.items())}"
+    f" from ({_here}) h {' '.join(f'left join ({q}) {c} on {c}.date = h.date and {c}.ticker = h.ticker' for c, q in _ask.items())}"
+)
 QUERIES["c02_contract_matrix"] = lambda s, d: ct.build(P.region_day(s, d))
 QUERIES["c03_contract_metadata"] = lambda s, d: ct.metadata(s)
-QUERIES["x05_build_features"] = lambda s, d: fe.build_features(region(s, d)).select(*K, *fe.feature_columns(fe.build_features(region(s, d))), "target_forward_return", "target_direction")
+
+# the model matrix
+_Y = "sqrt(252)"
+_up, _dn, _m12, _m26 = (f"({_smooth(c, a, n)})" for c, a, n in (("up", 1 / 14, 14), ("dn", 1 / 14, 14), ("close", 2 / 13, 6), ("close", 2 / 27, 13)))
+_X0 = {"up": f"case when {lag('close')} is not null then greatest(close - {lag('close')}, 0) end", "dn": f"case when {lag('close')} is not null then greatest({lag('close')} - close, 0) end", "bm": agg("avg", "close", 20, 10), "bs": agg("stddev_samp", "close", 20, 10), "sq": "ret * ret", "px": f"list(close) over (partition by ticker order by date rows between 251 preceding and current row)"}
+_X1 = {"f_macd": f"{_m12} - {_m26}", "gain": _up, "loss": _dn}
+_X2 = {
+    "f_ema_ratio_12": f"{div('close', _m12)} - 1", "f_ema_ratio_26": f"{div('close', _m26)} - 1", "f_rsi_14": "case when loss is null then null when loss = 0 then 100 else 100 - 100 / (1 + gain / loss) end", "f_macd_signal": _smooth("f_macd", 0.2, 9),
+    "f_max_dd_252": "case when len(px) >= 126 then list_min(list_transform(range(1, len(px) + 1), lambda i: px[i] / list_max(px[1:i]) - 1)) end",
+    "f_ret_1d": "ret", "f_logret_1d": "lret", "f_ret_5d": f"{div('close', lag('close', 5))} - 1", **{f"f_vol_{n}": f"({agg('stddev_samp', 'ret', n, max(2, n // 2))}) * {_Y}" for n in (5, 21, 63)},
+    "f_realized_vol_21": f"sqrt(({agg('sum', 'sq', 21, 10)}) * (252.0 / 21))", "f_sharpe_63": f"{div(agg('avg', 'ret', 63, 31), agg('stddev_samp', 'ret', 63, 31))} * {_Y}", **{f"f_ma_ratio_{n}": f"{div('close', agg('avg', 'close', n, n // 2))} - 1" for n in (10, 20, 50, 200)},
+    "f_bb_pctb": div("close - (bm - 2 * bs)", "(bm + 2 * bs) - (bm - 2 * bs)"), "f_bb_bandwidth": div("(bm + 2 * bs) - (bm - 2 * bs)", "bm"), **{f"f_mom_{n}": f"{div('close', lag('close', n))} - 1" for n in (21, 63, 126, 252)},
+    "f_mom_12_1": f"{div(lag('close', 21), lag('close', 252))} - 1", "f_reversal_5": f"-({div('close', lag('close', 5))} - 1)", "f_zscore_21": div(f"close - ({agg('avg', 'close', 21, 10)})", agg("stddev_samp", "close", 21, 10)),
+    "f_log_dollar_volume": "ln(1 + volume * close)", "f_volume_zscore": div(f"volume - ({agg('avg', 'volume', 21, 10)})", agg("stddev_samp", "volume", 21, 10)), "f_relative_volume": div("volume", agg("avg", "volume", 21, 10)),
+    "f_beta_63": div(f"case when count({_pairs}) {_w63} >= 31 then covar_samp(ret, market) {_w63} end", agg("var_samp", "market", 63, 31)), "f_drawdown": "close / max(close) over (partition by ticker order by date rows unbounded preceding) - 1",
+    "target_forward_return": "lead(close, 1) over (partition by ticker order by date) / nullif(close, 0) - 1",
+}
+_X3 = {"f_macd_hist": "f_macd - f_macd_signal", "target_direction": "case when target_forward_return is not null then cast(target_forward_return > 0 as int) end"}
+for _c in fe.SECTION:
+    _X3 |= {f"f_cs_rank_{_c}": _rank.format(f"f_{_c}"), f"f_cs_z_{_c}": f"(f_{_c} - avg(f_{_c}) over (partition by date)) / nullif(stddev_samp(f_{_c}) over (partition by date), 0)"}
+MATRIX = ["f_macd", *(c for c in (*_X2, *_X3) if c.startswith("f_")), "target_forward_return", "target_direction"]
+MATRIX_SQL = P.market_sql(P.REGION_SQL)
+for _layer in (_X0, _X1, _X2, _X3):
+    MATRIX_SQL = f"select *, {', '.join(f'{x} as {c}' for c, x in _layer.items())} from ({MATRIX_SQL})"
+
+
+def matrix(s: SparkSession, d: str, drop: bool = True) -> DataFrame:
+    return fe.build_features(region(s, d), drop=drop)
+
+
+QUERIES["x05_build_features"] = lambda s, d: _round(matrix(s, d), K, MATRIX)
+ORACLES["x05_build_features"] = _round_sql("date, ticker", MATRIX, f"select * from ({MATRIX_SQL}) where {' and '.join(f'{c} is not null and isfinite({c}::double)' for c in MATRIX)}")
+_scores = {"x06_baseline_momentum": (fe.baseline_momentum, _rank.format("f_mom_12_1")), "x07_baseline_ma_crossover": (fe.baseline_crossover, "coalesce(sign(f_ma_ratio_50 - f_ma_ratio_200), 0)"), "x08_baseline_mean_reversion": (fe.baseline_reversion, _rank.format("f_reversal_5"))}
+for _name, (_made, _x) in _scores.items():
+    QUERIES[_name] = lambda s, d, made=_made: _round(made(matrix(s, d, False)), K, ["score"])
+    ORACLES[_name] = _round_sql("date, ticker", ["score"], f"select *, {_x} as score from ({MATRIX_SQL})")
 
 # spectra
 CHANNELS = {"return": "ret", "volume": "lv"}

@@ -58,22 +58,6 @@ def _targets(s: SparkSession, d: str) -> DataFrame:
 
 _lead = "lead(close, 5) over (partition by ticker order by date) / nullif(close, 0) - 1"
 add("x04_targets", _targets, _round_sql("date, ticker", ["target_forward_return", "target_direction"], f"select *, case when target_forward_return is not null then cast(target_forward_return > 0 as int) end as target_direction from (select *, {_lead} as target_forward_return from ({P.REGION_SQL}))"))
-add("x06_baseline_momentum", lambda s, d: _round(_scored(s, d).withColumn("score", xs.percent_rank_average(F.col("mom"))), K, ["score"]), _round_sql("date, ticker", ["score"], f"select *, {_rank.format('mom')} as score from ({_SCORED})"))
-
-
-def _crossover(s: SparkSession, d: str) -> DataFrame:
-    t = Trail(P.region_day(s, d))
-    fast, slow = t.series(te.ma_ratio(t, F.col("close"), 50)), t.series(te.ma_ratio(t, F.col("close"), 200))
-    return t.put(score=F.coalesce(F.signum(fast - slow), F.lit(0.0))).result().select("date", "ticker", "score")
-
-
-def _ma(n: int) -> str:
-    f = f"over (partition by ticker order by date rows between {n - 1} preceding and current row)"
-    return f"close / nullif(case when count(close) {f} >= {n // 2} then avg(close) {f} end, 0) - 1"
-
-
-add("x07_baseline_ma_crossover", _crossover, f"select date, ticker, cast(coalesce(sign(({_ma(50)}) - ({_ma(200)})), 0) as double) as score from ({P.REGION_SQL})")
-add("x08_baseline_mean_reversion", lambda s, d: _round(_scored(s, d).withColumn("score", xs.percent_rank_average(F.col("rev"))), K, ["score"]), _round_sql("date, ticker", ["score"], f"select *, {_rank.format('rev')} as score from ({_SCORED})"))
 
 # top-k, limits, sets
 _place = "row_number() over (partition by date order by mom {0}, ticker)"

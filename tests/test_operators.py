@@ -28,7 +28,7 @@ def test_scrub_turns_nan_and_infinity_to_null(spark):
 def test_windows_equal_pandas(panel):
     t = Trail(panel)
     c = F.col("close")
-    got = t.put(m=te.moving_average(t, c, 20), z=te.zscore(t, c, 21), d=te.rolling_max_drawdown(t, c, 30)).result().toPandas().sort_values(["ticker", "date"])
+    got = t.put(m=te.moving_average(t, c, 20), z=te.zscore(t, c, 21), **recursive.on(t, lambda p: {"d": recursive.rolling_max_drawdown(p["close"].to_numpy(float), 30)}, ["d"])).result().toPandas().sort_values(["ticker", "date"])
     for _, g in got.groupby("ticker"):
         x = g.close
         assert np.allclose(g.m, x.rolling(20, min_periods=10).mean(), equal_nan=True)
