@@ -7,7 +7,9 @@ transformed at once. Anything undefined is null: short history, a missing value
 from __future__ import annotations
 
 import hashlib
+import json
 import math
+from inspect import getsource
 
 import numpy as np
 import pandas as pd
@@ -15,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from marlstone.functions.trail import Trail
+
 DESCRIPTORS = ("centroid", "bandwidth", "entropy", "flatness", "rolloff", "peak_frequency", "sparsity", "concentration")
 BANDS = (("low", 0.0, 0.1), ("mid", 0.1, 0.25), ("high", 0.25, 0.5))
 
@@ -160,6 +164,8 @@ def build_spectral(panel: DataFrame, channels: dict[str, str], n: int = 64, seg:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(time, kind="stable")
+        if len(rows) * n > MOST_CELLS:
+            raise ValueError("a series has too many windows for one task")
         out = {time: rows[time], entity: rows[entity]}
         for ch, source in channels.items():
             w = causal_windows(rows[source].to_numpy(float), n)
@@ -176,18 +182,80 @@ def build_spectral(panel: DataFrame, channels: dict[str, str], n: int = 64, seg:
     return panel.select(time, entity, *dict.fromkeys(channels.values())).groupBy(entity).applyInPandas(run, schema)
 
 
-def tensor(panel: DataFrame, channels: dict[str, str], n: int = 64, seg: int = 32, hop: int = 8, entity: str = "ticker", time: str = "date") -> DataFrame:
-    """One row a (date, ticker, channel): spectrogram surface (frequency by time) and whether it was observed."""
+def scale_frequencies(scales: list[float], omega: float = 6.0) -> np.ndarray:
+    """Centre frequency of each wavelet scale, in cycles a bar."""
+    return omega / (2 * np.pi * np.asarray(scales, float))
+
+
+#: Channels of a panel: what each reads, and the longest look-back before its own window.
+CHANNELS = {"return": (("ret",), 1), "volatility": (("ret",), 21), "volume": (("volume",), 0), "residual": (("ret", "market"), 63)}
+
+
+def channels(panel: DataFrame, benchmark: str | None = None, entity: str = "ticker") -> DataFrame:
+    """``panel`` with a column ``ch_<name>`` for each channel: return, 21-bar volatility, log volume, and the residual
+    of the return over 63-bar beta times the benchmark's.
+
+    The benchmark is a ticker of the panel, which must be there and has no residual of its own (null); without one
+    the equal-weight ``market`` takes its place.
+    """
+    from marlstone.operators import technical as te
+
+    if benchmark is not None:
+        if not panel.where(F.col(entity) == benchmark).limit(1).count():
+            raise ValueError(f"the panel lacks the benchmark {benchmark!r}")
+        base = panel.where(F.col(entity) == benchmark).select("date", F.col("ret").alias("base"))
+        panel = panel.drop("base").join(base, "date", "left")
+    else:
+        panel = panel.withColumn("base", F.col("market"))
+    t = Trail(panel)
+    beta = t.series(te.rolling_beta(t, F.col("ret"), F.col("base")))
+    residual = F.col("ret") - beta * F.col("base")
+    if benchmark is not None:
+        residual = F.when(F.col(entity) != benchmark, residual)
+    return t.put(ch_return=F.col("ret"), ch_volatility=t.std(F.col("ret"), 21), ch_volume=F.log1p("volume"), ch_residual=residual).result().drop("base")
+
+
+def registry(spark, wanted: list[str], wavelet: tuple[str, ...] = (), n: int = 64, seg: int = 32, hop: int = 8) -> DataFrame:
+    """One row a column: its channel, inputs, look-back in bars, settings and a hash of the code that makes it."""
+    code = hashlib.sha256("".join(getsource(f) for f in (taper, detrend, segments, stft, welch, descriptors, flux, dwt_energies)).encode()).hexdigest()
+    settings = json.dumps({"window": n, "segment": seg, "hop": hop}, sort_keys=True)
+    unknown = sorted(set(wanted) - set(CHANNELS))
+    if unknown:
+        raise ValueError(f"no channels {unknown}")
+    rows = [(c, ch, list(CHANNELS[ch][0]), n + CHANNELS[ch][1], settings, code) for ch in wanted for c in channel_columns(ch, ch in wavelet)]
+    return spark.createDataFrame(rows, "name string, channel string, inputs array<string>, lookback int, settings string, implementation string")
+
+
+#: No ticker's windows may hold more cells than this at once.
+MOST_CELLS = 200_000_000
+
+
+def tensor(panel: DataFrame, channels: dict[str, str], n: int = 64, seg: int = 32, hop: int = 8, entity: str = "ticker", time: str = "date", kind: str = "spectrogram", scales: tuple[float, ...] = (2, 3, 4, 6, 8, 12, 16, 24), steps: int = 3) -> DataFrame:
+    """One row a (date, ticker, channel): a surface (frequency or scale by time) and whether it was observed.
+
+    A spectrogram's times are the window's segments; a scalogram's are ``steps`` windows that end ``hop`` bars apart,
+    the last at the row's bar, inside the row's window.
+    """
+    if kind not in ("spectrogram", "scalogram"):
+        raise ValueError(f"no surface {kind!r}")
     kinds = {f.name: f for f in panel.schema.fields}
     schema = f"{time} {kinds[time].dataType.simpleString()}, {entity} {kinds[entity].dataType.simpleString()}, channel string, surface array<array<double>>, observed boolean"
 
+    def surface(w: np.ndarray) -> np.ndarray:
+        if kind == "spectrogram":
+            return np.swapaxes(stft(w, seg, hop) ** 2, 1, 2)
+        own = n - (steps - 1) * hop
+        return np.stack([cwt_power(detrend(w[:, n - own - back * hop : n - back * hop]), list(scales)) for back in range(steps - 1, -1, -1)], axis=2)
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(time, kind="stable")
+        if len(rows) * n > MOST_CELLS:
+            raise ValueError("a series has too many windows for one task")
         out = []
         for ch, source in channels.items():
             w = causal_windows(rows[source].to_numpy(float), n)
             ok = np.isfinite(w).all(1)
-            power = np.swapaxes(stft(np.nan_to_num(w), seg, hop) ** 2, 1, 2)
+            power = surface(np.nan_to_num(w))
             out.append(pd.DataFrame({time: rows[time], entity: rows[entity], "channel": ch, "surface": [p.tolist() if o else None for p, o in zip(power, ok, strict=True)], "observed": ok}))
         return pd.concat(out)
 
@@ -201,10 +269,15 @@ def normalise_tensor(t: DataFrame, first: str, last: str, time: str = "date", fl
     key = ["channel", "f", "k"]
     fit = cells.where(F.col(time).between(first, last)).groupBy(*key).agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.count("*").alias("n")).where("n >= 2")
     z = (F.col("x") - F.col("m")) / F.when(F.col("s") > 0, F.col("s")).otherwise(1.0)
-    return cells.join(F.broadcast(fit), key).select(time, "ticker", *key, z.alias("z"))  # as many rows as a surface has cells
+    return cells.join(fit, key).select(time, "ticker", *key, z.alias("z"))  # as many rows as a surface has cells
 
 
 def digest(a: np.ndarray) -> str:
     """Hash of type, shape and bytes."""
     a = np.ascontiguousarray(a)
     return hashlib.sha256(f"{a.dtype.str}{a.shape}".encode() + a.tobytes()).hexdigest()
+
+
+def verify(a: np.ndarray, wanted: str) -> bool:
+    """Whether an array still has its digest."""
+    return digest(a) == wanted

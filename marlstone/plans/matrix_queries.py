@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.shared import written
 from marlstone.functions.trail import Trail
 from marlstone.operators import contracts as ct
 from marlstone.operators import decomposition as de
@@ -122,11 +124,16 @@ _both = "case when ret is not null and market is not null then 1 end"
 _z = "over (partition by ticker order by date rows between 62 preceding and current row)"
 ORACLES["f13_channel_builders"] = _round_sql("date, ticker", ["volatility", "lv", "residual"], f"select *, {agg('stddev_samp', 'ret', 21)} as volatility, ln(1 + volume) as lv, ret - {div(f'case when count({_both}) {_z} >= 31 then covar_samp(ret, market) {_z} end', agg('var_samp', 'market', 63, 31))} * market as residual from ({P.market_sql(P.REGION_SQL)})")
 QUERIES["f14_spectral_features"] = lambda s, d: sp.build_spectral(channels(s, d), CHANNELS, wavelet=("return",))
-QUERIES["f16_time_frequency_tensor"] = lambda s, d: sp.tensor(channels(s, d).where("ticker = 'R0'"), {"return": "ret"}).select(*K, "channel", "observed", F.size("surface").alias("frequencies"))
-QUERIES["a14_tensor_normaliser"] = lambda s, d: sp.normalise_tensor(sp.tensor(channels(s, d).where("ticker = 'R0' and date < date'1996-01-01'"), {"return": "ret"}), "1995-01-01", "1995-09-30").groupBy("channel", "f", "k").agg(F.count("z").alias("n"))
+QUERIES["f15_spectral_registry"] = lambda s, d: sp.registry(s, list(sp.CHANNELS), ("return",))
+QUERIES["f14_all_channels"] = lambda s, d: sp.build_spectral(sp.channels(region(s, d), "R0"), {c: f"ch_{c}" for c in sp.CHANNELS}, wavelet=("return",))
+QUERIES["f16_time_frequency_tensor"] = lambda s, d: sp.tensor(channels(s, d), {"return": "ret"}).select(*K, "channel", "observed", F.size("surface").alias("frequencies"), F.aggregate(F.flatten("surface"), F.lit(0.0), lambda a, x: a + x).alias("power"))
+QUERIES["f16_scalogram"] = lambda s, d: sp.tensor(channels(s, d), {"return": "ret"}, kind="scalogram").select(*K, "channel", "observed", F.size("surface").alias("scales"))
+QUERIES["a14_tensor_normaliser"] = lambda s, d: sp.normalise_tensor(sp.tensor(channels(s, d), {"return": "ret"}), "1992-01-01", "1995-12-31")
 QUERIES["e01_emd"] = lambda s, d: de.decompose(region(s, d), "ret", "emd")
 QUERIES["e04_vmd"] = lambda s, d: de.decompose(region(s, d), "ret", "vmd", modes=3)
 QUERIES["e08_representations"] = lambda s, d: de.representations(region(s, d), "ret", "wavelet", stride=21)
+for _f in ("raw", "spectral", "emd", "vmd"):
+    QUERIES[f"e08_representations_{_f}"] = lambda s, d, f=_f: de.representations(region(s, d), "ret", f, stride=21)
 
 # splits, sequences
 _SPLIT = f"select date, fold, case when i < a - 2 then 'train' when i >= a and i < a + 50 then 'test' end as part from (select *, n - (3 - fold) * 50 as a from (select date, row_number() over (order by date) - 1 as i, count(*) over () as n from (select distinct date from ({P.REGION_SQL}))) cross join (select unnest([0, 1, 2]) as fold)) where a >= 0 and a - 2 >= 100"
@@ -176,37 +183,96 @@ QUERIES["a16_v11_shrinkage_covariance"] = _shrunk
 
 
 # models
-def _modelled(s: SparkSession, d: str) -> DataFrame:
-    rows = fe.build_features(region(s, d)).select(*K, "f_mom_63", "f_rsi_14", "f_vol_21", "f_cs_rank_reversal_5", "target_direction")
-    return mo.walk_forward(sl.walk_forward(rows, 1, 60, 2, 100), fe.feature_columns(rows), ["logistic", "random_forest"])
+KINDS = ["logistic", "random_forest"]
 
 
-QUERIES["v04_walk_forward_train"] = lambda s, d: _modelled(s, d).select(*K, "fold", "score", "candidate_logistic", "candidate_random_forest", "target_direction")
+def _modelled(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = matrix(s, d).drop("target_forward_return")
+    return mo.walk_forward(sl.walk_forward(rows, 3, 120, 2, 252), fe.feature_columns(rows), KINDS)
 
 
-def _posterior(s: SparkSession, d: str) -> DataFrame:
-    return mo.gibbs(s, P.with_returns(P.region_day(s, d)).where("date < date'1996-01-01'"), 60, 40)
+QUERIES["v04_walk_forward_train"] = lambda s, d: _modelled(s, d)[0].select(*K, "fold", "score", *(f"candidate_{k}" for k in KINDS), "target_direction")
+
+
+def _isotonic(s: SparkSession, d: str) -> DataFrame:
+    rows = matrix(s, d).drop("target_forward_return")
+    folds = sl.walk_forward(rows, 2, 252, 2, 252)
+    return mo.walk_forward(folds, fe.feature_columns(rows), ["logistic", "gbt"], method="isotonic")[1]
+
+
+QUERIES["v03_isotonic_importances"] = _isotonic
+DRAWS, WARMUP = 500, 250
+
+
+def _posterior(s: SparkSession, d: str, until: str = "2999-12-31") -> DataFrame:
+    return written(mo.gibbs(s, P.with_returns(P.region_day(s, d)).where(F.col("date") < until), DRAWS, WARMUP), "posterior")
+
+
+def _split_at(s: SparkSession, d: str, share: float = 0.8) -> str:
+    """The date up to which a share of all dates lies."""
+    return str(P.region_day(s, d).agg(F.date_from_unix_date(F.percentile(F.unix_date("date").cast("double"), share).cast("int")).alias("at")).first()["at"])
+
+
+def _held_out(s: SparkSession, d: str) -> DataFrame:
+    at = _split_at(s, d)
+    return mo.log_predictive_density(_posterior(s, d, at), P.with_returns(P.region_day(s, d)).where(F.col("date") >= at))
 
 
 QUERIES["v15_hierarchical_returns"] = _posterior
-QUERIES["v16_held_out_density"] = lambda s, d: mo.log_predictive_density(_posterior(s, d), P.with_returns(P.region_day(s, d)).where("date >= date'1996-01-01' and date < date'1996-07-01'"))
+QUERIES["v16_held_out_density"] = _held_out
+QUERIES["v16_predictive_draws"] = lambda s, d: mo.predictive(_posterior(s, d), 5)
+QUERIES["v16_posterior_checks"] = lambda s, d: mo.posterior_checks(_posterior(s, d), P.with_returns(P.region_day(s, d)))
+QUERIES["v16_shrinkage"] = lambda s, d: mo.shrinkage(_posterior(s, d), P.with_returns(P.region_day(s, d)))
+
+
+def _convergence(s: SparkSession, d: str) -> DataFrame:
+    """Split R-hat and effective sample size of each asset's mean, in a task for each asset."""
+
+    def run(f):
+        x = f.sort_values(["chain", "draw"])["mu"].to_numpy(float).reshape(f["chain"].nunique(), -1)
+        return pd.DataFrame({"asset": [f["asset"].iloc[0]], "r_hat": [mo.split_r_hat(x)], "ess": [mo.effective_sample_size(x)]})
+
+    return _posterior(s, d).groupBy("asset").applyInPandas(run, "asset string, r_hat double, ess double")
+
+
+QUERIES["m13_convergence"] = _convergence
 
 
 def _scenarios(s: SparkSession, d: str) -> DataFrame:
+    """Scenarios through the correlations of the assets' returns over the dates they have in common."""
+    returns = P.with_returns(P.region_day(s, d))
     post = _posterior(s, d).toPandas()
-    return mo.scenarios(s, post, np.eye(post["asset"].nunique()), 500)
+    names = sorted(post["asset"].unique())
+    _, _, cov = gr.moments(returns.groupBy("date").pivot("ticker", names).agg(F.first("ret")), names)
+    spread = np.sqrt(np.diag(cov))
+    return mo.scenarios(s, post, cov / np.outer(spread, spread), 2000)
 
 
 QUERIES["n01_scenarios"] = _scenarios
+QUERIES["n03_coherence"] = lambda s, d: mo.coherence(_scenarios(s, d))
 
 
 def _policies(s: SparkSession, d: str) -> DataFrame:
-    sc = _scenarios(s, d)
+    sc = written(_scenarios(s, d), "scenarios")
     wide = sc.groupBy("scenario").pivot("asset").agg(F.first("ret")).orderBy("scenario").drop("scenario").toPandas()
     x = wide.to_numpy()
     made = mo.policies(x.mean(0), np.cov(x.T), x)
     w = s.createDataFrame([(p, a, float(v)) for p, ws in made.items() for a, v in zip(wide.columns, ws, strict=True)], "policy string, asset string, weight double")
-    return mo.evaluate_policies(sc, w, cost=0.001)
+    realised = P.with_returns(P.region_day(s, d)).groupBy(F.col("ticker").alias("asset")).agg(F.max_by("ret", "date").alias("ret"))
+    return mo.evaluate_policies(sc, w, cost=0.001, realised=realised)
 
 
 QUERIES["n03_policies"] = _policies
+
+
+def _ready(s: SparkSession, d: str) -> DataFrame:
+    """The readiness gate over the portfolio's own figures."""
+    from marlstone.plans import portfolio_queries as pq
+
+    r = pq.risk.summary(pq.Book(s, d).with_market()).first().asDict()
+    evidence = {k: r.get(k) for k in ("sharpe", "max_drawdown", "hit_rate", "volatility")}
+    _, rows = mo.readiness(evidence, {"sharpe": (">=", 0.5), "max_drawdown": (">=", -0.25), "hit_rate": (">=", 0.5), "volatility": ("<=", 0.3)})
+    return s.createDataFrame([(x["criterion"], x["observed"], x["rule"], x["passed"]) for x in rows], "criterion string, observed double, rule string, passed boolean")
+
+
+QUERIES["g06_readiness"] = _ready
