@@ -124,14 +124,23 @@ def metadata(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, version string, family string, inputs array<string>, warmup int, low double, high double, is_default boolean, identity string")
 
 
-def check_panel(panel: DataFrame, wanted: list[Contract]) -> None:
-    """Missing inputs are an error before anything runs."""
-    lost = sorted({i for c in wanted for i in c.inputs} - set(panel.columns))
+def check_panel(panel: DataFrame, wanted: list[Contract], deep: bool = False) -> None:
+    """Missing inputs are an error before anything runs; ``deep`` also reads the panel: no rows, days that occur
+    twice and infinite inputs are errors."""
+    inputs = sorted({i for c in wanted for i in c.inputs})
+    lost = sorted(set(inputs) - set(panel.columns))
     if lost:
         raise ValueError(f"the panel lacks {lost}")
+    if deep:
+        infinite = sum((F.coalesce(F.abs(F.col(i).cast("double")) == F.lit(float("inf")), F.lit(False)).cast("int") for i in inputs), F.lit(0))
+        keys = panel.groupBy("ticker", "date").agg(F.count("*").alias("n"), F.sum(infinite).alias("i"))
+        r = keys.agg(F.sum("n").alias("rows"), F.count_if(F.col("n") > 1).alias("repeats"), F.sum("i").alias("infinite")).first()
+        faults = [k for k, bad in (("no rows", not r["rows"]), ("repeated days", r["repeats"]), ("infinite inputs", r["infinite"])) if bad]
+        if faults:
+            raise ValueError(f"the panel has {', '.join(faults)}")
 
 
-def build(panel: DataFrame, chosen: list[str] | None = None) -> DataFrame:
+def build(panel: DataFrame, chosen: list[str] | None = None, deep: bool = False) -> DataFrame:
     """``(date, ticker, fc_*)`` for the chosen contracts (default: all default ones).
 
     The panel has the price columns; returns and the equal-weight market are added where missing.
@@ -139,7 +148,7 @@ def build(panel: DataFrame, chosen: list[str] | None = None) -> DataFrame:
     from marlstone.plans.panels import with_market, with_returns
 
     wanted = [get(n) for n in chosen or names()]
-    check_panel(panel, wanted)
+    check_panel(panel, wanted, deep)
     d = panel if "ret" in panel.columns else with_returns(panel)
     if "market" not in d.columns and any(c.family == "market" for c in wanted):
         d = with_market(d)

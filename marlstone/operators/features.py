@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from inspect import getsource
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.nulls import scrub
@@ -10,6 +13,7 @@ from marlstone.functions.trail import Trail
 from marlstone.operators import cross_sectional as xs
 from marlstone.operators import recursive as rc
 from marlstone.operators import technical as te
+from marlstone.sources.canonical import content_hash, semantic_hash
 
 PREFIX = "f_"
 SECTION = ("mom_12_1", "reversal_5", "vol_63", "rsi_14")
@@ -73,3 +77,53 @@ def baseline_crossover(matrix: DataFrame, fast: int = 50, slow: int = 200) -> Da
 def baseline_reversion(matrix: DataFrame) -> DataFrame:
     """``score``: cross-sectional rank of 5-bar reversal."""
     return matrix.withColumn("score", xs.percent_rank_average(_first(matrix, "reversal_5")))
+
+
+#: Look-back of a column that reads all of its past.
+WHOLE_PAST = 1_000_000
+_LOOKBACK = {
+    "ret_1d": 1, "logret_1d": 1, "ret_5d": 5, "vol_5": 5, "vol_21": 21, "vol_63": 63, "realized_vol_21": 21, "sharpe_63": 63, "ma_ratio_10": 10, "ma_ratio_20": 20, "ma_ratio_50": 50, "ma_ratio_200": 200, "bb_pctb": 20, "bb_bandwidth": 20,
+    "mom_21": 21, "mom_63": 63, "mom_126": 126, "mom_252": 252, "mom_12_1": 252, "reversal_5": 5, "zscore_21": 21, "log_dollar_volume": 0, "volume_zscore": 21, "relative_volume": 21, "beta_63": 63, "drawdown": WHOLE_PAST, "max_dd_252": 252,
+    "ema_ratio_12": WHOLE_PAST, "ema_ratio_26": WHOLE_PAST, "rsi_14": WHOLE_PAST, "macd": WHOLE_PAST, "macd_signal": WHOLE_PAST, "macd_hist": WHOLE_PAST,
+}
+
+
+def registry(spark: SparkSession) -> DataFrame:
+    """One row a column of the matrix: family, inputs, bars it looks back, and a hash of the code that makes it."""
+    code = hashlib.sha256((getsource(build_features) + getsource(te) + getsource(rc)).encode()).hexdigest()
+    volume = {"log_dollar_volume", "volume_zscore", "relative_volume"}
+    rows = [(PREFIX + k, "trailing", ["volume", "close"] if k in volume else ["close", "market"] if k == "beta_63" else ["close"], n, code) for k, n in _LOOKBACK.items()]
+    rows += [(f"{PREFIX}cs_{how}_{k}", "cross_section", ["close"], _LOOKBACK[k], code) for k in SECTION for how in ("rank", "z")]
+    return spark.createDataFrame(rows, "name string, family string, inputs array<string>, lookback int, implementation string")
+
+
+def lineage(panel: DataFrame, names: list[str], registered: DataFrame) -> dict:
+    """What a store request records of a matrix: the panel's content and each column's registered description."""
+    wanted = registered.where(F.col("name").isin(names)).drop("inputs")
+    found = {r["name"]: r.asDict() for r in wanted.collect()}
+    lost = sorted(set(names) - set(found))
+    if lost:
+        raise ValueError(f"not registered: {lost}")
+    return {"panel": content_hash(panel), "columns": [found[n] for n in names]}
+
+
+def training_normaliser(df: DataFrame, columns: list[str], first: str, last: str, date: str = "date", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, column, mean, std, n) over the closed interval, std with n below; fitted on nothing later."""
+    fit = df.where(F.col(date).between(first, last))
+    rows = fit.select(*keys, F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns))))
+    return rows.groupBy(*keys, "column").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count("x").alias("n"))
+
+
+def normaliser_state(normaliser: DataFrame, first: str, last: str) -> str:
+    """A hash of a fitted normaliser and its interval."""
+    return semantic_hash([first, last, content_hash(normaliser)])
+
+
+def one_to_one(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """A left join that fails, when read, where either side has a key twice."""
+
+    def once(d: DataFrame, side: str) -> DataFrame:
+        n = F.count("*").over(Window.partitionBy(*on))
+        return d.withColumn("__n", n).where(F.when(F.col("__n") == 1, F.lit(True)).otherwise(F.raise_error(F.lit(f"the {side} side has a key twice")).cast("boolean"))).drop("__n")
+
+    return once(left, "left").join(once(right, "right"), on, "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,12 @@ def value_at_risk(r: Column, level: float = 0.95) -> Column:
     return F.greatest(F.lit(0.0), -F.percentile(r, 1 - level))
 
 
+def gaussian_value_at_risk(r: Column, level: float = 0.95) -> Column:
+    """Loss at the level of a normal with the series' mean and deviation, zero at least."""
+    z = NormalDist().inv_cdf(1 - level)
+    return F.greatest(F.lit(0.0), -(F.avg(r) + z * F.stddev_samp(r)))
+
+
 def summary(days: DataFrame, ret: str = "net", market: str = "market", level: float = 0.95, keys: tuple[str, ...] = ()) -> DataFrame:
     """One row (a group) of performance figures; ``days`` has a date, the return and the market's return."""
     r, m = F.col(ret), F.col(market)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.operators import bitemporal as bi
-from marlstone.sources.canonical import content_hash, semantic_hash
+from marlstone.sources.canonical import content_hash, hash_of, semantic_hash, sums
 from marlstone.sources.files import Folder
 
 CONTRACT, VERSIONS = "panel-bundle", ("1.0.0", "1.1.0")
@@ -45,10 +45,10 @@ def export(spark: SparkSession, root: str, sets: dict[str, DataFrame], source: d
         for name, df in sets.items():
             check(name, df)
             d = df.withColumn("year", F.year("effective_at"))
-            d.repartition("year").sortWithinPartitions("year", "effective_at", *SETS[name][0]).write.partitionBy("year").parquet(folder.child(f"{stage}/{name}"))
+            d.repartitionByRange("year", "effective_at", *SETS[name][0]).sortWithinPartitions("year", "effective_at", *SETS[name][0]).write.partitionBy("year").parquet(folder.child(f"{stage}/{name}"))
             wrote = _read(spark, folder, stage, name)
-            r = wrote.agg(F.count("*").alias("n"), F.min("effective_at").alias("a"), F.max("available_at").alias("b")).first()
-            records[name] = {"content": content_hash(wrote), "rows": r["n"], "first": str(r["a"]), "last_available": str(r["b"]), "columns": sorted(df.columns)}
+            r = wrote.agg(*sums(wrote), F.min("effective_at").alias("first"), F.max("available_at").alias("last")).first()
+            records[name] = {"content": hash_of(wrote, r["n"], r["a"], r["b"]), "rows": r["n"], "first": str(r["first"]), "last_available": str(r["last"]), "columns": sorted(df.columns)}
         body = {"contract": CONTRACT, "version": VERSIONS[-1], "records": records, "source": source}
         bundle = semantic_hash(body)
         if not folder.exists(bundle):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -45,6 +46,24 @@ class Folder:
         if not self.fs.rename(part, self._at(name)):
             raise OSError(f"could not write {name}")
 
+    def insert_json(self, name: str, value: Any) -> bool:
+        """Write a file only if no one else has: written beside and renamed without overwriting, which stores that
+        rename atomically (HDFS and the like) decide for exactly one of several writers. Whether it was this one."""
+        part = f"{name}.{uuid.uuid4().hex}.part"
+        stream = self.fs.create(self._at(part), False)
+        stream.write(json.dumps(value, sort_keys=True, indent=1, default=str).encode())
+        stream.close()
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at("").toUri() if "://" in self.path else self.fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(self._at(part), self._at(name), none)
+            return True
+        except Exception as e:
+            self.fs.delete(self._at(part), False)
+            if not self.exists(name):
+                raise OSError(f"could not write {name}") from e
+            return False
+
     def move(self, old: str, new: str) -> bool:
         self.fs.mkdirs(self._at(new).getParent())
         return self.fs.rename(self._at(old), self._at(new))
