@@ -5,7 +5,8 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from datetime import datetime
+from datetime import date, datetime
+from pathlib import Path
 
 from marlstone.session import session
 
@@ -41,6 +42,27 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("instant", help="ISO 8601 with a time zone")
     r = sub.add_parser("report", help="portfolio report over the driver's tables")
     r.add_argument("tables")
+    t = sub.add_parser("train-model", help="walk-forward scores of a panel in Parquet")
+    t.add_argument("panel")
+    t.add_argument("out")
+    t.add_argument("--settings", help="JSON file")
+    k = sub.add_parser("run-backtest", help="figures of scores in Parquet (date, ticker, score)")
+    k.add_argument("panel")
+    k.add_argument("scores")
+    k.add_argument("--settings", help="JSON file")
+    w = sub.add_parser("run-full-pipeline", help="features, scores, backtest and report of a panel in Parquet")
+    w.add_argument("panel")
+    w.add_argument("--settings", help="JSON file")
+    w.add_argument("--runs", help="folder of the tracked record")
+    b = sub.add_parser("backfill-features", help="feature matrix of a panel by years, resumable")
+    b.add_argument("panel")
+    b.add_argument("root")
+    b.add_argument("start")
+    b.add_argument("end")
+    x = sub.add_parser("export-bundle", help="publish price records in Parquet as a bundle")
+    x.add_argument("records")
+    x.add_argument("root")
+    x.add_argument("name")
     e = sub.add_parser("list-experiments")
     e.add_argument("root")
     return p
@@ -51,10 +73,11 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "version":
         print("marlstone 0.1.0")
         return 0
+    from marlstone import flow
     from marlstone import report as rp
     from marlstone.operators import contracts, features
     from marlstone.plans import panels, registry
-    from marlstone.sources import bundle, store, tracker, vendors
+    from marlstone.sources import backfill, bundle, store, tracker, vendors
 
     spark = session()
     if args.command == "contracts":
@@ -80,6 +103,22 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "report":
         q = registry.queries()
         print(rp.report("Portfolio", [(n, q[k](spark, args.tables)) for n, k in (("Performance", "r05_performance_summary"), ("Costs", "g01_cost_sensitivity"), ("Capacity", "g04_liquidity_capacity"), ("Stress", "r07_stress"), ("Months", "a04_monthly_returns"))]))
+    elif args.command in ("train-model", "run-backtest", "run-full-pipeline"):
+        tree = json.loads(Path(args.settings).read_text()) if args.settings else {}
+        s, panel = flow.settings(tree), panels.with_market(panels.with_returns(spark.read.parquet(args.panel)))
+        if args.command == "train-model":
+            flow.scores(panel, s)[0].write.mode("overwrite").parquet(args.out)
+        elif args.command == "run-backtest":
+            print(flow.backtest(panel, spark.read.parquet(args.scores), s).report(s.name))
+        else:
+            print(flow.run(spark, panel, s, args.runs).report(s.name))
+    elif args.command == "backfill-features":
+        panel = panels.with_market(panels.with_returns(spark.read.parquet(args.panel)))
+        plan = backfill.parts(date.fromisoformat(args.start), date.fromisoformat(args.end))
+        job = backfill.Backfill(spark, args.root, "features", plan)
+        print(job.run(lambda part: features.build_features(backfill.window(panel, part, 600, 1))).count())
+    elif args.command == "export-bundle":
+        print(bundle.export(spark, args.root, {"prices": spark.read.parquet(args.records)}, {"name": args.name}))
     elif args.command == "list-experiments":
         tracker.JsonTracker(spark, args.root).runs().show(50, False)
     return 0

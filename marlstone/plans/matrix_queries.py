@@ -16,6 +16,7 @@ from marlstone.operators import decomposition as de
 from marlstone.operators import features as fe
 from marlstone.operators import graphs as gr
 from marlstone.operators import models as mo
+from marlstone.operators import recursive as rc
 from marlstone.operators import spectral as sp
 from marlstone.operators import splits as sl
 from marlstone.plans import panels as P
@@ -106,18 +107,19 @@ def channels(s: SparkSession, d: str) -> DataFrame:
     return region(s, d).withColumns({"lv": F.log1p("volume"), "ret": F.col("ret")})
 
 
-QUERIES["f03_causal_windows"] = lambda s, d: P.region_day(s, d).withColumn("w", F.collect_list("volume").over(Window.partitionBy("ticker").orderBy("date").rowsBetween(-7, 0))).where(F.size("w") == 8).select("date", "ticker", F.aggregate("w", F.lit(0.0), lambda a, x: a + x).alias("total"), F.col("w")[0].alias("oldest"))
-ORACLES["f03_causal_windows"] = f"select date, ticker, list_sum(w) as total, w[1] as oldest from (select date, ticker, list(volume) over (partition by ticker order by date rows between 7 preceding and current row) as w from ({P.REGION_SQL})) where len(w) = 8"
-QUERIES["f13_channel_builders"] = lambda s, d: _round(_residual(s, d), K, ["volatility", "lv", "residual"])
 
 
-def _residual(s: SparkSession, d: str) -> DataFrame:
-    from marlstone.operators import technical as te
+def _windows(s: SparkSession, d: str) -> DataFrame:
+    def made(p):
+        w = sp.causal_windows(p["volume"].to_numpy(float), 8)
+        return {"total": w.sum(1), "oldest": w[:, 0]}
+
+    return rc.along(P.region_day(s, d), made, ["total", "oldest"]).select(*K, "total", "oldest").dropna()
 
-    t = Trail(region(s, d))
-    r, m = F.col("ret"), F.col("market")
-    beta = t.series(te.rolling_beta(t, r, m))
-    return t.put(volatility=t.std(r, 21), lv=F.log1p("volume"), residual=r - beta * m).result()
+
+QUERIES["f03_causal_windows"] = _windows
+ORACLES["f03_causal_windows"] = f"select date, ticker, list_sum(w) as total, w[1] as oldest from (select date, ticker, list(volume) over (partition by ticker order by date rows between 7 preceding and current row) as w from ({P.REGION_SQL})) where len(w) = 8"
+QUERIES["f13_channel_builders"] = lambda s, d: _round(sp.channels(region(s, d)).withColumnsRenamed({"ch_volatility": "volatility", "ch_volume": "lv", "ch_residual": "residual"}), K, ["volatility", "lv", "residual"])
 
 
 _both = "case when ret is not null and market is not null then 1 end"
@@ -132,6 +134,23 @@ QUERIES["a14_tensor_normaliser"] = lambda s, d: sp.normalise_tensor(sp.tensor(ch
 QUERIES["e01_emd"] = lambda s, d: de.decompose(region(s, d), "ret", "emd")
 QUERIES["e04_vmd"] = lambda s, d: de.decompose(region(s, d), "ret", "vmd", modes=3)
 QUERIES["e08_representations"] = lambda s, d: de.representations(region(s, d), "ret", "wavelet", stride=21)
+QUERIES["e02_eemd"] = lambda s, d: de.decompose(region(s, d), "ret", "eemd", members=8)
+QUERIES["e03_ceemdan"] = lambda s, d: de.decompose(region(s, d), "ret", "ceemdan", members=8)
+
+
+def _dynamic(s: SparkSession, d: str) -> DataFrame:
+    """One-step forecasts of a ticker's return from the market's, by a random-walk regression."""
+
+    def made(p):
+        x = np.column_stack([np.ones(len(p)), p["market"].to_numpy(float)])
+        k = rc.dynamic_linear(p["ret"].to_numpy(float), x, 1e-4, 0.1)
+        return {"forecast": k["forecast"], "variance": k["variance"], "beta": k["coefficients"][:, 1]}
+
+    return rc.along(region(s, d), made, ["forecast", "variance", "beta"]).select(*K, "forecast", "variance", "beta")
+
+
+QUERIES["v09_dynamic_linear"] = _dynamic
+QUERIES["st10_feature_registry"] = lambda s, d: fe.registry(s)
 for _f in ("raw", "spectral", "emd", "vmd"):
     QUERIES[f"e08_representations_{_f}"] = lambda s, d, f=_f: de.representations(region(s, d), "ret", f, stride=21)
 

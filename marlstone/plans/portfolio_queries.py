@@ -164,6 +164,9 @@ add("r03_drawdown", days, ["date"], ["drawdown"], DAYS)
 add("r04_value_at_risk", lambda s, d: days(s, d).agg(risk.value_at_risk(F.col("net")).alias("x")), [], ["x"], f"select {FIGURES['var']} as x from ({DAYS})")
 
 
+add("r04_gaussian_value_at_risk", lambda s, d: days(s, d).agg(risk.gaussian_value_at_risk(F.col("net")).alias("x")), [], ["x"], f"select greatest(0, -(avg(net) - 1.6448536269514722e0 * stddev_samp(net))) as x from ({DAYS})")
+
+
 def _rolling(s: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(-125, 0)
     n = F.col("net")

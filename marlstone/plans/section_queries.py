@@ -12,6 +12,7 @@ from marlstone.functions.nulls import finite
 from marlstone.functions.shared import calendar_grid, written
 from marlstone.functions.trail import Trail
 from marlstone.operators import cross_sectional as xs
+from marlstone.operators import features as fe
 from marlstone.operators import recursive as rc
 from marlstone.operators import technical as te
 from marlstone.plans import panels as P
@@ -81,7 +82,7 @@ add("k09_set_difference", lambda s, d: P.table(s, d, "customer").select(F.col("c
 # aggregates
 add("a01_panel_metadata", lambda s, d: P.region_day(s, d).agg(F.count("*").alias("n_rows"), F.countDistinct("ticker").alias("n_tickers"), F.min("date").alias("first"), F.max("date").alias("last")), f"select count(*) as n_rows, count(distinct ticker) as n_tickers, min(date) as first, max(date) as last from ({P.REGION_SQL})")
 add("a02_market_proxy", lambda s, d: _round(P.with_market(P.with_returns(P.region_day(s, d))), K, ["market"]), _round_sql("date, ticker", ["market"], P.market_sql(P.REGION_SQL)))
-add("a13_training_normaliser", lambda s, d: _round(P.with_returns(P.region_day(s, d)).where("date between date'1995-01-01' and date'1996-12-31'").groupBy("ticker").agg(F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("std")), ["ticker"], ["mean", "std"]), _round_sql("ticker", ["mean", "std"], f"select ticker, avg(ret) as mean, stddev_pop(ret) as std from ({P.returns_sql(P.REGION_SQL)}) where date between date '1995-01-01' and date '1996-12-31' group by ticker"))
+add("a13_training_normaliser", lambda s, d: _round(fe.training_normaliser(P.with_returns(P.region_day(s, d)), ["ret"], "1995-01-01", "1996-12-31", keys=("ticker",)), ["ticker"], ["mean", "std"]), _round_sql("ticker", ["mean", "std"], f"select ticker, avg(ret) as mean, stddev_pop(ret) as std from ({P.returns_sql(P.REGION_SQL)}) where date between date '1995-01-01' and date '1996-12-31' group by ticker"))
 add("a15_asset_mle", lambda s, d: _round(P.with_returns(P.region_day(s, d)).groupBy("ticker").agg(F.avg("ret").alias("mean"), F.greatest(F.stddev_pop("ret"), F.lit(1e-12)).alias("std"), F.count("ret").cast("double").alias("n")), ["ticker"], ["mean", "std", "n"]), _round_sql("ticker", ["mean", "std", "n"], f"select ticker, avg(ret) as mean, greatest(stddev_pop(ret), 1e-12) as std, cast(count(ret) as double) as n from ({P.returns_sql(P.REGION_SQL)}) group by ticker"))
 
 
@@ -127,7 +128,7 @@ _months = [f"m{i}" for i in range(1, 13)]
 add("a04_monthly_returns", lambda s, d: _round(monthly(P.with_market(P.with_returns(P.region_day(s, d))).groupBy("date").agg((F.first("market") * 0.01).alias("ret"))), ["year"], [*_months, "whole"]), _round_sql("year", [*_months, "whole"], f"select y as year, {', '.join(f'max(case when m = {i} then r end) as m{i}' for i in range(1, 13))}, product(1 + r) - 1 as whole from {_m} group by y"))
 
 # joins
-add("j01_one_to_one_left", lambda s, d: _round(P.region_day(s, d).join(P.with_returns(P.region_day(s, d)).where("ret > 0").select("date", "ticker", "ret"), K, "left"), K, ["ret"]), _round_sql("date, ticker", ["ret"], f"select a.date, a.ticker, b.ret from ({P.REGION_SQL}) a left join (select * from ({P.returns_sql(P.REGION_SQL)}) where ret > 0) b on a.date = b.date and a.ticker = b.ticker"))
+add("j01_one_to_one_left", lambda s, d: _round(fe.one_to_one(P.region_day(s, d), P.with_returns(P.region_day(s, d)).where("ret > 0").select("date", "ticker", "ret"), K), K, ["ret"]), _round_sql("date, ticker", ["ret"], f"select a.date, a.ticker, b.ret from ({P.REGION_SQL}) a left join (select * from ({P.returns_sql(P.REGION_SQL)}) where ret > 0) b on a.date = b.date and a.ticker = b.ticker"))
 add("j02_market_lookup", lambda s, d: _round(P.with_returns(P.region_day(s, d)).join(P.with_returns(P.region_day(s, d)).where("ticker = 'R0'").select("date", F.col("ret").alias("bench")), "date", "left"), K, ["bench"]), _round_sql("date, ticker", ["bench"], f"select a.date, a.ticker, b.ret as bench from ({P.REGION_SQL}) a left join (select * from ({P.returns_sql(P.REGION_SQL)}) where ticker = 'R0') b on a.date = b.date"))
 add("j04_tickers_in_common", lambda s, d: P.brand_day(s, d).select("ticker", "date").join(_scored(s, d).where("mom > 0.5").select("ticker").distinct(), "ticker", "left_semi").groupBy("ticker").agg(F.count("*").alias("bars")), f"select ticker, count(*) as bars from ({P.BRAND_SQL}) where ticker in (select ticker from ({_SCORED}) where mom > 0.5) group by ticker")
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.operators import technical as te
+from marlstone.functions.shared import folder
 from marlstone.functions.trail import Trail
 from marlstone.plans import panels as P
 from marlstone.sources import backfill as bf
@@ -27,8 +28,7 @@ ORACLES: dict[str, str] = {}
 
 
 def scratch(s: SparkSession, label: str) -> str:
-    root = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{folder(s)}/{label}-{uuid.uuid4().hex}"
 
 
 def _store(s: SparkSession, d: str) -> DataFrame:
@@ -118,3 +118,73 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
 QUERIES["str01_event_bars"] = _stream
 # the last hour stays open: the watermark has not passed its end
 ORACLES["str01_event_bars"] = f"select date, ticker, {P.rounded_sql('close')} as close, ticks from (select date_trunc('hour', ts) as date, event_type as ticker, avg(value) as close, count(*) as ticks from events group by 1, 2) where date < (select date_trunc('hour', max(ts)) from events)"
+
+
+def _tensors(s: SparkSession, d: str) -> DataFrame:
+    """A tensor written, read back with its content verified, and how much power each surface holds."""
+    from marlstone.operators import spectral as sp
+    from marlstone.sources.tensor_store import TensorStore
+
+    store = TensorStore(s, scratch(s, "tensors"))
+    made = sp.tensor(P.with_returns(P.region_day(s, d)), {"return": "ret"})
+    name = store.write(made, {"window": 64, "segment": 32, "hop": 8})
+    return store.read(name).where("observed").groupBy("ticker", "channel").agg(F.count("*").alias("n"))
+
+
+QUERIES["snk03_tensor_store"] = _tensors
+# a surface is observed where its 64 returns are all there
+ORACLES["snk03_tensor_store"] = f"select ticker, 'return' as channel, count(*) as n from (select ticker, count(ret) over (partition by ticker order by date rows between 63 preceding and current row) as k from ({P.returns_sql(P.REGION_SQL)})) where k = 64 group by 1, 2"
+
+
+def _series(s: SparkSession, d: str) -> DataFrame:
+    """Time-series answers, one a nation, staged and replayed."""
+    names = [(r["n_nationkey"], r["n_name"]) for r in P.table(s, d, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").limit(5).collect()]
+
+    def transport(what: str, params: dict[str, str]) -> tuple[int, bytes, dict[str, str]]:
+        code = what.split("/")[1]
+        return 200, json.dumps({"dataset": {"database_code": "DB", "dataset_code": code, "column_names": ["Date", "Close"], "data": [["2024-01-02", int(code[1:]) * 10], ["2024-01-03", int(code[1:]) * 10 + 1]]}}).encode(), {}
+
+    root, codes = scratch(s, "series"), [f"N{k}" for k, _ in names]
+    ve.fetch_series(s, root, "DB", codes, transport)
+    return ve.fetch_series(s, root, "DB", codes, transport, mode="cache_only").select("ticker", F.to_date("date").alias("date"), F.col("close").cast("double").alias("close"))
+
+
+QUERIES["src06_vendor_series"] = _series
+ORACLES["src06_vendor_series"] = "select 'N' || n_nationkey as ticker, date '2024-01-02' + cast(i as int) as date, cast(n_nationkey * 10 + i as double) as close from (select * from nation order by n_nationkey limit 5) cross join (select unnest([0, 1]) as i)"
+
+
+def _quotes(s: SparkSession, d: str) -> DataFrame:
+    """Chart answers and CSV quotes of the same bars, normalised: a bar of each service for each region."""
+    keys = [r["r_regionkey"] for r in P.table(s, d, "region").select("r_regionkey").orderBy("r_regionkey").collect()]
+
+    def chart(t: str) -> str:
+        k = int(t[1:])
+        quote = {"open": [10 + k], "high": [12 + k], "low": [9 + k], "close": [11 + k], "volume": [100 * k]}
+        return json.dumps({"chart": {"result": [{"timestamp": [1704205800], "indicators": {"quote": [quote]}}]}})
+
+    def text(t: str) -> str:
+        k = int(t[1:])
+        return f"Date,Open,High,Low,Close,Volume\n2024-01-03,{10 + k},{12 + k},{9 + k},{11 + k},{100 * k}\n"
+
+    rows = ve.fetch_chart(s, [f"R{k}" for k in keys], chart).unionByName(ve.fetch_csv(s, [f"R{k}" for k in keys], text))
+    return ve.normalise(rows, retrieved_at=datetime(2024, 1, 5, tzinfo=timezone.utc)).select("date", "ticker", "close", "adj_close", "volume")
+
+
+QUERIES["src03_src04_quotes"] = _quotes
+ORACLES["src03_src04_quotes"] = "select date '2024-01-02' + cast(i as int) as date, 'R' || r_regionkey as ticker, cast(11 + r_regionkey as double) as close, cast(11 + r_regionkey as double) as adj_close, cast(100 * r_regionkey as double) as volume from region cross join (select unnest([0, 1]) as i)"
+
+
+def _catalogued(s: SparkSession, d: str) -> DataFrame:
+    """Two writers of the same keys: the first one's records stay."""
+    from marlstone.sources.catalog import Catalog
+
+    c = Catalog(s, scratch(s, "catalog"))
+    names = [r["n_name"].replace(" ", "_") for r in P.table(s, d, "nation").select("n_name").orderBy("n_nationkey").limit(4).collect()]
+    for version in ("1", "2"):
+        for n in names:
+            c.insert("features", n, {"name": n, "version": version, "identity": n.lower()})
+    return c.rows("features").select("key", F.get_json_object("record", "$.version").alias("version"))
+
+
+QUERIES["st04_catalog"] = _catalogued
+ORACLES["st04_catalog"] = "select replace(n_name, ' ', '_') as key, '1' as version from (select * from nation order by n_nationkey limit 4)"

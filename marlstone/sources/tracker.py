@@ -14,13 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from marlstone.sources.files import Folder
 
 
-def flatten(d: dict[str, Any], prefix: str = "") -> dict[str, Any]:
-    out: dict[str, Any] = {}
-    for k, v in d.items():
-        out |= flatten(v, f"{prefix}{k}.") if isinstance(v, dict) else {prefix + k: v}
-    return out
-
-
 @dataclass
 class Run:
     name: str
@@ -32,7 +25,7 @@ class Run:
     at: str = field(default_factory=lambda: datetime.now(timezone.utc).isoformat())
 
     def row(self) -> dict[str, Any]:
-        return {"run_id": self.run_id, "name": self.name, "at": self.at, "params": json.dumps(flatten(self.params), sort_keys=True, default=str), "metrics": json.dumps(self.metrics, sort_keys=True), "tags": json.dumps(self.tags, sort_keys=True), "dataset": self.dataset}
+        return {"run_id": self.run_id, "name": self.name, "at": self.at, "params": json.dumps(self.params, sort_keys=True, default=str), "metrics": json.dumps(self.metrics, sort_keys=True), "tags": json.dumps(self.tags, sort_keys=True), "dataset": self.dataset}
 
 
 class JsonTracker:
@@ -58,3 +51,21 @@ class SqliteTracker:
 
     def runs(self) -> list[tuple]:
         return self.db.execute("select * from runs order by at").fetchall()
+
+
+class NoTracker:
+    """Keeps nothing."""
+
+    def log(self, run: Run) -> None:
+        """Forget the run."""
+
+    def runs(self) -> list[tuple]:
+        return []
+
+
+def tracker(kind: str, spark: SparkSession, root: str):
+    """A tracker by kind: json, sqlite or none."""
+    made = {"json": lambda: JsonTracker(spark, root), "sqlite": lambda: SqliteTracker(root), "none": NoTracker}
+    if kind not in made:
+        raise ValueError(f"no tracker {kind!r}")
+    return made[kind]()

@@ -208,7 +208,7 @@ def test_trackers(spark, tmp_path):
     db.log(run)
     j = tracker.JsonTracker(spark, str(tmp_path / "runs"))
     j.log(run)
-    assert db.runs()[0][0] == j.runs().first()["run_id"] == run.run_id and '"x.y": 1' in j.runs().first()["params"]
+    assert db.runs()[0][0] == j.runs().first()["run_id"] == run.run_id and '"x": {"y": 1}' in j.runs().first()["params"]
 
 
 def test_streamed_average_carries_state(spark, tmp_path):
