@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from marlstone.sources.canonical import content_hash, semantic_hash
 from marlstone.sources.files import Folder
@@ -30,7 +32,7 @@ class TensorStore:
             name = semantic_hash([settings, content])
             if not self.folder.exists(f"objects/{name}"):
                 self.folder.move(stage, f"objects/{name}")
-            self.folder.insert_json(f"manifests/{name}.json", {"object": name, "settings": settings, "content": content, "columns": wrote.columns})
+            self.folder.insert_json(f"manifests/{name}.json", {"object": name, "settings": settings, "content": content, "schema": json.loads(wrote.schema.json())})
             return name
         finally:
             self.folder.remove(stage)
@@ -42,7 +44,7 @@ class TensorStore:
 
     def read(self, name: str, verify: bool = True) -> DataFrame:
         m = self.manifest(name)
-        d = self.spark.read.parquet(self.folder.child(f"objects/{name}"))
+        d = self.spark.read.schema(StructType.fromJson(m["schema"])).parquet(self.folder.child(f"objects/{name}"))
         if verify and (content_hash(d) != m["content"] or semantic_hash([m["settings"], m["content"]]) != name):
             raise TensorError("the tensor was changed")
         return d
