@@ -129,7 +129,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Rows whose crc32 of the id as text leaves 1 modulo 3 are held out; labels are read for the others only.
     Repeated labels of one id count once, by majority; null labels and ids are not learned from. A row without
     an id is scored and not held out. With fewer than two rows of a class every score is the share of class 1
-    (a half without labels). Other columns are not read.
+    (a half without labels). A label tied between its classes counts as class 1, a score of a half as class 1.
+    Texts of any length are read whole. Repeated rows are scored alike; an empty table gives no rows. Other columns
+    are not read, whatever their names.
     """
     small_batches(docs.sparkSession, 5000)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))

@@ -9,9 +9,10 @@ from functools import lru_cache
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k"
-#: Texts with other characters, or with the special string, go to the reference library itself; below this
-#: both libraries split and merge alike (tested over every such character).
-_RARE = re.compile("[^\x00-ɏ]|<\\|endoftext\\|>")
+#: Texts with other characters, with the special string, or with a run of one kind so long that the quick library's
+#: pattern would run out of stack go to the library the vocabulary is made for. For all others both split and merge
+#: alike (a test goes over every pair of such characters).
+_RARE = re.compile("[^\x00-ɏ]|<\\|endoftext\\|>|(?<!\\S)\\S{4000}|(?<!\\s)\\s{4000}")
 
 
 def vocabulary_path(name: str) -> str:
@@ -42,10 +43,6 @@ def token_ids(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
     if not text:
         return np.zeros(0, "<u4")
     if not _RARE.search(text):
-        try:
-            return np.array(_quick(vocabulary_path(f"{vocabulary}.tiktoken")).encode_ordinary(text), "<u4")
-        except BaseException as e:  # the quick library panics on very long runs of one kind
-            if isinstance(e, (KeyboardInterrupt, SystemExit)):
-                raise
+        return np.array(_quick(vocabulary_path(f"{vocabulary}.tiktoken")).encode_ordinary(text), "<u4")
     ids = _exact(vocabulary_path(f"{vocabulary}.json")).encode(text, add_special_tokens=False).ids
     return np.array(ids, "<u4")

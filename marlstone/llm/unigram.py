@@ -25,6 +25,8 @@ from marlstone.llm.common import Cache, small_batches
 from marlstone.llm.tokens import vocabulary_path
 
 VOCABULARY, SPACE, UNKNOWN_COST = "piece_bpe_32k.model", "▁", 10.0
+#: Noncharacters, which no text holds.
+UNKNOWN = "\ufdd0\ufdd1"
 
 
 @lru_cache(2)
@@ -35,7 +37,10 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
     file = sentencepiece.SentencePieceProcessor(model_file=path)
     n = file.get_piece_size()
     harmonic = math.log(sum(1 / (i + 1) for i in range(n)))
-    return [(file.id_to_piece(i), 0.0 if i < 3 else -math.log(i + 1) - harmonic) for i in range(n)]
+    # control pieces stand for no text: they are left out, and the unknown piece, which must be there, has a name
+    # that is no text and the least score
+    kept = [(file.id_to_piece(i), -math.log(i + 1) - harmonic) for i in range(n) if not file.is_control(i) and not file.is_unknown(i)]
+    return [(UNKNOWN, min(score for _, score in kept)), *kept]
 
 
 def model(path: str | None = None):
@@ -109,7 +114,9 @@ def counter(path: str) -> Counter:
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row per input row: doc_id, n_tokens (bigint), score (log-probability of the best path).
 
-    Null and empty texts have no tokens and score 0. Repeated rows stay. Other columns are not read.
+    Null and empty texts have no tokens and score 0. Texts, and words in them, may be of any length and are counted
+    whole. Of paths that tie the first found stays, as in the library. Repeated rows stay; rows without an id have a
+    null one. An empty table gives no rows. Other columns are not read, whatever their names.
     """
     small_batches(docs.sparkSession)
     file = path or vocabulary_path(VOCABULARY)
@@ -118,7 +125,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         own = counter(file)
         for b in batches:
             n, score = zip(*map(own.text, b["text"]), strict=True) if len(b) else ((), ())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": n, "score": score})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": n, "score": score})
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInPandas(count, "doc_id bigint, n_tokens bigint, score double")

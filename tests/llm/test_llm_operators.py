@@ -29,6 +29,33 @@ def test_counts_match_the_library(text):
     assert c.text(text)[0] == len(unigram.model().encode(text, add_special_tokens=False).ids)
 
 
+def test_control_pieces_are_no_text():
+    c = unigram.counter(unigram.vocabulary_path(unigram.VOCABULARY))
+    for text in ("<s>", "</s> a", "<unk>", "a<s>b", "x" * 3000, "日本" * 2000):
+        assert c.text(text)[0] == len(unigram.model().encode(text, add_special_tokens=False).ids)
+        assert text.startswith("x") or c.text(text)[0] > 1
+
+
+def brute_unigram(c, pieces, word):
+    """Best score over all splits into pieces and unknown characters."""
+    best = [0.0] + [-math.inf] * len(word)
+    for end in range(1, len(word) + 1):
+        for start in range(max(0, end - 20), end):
+            s = pieces.get(word[start:end], c.unknown if end - start == 1 else -math.inf)
+            best[end] = max(best[end], best[start] + s)
+    return best[-1]
+
+
+@SIMPLE
+@given(st.text(alphabet="abcdetn sz日é", min_size=1, max_size=30))
+def test_scores_are_the_best_of_all_splits(text):
+    path = unigram.vocabulary_path(unigram.VOCABULARY)
+    c, pieces = unigram.counter(path), dict(unigram.vocabulary(path))
+    words = ("▁" + text.replace(" ", " ▁")).split(" ")
+    want = sum(brute_unigram(c, pieces, w) for w in words)
+    assert text.startswith(" ") or np.isclose(c.text(text)[1], want)
+
+
 def test_token_counts_awkward(awkward):
     got = unigram.token_counts(awkward).toPandas()
     assert len(got) == 9 and (got[got.doc_id.isin([1, 2])].n_tokens == 0).all() and (got[got.doc_id == 4].n_tokens > 0).all()
@@ -198,6 +225,20 @@ def test_token_ids_are_the_librarys(text):
     assert tokens.token_ids(text).tolist() == want
 
 
+def test_both_libraries_agree_on_every_pair_of_characters():
+    plain = [chr(i) for i in range(0x250)]
+    exact = tokens._exact(tokens.vocabulary_path("byte_bpe_50k.json"))
+    for c in plain:
+        text = "".join(f"{c}{d}x {c}{d} " for d in plain)
+        assert tokens.token_ids(text).tolist() == exact.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", ["x" * 300_000, " " * 300_000, "\n" * 50_000 + "a", "ab " * 100_000, "é" * 5000, "a\u00a0" * 5000, "1" * 20_000])
+def test_very_long_runs(text):
+    want = tokens._exact(tokens.vocabulary_path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert tokens.token_ids(text).tolist() == want
+
+
 @SIMPLE
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
 def test_patterns_place_everything_once(counts):
@@ -343,6 +384,27 @@ def test_classifier_learns_from_rows_not_held_out(spark, docs):
     assert (none.score == 0.5).all()
 
 
+def test_scores_are_the_log_density_ratio(spark, docs):
+    """Densities from numpy, with covariances shrunk by hand, over features the operator computes."""
+    rng = np.random.default_rng(31)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(50)]
+    rows = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(5, 40)))) + ("! #1 " if i % 2 else ". ") * int(rng.integers(1, 6)), "s") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, quality int")
+    got = classifier.classify(docs(rows), labels).toPandas().set_index("doc_id").sort_index()
+    table = classifier.features(docs(rows)).toPandas().set_index("doc_id").sort_index()
+    x, learn = table[classifier.FEATURES].to_numpy(), np.array([zlib.crc32(str(i).encode()) % 3 != 1 for i in table.index])
+    y, logp = table.index.to_numpy() % 2, []
+    pooled = sum(np.cov(x[learn & (y == k)].T, bias=True) * (learn & (y == k)).sum() for k in (0, 1)) / learn.sum()
+    for k in (0, 1):
+        own = x[learn & (y == k)]
+        s = (1 - classifier.POOLED) * np.cov(own.T, bias=True) + classifier.POOLED * pooled
+        s = (1 - classifier.ROUND) * s + classifier.ROUND * np.trace(s) / len(s) * np.eye(len(s))
+        d = x - own.mean(0)
+        logp.append(np.log(len(own)) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d))
+    want = 1 / (1 + np.exp(np.clip(logp[0] - logp[1], -700, 700)))
+    assert np.allclose(got.score, want, atol=1e-6) and (got.predicted == (got.score >= 0.5)).all()
+
+
 def test_classifier_awkward(spark, awkward):
     labels = spark.createDataFrame([(4, 1)], "doc_id bigint, quality int")
     assert len(classifier.classify(awkward, labels).toPandas()) == 9
