@@ -126,7 +126,8 @@ def vmd(x: np.ndarray, modes: int = 4, alpha: float = 2000.0, tau: float = 0.0,
     left, right = n // 2, n - n // 2
     long_ = np.concatenate([x[:left][::-1], x, x[-right:][::-1]])
     spectrum, f = np.fft.rfft(long_), np.fft.rfftfreq(len(long_))
-    u, omega = np.zeros((modes, len(f)), complex), np.geomspace(2 / len(long_), 0.5, modes)
+    # centre frequencies start evenly spread, as in the method's paper (Dragomiretskiy and Zosso, 2014)
+    u, omega = np.zeros((modes, len(f)), complex), 0.5 * np.arange(modes) / modes
     dual, whole, ok, step = np.zeros(len(f), complex), np.zeros(len(f), complex), False, 0
     for step in range(1, rounds + 1):
         before = u.copy()
