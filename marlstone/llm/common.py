@@ -69,7 +69,8 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, spread: str, small: i
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what a Python worker holds at once: few rows to an Arrow batch, since texts may be long."""
+    """Bound what a Python worker holds at once: few rows to an Arrow batch, since texts may be long. Spark bounds a
+    batch's bytes too (``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB unless set)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
