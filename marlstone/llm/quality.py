@@ -55,12 +55,18 @@ def letters(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}]+"), "")
 
 
+def _window_hashes(w: str, window: int) -> str:
+    """64-bit hashes of all windows of array column ``w``, which has more words than a window, from its words' hashes."""
+    parts = ", ".join(f"h[i + {k}]" for k in range(window))
+    return f"transform(array(transform({w}, x -> xxhash64(x))), h -> transform(sequence(0, size(h) - {window}), i -> xxhash64({parts})))[0]"
+
+
 def repeated_words(w: str, window: int) -> Column:
     """Words in windows found twice or more in array column ``w``, each word counted once.
 
     Windows are compared by 64-bit hash within one text. Only texts with an equal pair are sorted.
     """
-    hashes = f"transform(sequence(1, size({w}) - {window - 1}), i -> xxhash64(slice({w}, i, {window})))"
+    hashes = _window_hashes(w, window)
     pairs = "zip_with(s, slice(s, 2, size(s)), (a, b) -> if(a.x = b.x, array(a.i, b.i), cast(array() as array<int>)))"
     covered = (
         f"aggregate(array_sort(array_distinct(flatten({pairs}))), named_struct('last', -{window}, 'sum', 0L),"
