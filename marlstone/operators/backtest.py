@@ -163,10 +163,12 @@ def cost_grid(days: DataFrame, bps: list[float]) -> DataFrame:
 
 
 def delay_grid(delayed: list[DataFrame]) -> DataFrame:
-    """Summed gross returns, turnover and Sharpe ratio by ``delay``, of daily results that hold that column."""
+    """Summed gross returns, turnover and Sharpe ratio by ``delay``, of daily results that hold that column, over the
+    dates that all of them have."""
     rows = delayed[0]
     for other in delayed[1:]:
         rows = rows.unionByName(other)
+    rows = rows.withColumn("__n", F.count("*").over(by_date())).where(F.col("__n") == len(delayed))
     net = F.col("net")
     sharpe = ratio(F.avg(net), F.stddev_samp(net)) * F.sqrt(F.lit(YEAR))
     return rows.groupBy("delay").agg(F.sum("gross").alias("gross"), F.sum("turnover").alias("turnover"), sharpe.alias("sharpe"))

@@ -219,12 +219,23 @@ def representations(panel: DataFrame, column: str, family: str, n: int = 64, str
     return panel.select(time, entity, column).groupBy(entity).applyInPandas(run, schema)
 
 
+#: Bars of one entity, and modes, that a task will decompose.
+MOST_BARS, MOST_MODES = 100_000, 32
+
+
+def _bounded(rows: int, options: dict) -> None:
+    modes = options.get("modes", options.get("most", 0))
+    if rows > MOST_BARS or modes > MOST_MODES or options.get("members", 1) < 1:
+        raise ValueError(f"a series of {rows} bars with {options} is beyond the bounds ({MOST_BARS} bars, {MOST_MODES} modes)")
+
+
 def decompose(panel: DataFrame, column: str, method: str = "emd", entity: str = "ticker", time: str = "date", **options) -> DataFrame:
     """One row a (date, ticker, mode): mode values of each entity's whole series; mode -1 is the residual."""
     kinds = {f.name: f.dataType.simpleString() for f in panel.schema.fields}
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(time, kind="stable")
+        _bounded(len(rows), options)
         m = METHODS[method](rows[column].to_numpy(float), **options)
         parts = [(-1, m.residual), *enumerate(m.modes)]
         return pd.concat([pd.DataFrame({time: rows[time], entity: rows[entity], "mode": k, "value": v}) for k, v in parts])

@@ -115,6 +115,17 @@ def classification_metrics(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return c.withColumns(made).crossJoin(curves)  # one row each
 
 
+def fold_metrics(df: DataFrame, fold: str = "fold", threshold: float = 0.5, eps: float = 1e-12) -> DataFrame:
+    """One row a fold: rows, share of ones, accuracy, precision, recall, Brier score and log loss; one aggregate."""
+    hit, yes = _p() >= threshold, _y() >= 0.5
+    q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), _p()))
+    both = F.count_if(hit & yes).cast("double")
+    return df.groupBy(fold).agg(
+        F.count("*").alias("n"), F.avg(_y()).alias("rate"), F.avg((hit == yes).cast("double")).alias("accuracy"), F.coalesce(ratio(both, F.count_if(hit)), F.lit(0.0)).alias("precision"), F.coalesce(ratio(both, F.count_if(yes)), F.lit(0.0)).alias("recall"),
+        F.avg((_p() - _y()) * (_p() - _y())).alias("brier"), F.avg(-(_y() * F.ln(q) + (1 - _y()) * F.ln(1 - q))).alias("log_loss"),
+    )
+
+
 def regression_metrics(df: DataFrame, truth: str, guess: str) -> DataFrame:
     t, g = F.col(truth), F.col(guess)
     both = df.where(t.isNotNull() & g.isNotNull())

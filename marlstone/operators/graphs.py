@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,28 @@ def partial_correlations(spark, names: list[str], correlation: np.ndarray, ridge
     return spark.createDataFrame(rows, "src string, dst string, corr double")
 
 
+def partial_edges(windowed: DataFrame, value: str = "ret", threshold: float = 0.2, degree: int = 3, ridge: float = 1e-3, most: int = 500) -> DataFrame:
+    """The same from partial correlations: each mark's complete dates give a correlation matrix, whose ridged inverse
+    holds them. A mark is a task; more than ``most`` entities in one is an error."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        wide = rows.pivot_table(index="date", columns="ticker", values=value).dropna()
+        if wide.shape[1] > most:
+            raise ValueError(f"more than {most} entities in one window")
+        if len(wide) < 3 or wide.shape[1] < 2:
+            return pd.DataFrame({"as_of": [], "src": [], "dst": [], "w": []})
+        p = np.linalg.inv(np.nan_to_num(np.corrcoef(wide.to_numpy().T)) + ridge * np.eye(wide.shape[1]))
+        d = np.sqrt(np.diag(p))
+        c, names = np.abs(p / np.outer(d, d)), list(wide.columns)
+        pairs = [(rows["as_of"].iloc[0], a, b, float(c[i, j])) for i, a in enumerate(names) for j, b in enumerate(names) if i != j]
+        return pd.DataFrame(pairs, columns=["as_of", "src", "dst", "w"])
+
+    c = windowed.select("as_of", "date", "ticker", value).groupBy("as_of").applyInPandas(run, "as_of date, src string, dst string, w double").where(F.col("w") >= threshold)
+    node = Window.partitionBy("as_of", "src")
+    c = c.withColumn("place", F.row_number().over(node.orderBy(F.desc("w"), "dst"))).where(F.col("place") <= degree)
+    return c.select("as_of", "src", "dst", ratio(F.col("w"), F.sum("w").over(node)).alias("weight"))
+
+
 def pass_messages(states: DataFrame, graph: DataFrame, own: float = 0.5, rounds: int = 1) -> DataFrame:
     """``own`` times a node's state plus the rest from its neighbours, a few times; (as_of, ticker, x)."""
     d = states.select("as_of", "ticker", F.coalesce("x", F.lit(0.0)).alias("x"))

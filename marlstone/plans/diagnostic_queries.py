@@ -48,6 +48,7 @@ _cm = f"select count(*) filter (p >= 0.5 and y = 1) as tp, count(*) filter (p >=
 _curve = f"select sum(neg * (ctp - pos / 2.0e0)) / max(tpos * tneg) as roc_auc, sum(pos * ctp / (ctp + cfp)) / max(tpos) as average_precision from (select *, sum(pos) over (order by p desc rows unbounded preceding) as ctp, sum(neg) over (order by p desc rows unbounded preceding) as cfp, sum(pos) over () as tpos, sum(neg) over () as tneg from (select p, sum(y) as pos, sum(1 - y) as neg from ({FC}) group by p))"
 _metrics = f"select *, (tp + tn) / (tp + fp + fn + tn) as accuracy, (tp / (tp + fn) + tn / (tn + fp)) / 2 as balanced_accuracy, tp / (tp + fp) as precision, tp / (tp + fn) as recall, 2 * tp / (2 * tp + fp + fn) as f1, (cast(tp as double) * tn - cast(fp as double) * fn) / sqrt(cast(tp + fp as double) * (tp + fn) * (tn + fp) * (tn + fn)) as mcc from ({_cm}) cross join ({_curve})"
 add("m09_m11_classification", lambda s, d: dg.classification_metrics(forecasts(s, d)), ["tp", "fp", "fn", "tn"], ["accuracy", "balanced_accuracy", "precision", "recall", "f1", "mcc", "roc_auc", "average_precision"], _metrics)
+add("a03_fold_metrics", lambda s, d: dg.fold_metrics(forecasts(s, d).withColumn("fold", F.year("date"))), ["fold", "n"], ["rate", "accuracy", "precision", "recall", "brier", "log_loss"], f"select year(date) as fold, count(*) as n, avg(y) as rate, avg(cast((p >= 0.5) = (y >= 0.5) as int)) as accuracy, coalesce(count(*) filter (p >= 0.5 and y = 1) / nullif(count(*) filter (p >= 0.5), 0), 0) as precision, coalesce(count(*) filter (p >= 0.5 and y = 1) / nullif(count(*) filter (y = 1), 0), 0) as recall, avg((p - y) * (p - y)) as brier, avg(-(y * ln({_q}) + (1 - y) * ln(1 - {_q}))) as log_loss from ({FC}) group by 1")
 add("m10_regression", lambda s, d: dg.regression_metrics(forecasts(s, d).withColumn("guess", F.col("p") * 4e5), "value", "guess"), [], ["rmse", "mae", "r2", "directional_accuracy"], f"select sqrt(avg(pow(value - p * 4e5, 2))) as rmse, avg(abs(value - p * 4e5)) as mae, 1 - sum(pow(value - p * 4e5, 2)) / (var_pop(value) * count(*)) as r2, avg(cast(sign(value) = sign(p * 4e5) as int)) as directional_accuracy from ({FC})")
 add("m12_interval_diagnostics", lambda s, d: dg.interval_diagnostics(forecasts(s, d).withColumns({"mean": F.col("p"), "variance": F.lit(0.2) + F.col("p") / 10})), [], ["coverage", "width", "mean_miss", "std_miss", "nls"], f"select avg(cast(abs(m) <= 1.959963984540054e0 as int)) as coverage, avg(2 * 1.959963984540054e0 * sqrt(v)) as width, avg(m) as mean_miss, stddev_samp(m) as std_miss, avg(0.5e0 * (ln(2 * pi() * v) + m * m)) as nls from (select (y - p) / sqrt(0.2e0 + p / 10) as m, 0.2e0 + p / 10 as v from ({FC}))")
 QUERIES["m08_block_bootstrap"] = lambda s, d: dg.block_bootstrap(forecasts(s, d), {"s": F.sum("value"), "n": F.count("value")}, lambda t: t["s"] / t["n"], draws=100)

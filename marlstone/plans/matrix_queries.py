@@ -17,6 +17,7 @@ from marlstone.operators import features as fe
 from marlstone.operators import graphs as gr
 from marlstone.operators import models as mo
 from marlstone.operators import recursive as rc
+from marlstone.operators import sequence_net as sn
 from marlstone.operators import spectral as sp
 from marlstone.operators import splits as sl
 from marlstone.plans import panels as P
@@ -172,6 +173,14 @@ def graph(s: SparkSession, d: str) -> DataFrame:
     return gr.edges(gr.window_before(r, marks, 100), threshold=0.02, degree=2)
 
 
+def _partial(s: SparkSession, d: str) -> DataFrame:
+    r = P.with_returns(P.region_day(s, d))
+    days = r.select("date").distinct().withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")))
+    marks = days.where("i % 21 = 0 and i > 100").select(F.col("date").alias("as_of"))
+    return gr.partial_edges(gr.window_before(r, marks, 100), threshold=0.02, degree=2)
+
+
+QUERIES["v12_partial_correlation_graph"] = _partial
 _days = f"(select date, row_number() over (order by date) as i from (select distinct date from ({P.REGION_SQL})))"
 _near = f"(select d.date, m.as_of from {_days} d join (select date as as_of, i as at from {_days} where i % 200 = 0) m on d.i < m.at and d.i >= m.at - 100)"
 _win = f"(select n.as_of, r.* from ({P.returns_sql(P.REGION_SQL)}) r join {_near} n on r.date = n.date)"
@@ -220,6 +229,15 @@ def _isotonic(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["v03_isotonic_importances"] = _isotonic
+_SEQUENCE = ["f_ret_1d", "f_vol_21", "f_mom_21", "f_rsi_14", "f_zscore_21", "f_relative_volume"]
+
+
+def _sequence_net(s: SparkSession, d: str) -> DataFrame:
+    rows = sn.with_sequences(matrix(s, d).select(*K, *_SEQUENCE, "target_direction"), _SEQUENCE, 16)
+    return sn.walk_forward(sl.walk_forward(rows, 2, 252, 2, 252), _SEQUENCE, "target_direction")[0].select(*K, "fold", "score", "target_direction")
+
+
+QUERIES["v07_sequence_net"] = _sequence_net
 DRAWS, WARMUP = 500, 250
 
 

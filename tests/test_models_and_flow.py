@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marlstone import cli, flow
 from marlstone.functions import shared
-from marlstone.operators import contracts, decomposition, features, graphs, models, recursive, spectral
+from marlstone.operators import contracts, decomposition, features, graphs, models, recursive, sequence_net, spectral
 from marlstone.plans import panels
 from marlstone.sources import catalog, store, tensor_store, tracker, vendors
 
@@ -101,6 +101,50 @@ def test_one_label_gives_a_constant(spark):
         models.estimator("tcn", ["f_a"])
 
 
+# the sequence network
+def test_sequence_network_gradient():
+    shape = sequence_net.Shape(3, 9, 4, (1, 2))
+    rng = np.random.default_rng(0)
+    net, x, y = sequence_net.Net(shape), rng.normal(size=(5, 9, 3)), rng.integers(0, 2, 5).astype(float)
+
+    def loss(flat, x):
+        p, _ = sequence_net.Net(shape, flat).forward(x)
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
+
+    p, kept = net.forward(x)
+    g, by_input = net.backward(x, p - y, kept)
+    for i in range(0, len(g), 3):
+        e = np.zeros_like(g)
+        e[i] = 1e-6
+        assert abs((loss(net.flat + e, x) - loss(net.flat - e, x)) / 2e-6 - g[i]) < 1e-5
+    for n, t, k in ((0, 8, 0), (3, 5, 2), (4, 6, 1)):
+        e = np.zeros_like(x)
+        e[n, t, k] = 1e-6
+        assert abs((loss(net.flat, x + e) - loss(net.flat, x - e)) / 2e-6 - by_input[n, t, k]) < 1e-5
+    later = x.copy()
+    later[:, -1] += 1
+    assert np.allclose(net.forward(x)[1][0][0][:, :-1], net.forward(later)[1][0][0][:, :-1])  # causal
+
+
+def test_sequence_network_learns_and_ignores_partitions(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for t in "AB":
+        x = rng.normal(size=(700, 2))
+        y = (x[:, 0] + np.r_[0, 0, x[:-2, 0]] > 0).astype(float)  # this bar's and the one two before
+        rows += [(date(2015, 1, 1) + pd.Timedelta(days=i), t, float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))]
+    d = sequence_net.with_sequences(spark.createDataFrame(rows, "date date, ticker string, f_a double, f_b double, y double"), ["f_a", "f_b"], 8)
+    assert d.count() == 2 * 693
+    shape = sequence_net.Shape(2, 8, 8, (1, 2), rate=0.02, batch=64, rounds=6, part_rows=400)
+    net = sequence_net.fit(d.where("date < date'2016-06-01'"), ["f_a", "f_b"], "y", shape)
+    got = net.score(d.where("date >= date'2016-06-01'")).toPandas()
+    assert ((got.score >= 0.5) == (got.y == 1)).mean() > 0.85 and "sequence" not in got
+    share = {r["feature"]: r["importance"] for r in net.importances(d).collect()}
+    assert share["f_a"] > 0.7 and abs(sum(share.values()) - 1) < 1e-9
+    again = sequence_net.fit(d.where("date < date'2016-06-01'").repartition(5), ["f_a", "f_b"], "y", shape)
+    assert np.allclose(again.flat, net.flat) and again.rounds == net.rounds
+
+
 # the whole run
 def test_flow_from_panel_to_report(spark, panel, tmp_path):
     s = flow.settings({"name": "t", "signal": "model", "benchmark": "SPY", "model": {"kinds": ["logistic"], "folds": 2, "test": 60, "least": 100}, "policy": {"quantile": 0.5}, "costs": [0, 10]})
@@ -234,6 +278,11 @@ def test_dynamic_regression_equals_ridge_when_still():
 def test_partial_correlations_and_messages(spark):
     c = np.array([[1, 0.5, 0.25], [0.5, 1, 0.5], [0.25, 0.5, 1.0]])
     got = {(r["src"], r["dst"]): r["corr"] for r in graphs.partial_correlations(spark, ["a", "b", "c"], c, 0.0).collect()}
+    x = np.random.default_rng(5).multivariate_normal(np.zeros(3), c, 4000)
+    days = [date(2000, 1, 1) + pd.Timedelta(days=i) for i in range(4000)]
+    w = spark.createDataFrame([(date(2020, 1, 1), t, n, float(v)) for t, r in zip(days, x, strict=True) for n, v in zip("abc", r, strict=True)], "as_of date, date date, ticker string, ret double")
+    e = {(r["src"], r["dst"]): r["weight"] for r in graphs.partial_edges(w, threshold=0.1).collect()}
+    assert set(e) == {("a", "b"), ("b", "a"), ("b", "c"), ("c", "b")} and e["a", "b"] == 1 and abs(e["b", "a"] - 0.5) < 0.05
     assert abs(got["a", "c"]) < 1e-9 and got["a", "b"] == pytest.approx(got["b", "a"]) and got["a", "b"] > 0.4
 
 
