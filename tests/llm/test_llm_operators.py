@@ -15,6 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import brute
 from marlstone.llm import classifier, html_text, html_training, lines, mixing, packing, pseudo_lm, quality, queries, simhash, tokens, topk, unigram
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -113,20 +114,6 @@ def test_near_duplicates_awkward(awkward):
     assert simhash.near_duplicates(awkward.limit(0)).count() == 0
 
 
-def brute_components(rows):
-    """Component by fingerprint: every pair is compared."""
-    fps = sorted({simhash.fingerprint(t) for _, t in rows})
-    x = np.array(fps, np.uint64)
-    a, b = np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= 2)
-    root = dict(zip(fps, simhash._union(np.arange(len(fps)), a, b).tolist(), strict=True))
-    least = {}
-    for i, t in rows:
-        if i is not None:
-            r = root[simhash.fingerprint(t)]
-            least[r] = min(i, least.get(r, i))
-    return [(i, f"{simhash.fingerprint(t):016x}", least.get(root[simhash.fingerprint(t)])) for i, t in rows]
-
-
 @pytest.mark.parametrize("small", [200_000, 0])
 def test_near_duplicates_agree_with_brute_force(docs, small):
     rng = np.random.default_rng(11)
@@ -145,11 +132,11 @@ def test_near_duplicates_agree_with_brute_force(docs, small):
     got = simhash.near_duplicates(docs([(i, t, "s") for i, t in rows]), small=small)
     key = lambda r: tuple((x is None, x or 0) if not isinstance(x, str) else (False, x) for x in r)
     got = sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got.collect()), key=key)
-    want = sorted(brute_components(rows), key=key)
+    want = sorted(brute.components(rows), key=key)
     assert got == want
     # some links run only through rows without an id
     with_id = [(i, t) for i, t in rows if i is not None]
-    alone = {i: c for i, _, c in brute_components(with_id)}
+    alone = {i: c for i, _, c in brute.components(with_id)}
     assert any(alone[i] != c for i, _, c in want if i is not None)
 
 
@@ -292,41 +279,6 @@ def test_lines_that_differ_by_a_word_meet(docs):
     assert got.loc[100, "n_dropped"] == 0 and got.loc[101, "text"] == "second" and got.loc[102, "n_dropped"] == 0
 
 
-def brute_lines(rows, tree=lines.Tree()):
-    """Lines dropped, by comparing every line with every other: id -> kept lines. No variable words, no short lines."""
-    every = [(i, p, tuple(x.split())) for i, t in rows for p, x in enumerate(t.split("\n"))]
-    kinds = sorted({w for _, _, w in every})
-    parent = {w: w for w in kinds}
-
-    def root(w):
-        while parent[w] != w:
-            w = parent[w]
-        return w
-
-    def places(w):
-        return [w[i * len(w) // 9 : (i + 1) * len(w) // 9] for i in range(9)]
-
-    differ = {}
-    for a, b in itertools.combinations(kinds, 2):
-        if len(a) == len(b) and a[0] == b[0]:
-            apart = {i for i, (x, y) in enumerate(zip(places(a), places(b), strict=True)) if x != y}
-            if len(apart) <= min(len(a) // tree.alike, tree.fields):
-                parent[root(a)] = root(b)
-                differ[a, b] = apart
-    fields = collections.defaultdict(set)
-    for (a, _), d in differ.items():
-        fields[root(a)] |= d
-    groups = collections.defaultdict(set)
-    for i, _, w in every:
-        groups[root(w)].add(i)
-    gone = set()
-    for r, ids in groups.items():
-        fixed = len(r) - len(fields[r]) * -(-len(r) // 9)
-        if fixed >= tree.long_words and len(ids) >= tree.long_docs or len(ids) >= tree.short_docs:
-            gone |= {(i, p) for i, p, w in every if root(w) == r and i != min(ids)}
-    return {i: "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone) for i, t in rows}
-
-
 @pytest.mark.parametrize("small", [200_000, 0])
 def test_template_tree_agrees_with_brute_force(docs, small):
     rng = np.random.default_rng(8)
@@ -341,7 +293,7 @@ def test_template_tree_agrees_with_brute_force(docs, small):
 
     rows = [(i, "\n".join(variant() for _ in range(rng.integers(1, 7)))) for i in range(70)]
     got = {r["doc_id"]: r["text"] for r in lines.drop_recurring_lines(docs([(i, t, "s") for i, t in rows]), small=small).collect()}
-    assert got == brute_lines(rows) and sum(got[i] != t for i, t in rows) > 20
+    assert got == brute.lines(rows) and sum(got[i] != t for i, t in rows) > 20
 
 
 def test_columns_of_any_name_survive(spark):
@@ -411,13 +363,6 @@ def test_classifier_awkward(spark, awkward):
 
 
 # op7
-def brute_seats(votes, seats):
-    got = [0] * len(votes)
-    for _ in range(seats if any(votes) else 0):
-        got[max(range(len(votes)), key=lambda i: (votes[i] / (2 * got[i] + 1), -i))] += 1
-    return got
-
-
 @pytest.mark.parametrize("small", [200_000, 0])
 def test_seats_go_to_the_highest_quotients(spark, small):
     rng = np.random.default_rng(2)
@@ -426,22 +371,7 @@ def test_seats_go_to_the_highest_quotients(spark, small):
     groups = spark.createDataFrame([(g, n) for g, _, n in cases], "group bigint, seats bigint")
     got = {(r["group"], r["key"]): r["seats"] for r in mixing.apportion(table, groups, small).collect()}
     for g, votes, n in cases:
-        assert [got[g, k] for k in range(len(votes))] == brute_seats(votes, n), (votes, n)
-
-
-def brute_targets(sizes, weights, total=1.5, epochs=2):
-    out, open_ = [0.0] * len(sizes), {i for i, n in enumerate(sizes) if n}
-    left = total * sum(sizes)
-    while open_:
-        share = {i: left * weights[i] / sum(weights[j] for j in open_) for i in open_}
-        over = {i for i in open_ if share[i] > epochs * sizes[i]}
-        for i in over or open_:
-            out[i] = epochs * sizes[i] if i in over else share[i]
-        if not over:
-            break
-        left -= sum(epochs * sizes[i] for i in over)
-        open_ -= over
-    return out
+        assert [got[g, k] for k in range(len(votes))] == brute.seats(votes, n), (votes, n)
 
 
 @pytest.mark.parametrize("sizes", [[100, 10, 1, 50, 0], [5], [0, 0], [1000, 1, 1, 1, 1], [7] * 9, [1, 2, 4, 8, 16, 32, 64, 128]])
@@ -449,7 +379,7 @@ def test_targets_stop_at_the_cap(spark, sizes):
     weights = [[5.0, 2.0, 1.0][i % 3] for i in range(len(sizes))]
     table = spark.createDataFrame([(i, n, w) for i, (n, w) in enumerate(zip(sizes, weights, strict=True))], "i int, size bigint, weight double")
     got = [r["target"] for r in sorted(mixing.targets(table).collect())]
-    assert np.allclose(got, brute_targets(sizes, weights))
+    assert np.allclose(got, brute.targets(sizes, weights))
 
 
 def test_mix_reaches_targets_and_reruns_agree(docs):
@@ -469,35 +399,11 @@ def test_mix_is_what_a_plain_loop_takes(spark, docs):
     rows = [(i if i % 23 else None, "w " * int(rng.integers(0, 40)), f"s{i % 3}" if i % 10 else None) for i in range(400)] + [(7, "a b", "s0"), (7, "a b", "s0")]
     got = mixing.mix(docs(rows), shard_rows=60, shard_blocks=10, small=0, carry=True).toPandas()
     assert len(got) == len(rows) and got.row.map(lambda r: r["score"]).eq("x").all()
-    source = got.row.map(lambda r: r["source"] or "~")
-    sizes = got.groupby(source)["size"].sum()
-    assert np.allclose(got.groupby(source).target.first(), brute_targets(sizes.tolist(), [5, 2, 1, 5]))
-    goal = got.groupby(source).target.first()
-    block = max(1, int(min(sum(goal) / sum(-(-n // 60) for n in source.value_counts()), min(goal)) / 10))
-    draw = {(r["doc_id"], r["text"]): (r["d"], r["h"]) for r in docs(rows).selectExpr("doc_id", "text", "xxhash64(7, doc_id, text) as d", "hash(xxhash64(7, doc_id, text)) as h").collect()}
-    shards, taken = collections.defaultdict(list), {}
+    want = brute.mix(spark, [(i, t, x) for i, t, x in rows], 60, 10)
+    seen = collections.defaultdict(list)
     for r in got.itertuples():
-        d, h = draw[r.row["doc_id"], r.row["text"]]
-        place = sorted(sizes.index).index(r.row["source"] or "~")
-        shards[place, h % -(-int((source == (r.row["source"] or "~")).sum()) // 60)].append((d, -1 if pd.isna(r.doc_id) else int(r.doc_id), r.size, r.Index))
-    votes = [float(got.target[source == k].iloc[0]) for k in sorted(sizes.index)]
-    seats = brute_seats(votes, round(sum(votes) / block))
-    for place in range(len(votes)):
-        own = sorted(k for k in shards if k[0] == place)
-        for k, n in zip(own, brute_seats([sum(x[2] for x in shards[k]) for k in own], seats[place]), strict=True):
-            start, blocks = 0, collections.defaultdict(list)
-            for x in sorted(shards[k]):
-                blocks[start // block].append(x)
-                start += x[2]
-            order = {b: spark.sql(f"select xxhash64(7, {place}L, {k[1]}L, {b}L) as x").first()["x"] for b in blocks}
-            left, everything = n * block, [x for b in sorted(blocks, key=order.get) for x in blocks[b]]
-            for _ in range(2):
-                for x in everything:
-                    part = min(x[2], left)
-                    taken[x[3]] = taken.get(x[3], 0) + part
-                    left -= part
-    same = [(taken[r.Index], r.taken) for r in got.itertuples() if (r.row["doc_id"], r.row["text"]) != (7, "a b")]
-    assert all(a == b for a, b in same)
+        seen[r.row["doc_id"], r.row["text"]].append(r.taken)
+    assert {k: sorted(v) for k, v in seen.items()} == {k: sorted(v) for k, v in want.items()}
 
 
 def test_mix_awkward(awkward):
