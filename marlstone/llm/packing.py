@@ -25,7 +25,7 @@ CAPACITY, END, GRID = 1024, 0, 4
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
-def _cutter(capacity: int, vocabulary: str, end: int):
+def _cutter(capacity: int, vocabulary: str, end: int, carry: bool):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
@@ -34,8 +34,9 @@ def _cutter(capacity: int, vocabulary: str, end: int):
                 raw = ids.tobytes()
                 for at in range(0, len(ids), capacity):
                     size = min(capacity, len(ids) - at)
-                    out.append((doc, at, size, zlib.crc32(raw[4 * at : 4 * (at + size)]), len(ids)))
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
+                    own = raw[4 * at : 4 * (at + size)]
+                    out.append((doc, at, size, zlib.crc32(own), len(ids), *([own] if carry else [])))
+            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if carry else [])]).astype({"doc_id": "Int64"})
 
     return cut
 
@@ -150,8 +151,9 @@ def _slots(chosen: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, int, in
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end: int = END, grid: int = GRID) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end: int = END, grid: int = GRID, ids: bool = False) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with ``ids`` the piece's
+    ids too (little-endian unsigned 32-bit), which ``sequences`` puts together.
 
     A null or empty text is the end id alone. Repeated rows are packed each for itself; pieces that tie in all that
     is read are interchangeable. Rows without an id are packed with a null one. Texts of any length are read whole.
@@ -161,7 +163,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cut = written(rows.mapInPandas(_cutter(capacity, vocabulary, end), PIECES), "pieces")
+    cut = written(rows.mapInPandas(_cutter(capacity, vocabulary, end, ids), PIECES + (", ids binary" if ids else "")), "pieces")
     cut = cut.withColumn("class", F.ceil(F.col("length") / grid).cast("int"))
     whole = capacity // grid
     histogram = {r["class"]: r["count"] for r in cut.groupBy("class").count().collect()}  # at most capacity / grid rows
@@ -180,9 +182,21 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     placed = ranked.join(table, "class").where("rank >= low and rank < high")
     nth = F.col("rank") - F.col("low")
     placed = placed.select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens",
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if ids else []),
         (F.col("sequence") + F.floor(nth / F.col("copies"))).cast("bigint").alias("sequence_id"),
         (F.col("at") + F.pmod(nth, F.col("copies")) * F.col("class")).alias("slot"),
     )
     before = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("slot")
+
+
+def sequences(pieces: DataFrame, capacity: int = CAPACITY, pad: int = END) -> DataFrame:
+    """One row per sequence of ``pack(..., ids=True)``: sequence_id, n_pieces, n_ids, ids (padded to ``capacity``).
+
+    A sequence has at most ``capacity`` pieces, so none outgrows a task.
+    """
+    held = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    whole = F.aggregate("held", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
+    d = pieces.groupBy("sequence_id").agg(F.count("*").alias("n_pieces"), F.sum("length").alias("n_ids"), held.alias("held"))
+    fill = F.repeat(F.hex(F.lit(int(pad).to_bytes(4, "little"))), (F.lit(capacity) - F.col("n_ids")).cast("int"))
+    return d.select("sequence_id", "n_pieces", "n_ids", F.concat(whole, F.unhex(fill)).alias("ids"))

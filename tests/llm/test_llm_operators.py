@@ -251,6 +251,20 @@ def test_packing_round_trip(docs):
     assert got.sequence_id.nunique() * 1024 < 1.1 * got.length.sum() + 1024
 
 
+def test_sequences_hold_the_texts(docs):
+    texts = {i: t for i, t in enumerate(["lorem ipsum " * k for k in (1, 9, 80, 900)] * 3 + ["é日 x", ""])}
+    pieces = packing.pack(docs([(i, t, "s") for i, t in texts.items()]), ids=True)
+    rows = {r["sequence_id"]: np.frombuffer(r["ids"], "<u4") for r in packing.sequences(pieces, pad=7).collect()}
+    assert all(len(x) == 1024 for x in rows.values())
+    parts = collections.defaultdict(list)
+    for r in pieces.collect():
+        assert bytes(r["ids"]) == rows[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]].tobytes() and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        parts[r["doc_id"]].append((r["start"], bytes(r["ids"])))
+    for i, t in texts.items():
+        assert b"".join(x for _, x in sorted(parts[i])) == np.append(tokens.token_ids(t), 0).astype("<u4").tobytes()
+    assert sum((x[n:] == 7).all() for x, n in ((rows[r["sequence_id"]], r["n_ids"]) for r in packing.sequences(pieces, pad=7).collect())) == len(rows)
+
+
 def test_packing_awkward(awkward):
     assert packing.pack(awkward).where("doc_id = 4").count() == 2
     assert packing.pack(awkward.limit(0)).count() == 0
@@ -359,7 +373,13 @@ def test_scores_are_the_log_density_ratio(spark, docs):
 
 def test_classifier_awkward(spark, awkward):
     labels = spark.createDataFrame([(4, 1)], "doc_id bigint, quality int")
-    assert len(classifier.classify(awkward, labels).toPandas()) == 9
+    got = classifier.classify(awkward, labels).toPandas()  # document 4 is held out: nothing to learn from
+    assert len(got) == 9 and (got.score == 0.5).all() and got.doc_id.isna().sum() == 1 and not got[got.doc_id.isna()].held_out.any()
+    assert (classifier.classify(awkward, spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")).toPandas().score == 1.0).all()  # the share of ones
+    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (4, 1), (5, 1), (6, 1), (None, 1), (4, None)], "doc_id bigint, quality int")
+    got = classifier.classify(awkward, labels).toPandas()
+    assert got.score.between(0, 1).all() and got[got.doc_id == 4].score.nunique() == 1 and got[got.doc_id.isin([1, 2])].score.nunique() == 1
+    assert classifier.classify(awkward.limit(0), labels).count() == 0
 
 
 # op7
