@@ -59,10 +59,6 @@ def _full_zscore(t: Trail, n: int) -> Column:
     return ratio(F.col("close") - t.mean(F.col("close"), n), t.std(F.col("close"), n))
 
 
-def _beta(t: Trail, n: int) -> Column:
-    return ratio(t.covariance(F.col("ret"), F.col("market"), n), t.over(F.var_samp, F.col("market"), n))
-
-
 def _all() -> list[Contract]:
     c, close, bar, hl = Contract, ("close",), ("open", "high", "low", "close"), ("high", "low")
     out = [c(f"ret_{k}d", "return", close, k, lambda t, k=k: te.simple_return(t, F.col("close"), k)) for k in (1, 5, 21)]
@@ -82,16 +78,16 @@ def _all() -> list[Contract]:
         c("garman_klass_vol_21", "volatility", bar, 21, lambda t: st.garman_klass_volatility(t, F.col("open"), F.col("high"), F.col("low"), F.col("close")), low=0),
         c("rogers_satchell_vol_21", "volatility", bar, 21, lambda t: st.rogers_satchell_volatility(t, F.col("open"), F.col("high"), F.col("low"), F.col("close")), low=0),
         c("ewma_vol_21", "volatility", close, 21, series=lambda p: rc.ewma_volatility(p["ret"].to_numpy(float), 21), low=0),
-        c("skew_63", "moment", close, 63, lambda t: st.rolling_skewness(t, F.col("ret"))),
-        c("kurt_63", "moment", close, 63, lambda t: st.rolling_kurtosis(t, F.col("ret"))),
+        c("skew_63", "moment", close, 63, series=lambda p: rc.rolling_skewness(p["ret"].to_numpy(float))),
+        c("kurt_63", "moment", close, 63, series=lambda p: rc.rolling_kurtosis(p["ret"].to_numpy(float))),
         c("downside_dev_63", "moment", close, 63, lambda t: st.downside_deviation(t, F.col("ret")), low=0),
         c("mad_63", "moment", close, 63, series=lambda p: rc.median_absolute_deviation(p["ret"].to_numpy(float)), low=0),
-        c("autocorr_1_63", "dependence", close, 63, lambda t: st.autocorrelation(t, F.col("ret")), low=-1, high=1),
-        c("pacf_2_63", "dependence", close, 63, lambda t: st.partial_autocorrelation_2(t, F.col("ret")), low=-1, high=1),
-        c("hurst_128", "dependence", close, 128, lambda t: st.hurst_exponent(t, F.col("close"))),
-        c("var_ratio_5_63", "dependence", close, 63, lambda t: st.variance_ratio(t, F.col("ret")), low=0),
-        c("beta_mkt_63", "market", close, 63, lambda t: _beta(t, 63)),
-        c("corr_mkt_63", "market", close, 63, lambda t: t.correlation(F.col("ret"), F.col("market"), 63), low=-1, high=1),
+        c("autocorr_1_63", "dependence", close, 63, series=lambda p: rc.autocorrelation(p["ret"].to_numpy(float)), low=-1, high=1),
+        c("pacf_2_63", "dependence", close, 63, series=lambda p: rc.partial_autocorrelation_2(p["ret"].to_numpy(float)), low=-1, high=1),
+        c("hurst_128", "dependence", close, 128, series=lambda p: rc.hurst_exponent(p["close"].to_numpy(float))),
+        c("var_ratio_5_63", "dependence", close, 63, series=lambda p: rc.variance_ratio(p["ret"].to_numpy(float)), low=0),
+        c("beta_mkt_63", "market", close, 63, series=lambda p: rc.rolling_beta(p["ret"].to_numpy(float), p["market"].to_numpy(float))),
+        c("corr_mkt_63", "market", close, 63, series=lambda p: rc.rolling_correlation(p["ret"].to_numpy(float), p["market"].to_numpy(float)), low=-1, high=1),
         c("mutual_info_mkt_63", "market", close, 63, series=lambda p: rc.mutual_information(p["ret"].to_numpy(float), p["market"].to_numpy(float)), low=0),
         c("volume_change_1", "liquidity", ("volume",), 1, lambda t: li.volume_change(t, F.col("volume"))),
         c("dollar_volume_21", "liquidity", ("close", "volume"), 21, lambda t: li.log_dollar_volume(t, F.col("close"), F.col("volume"))),

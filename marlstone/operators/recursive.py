@@ -175,6 +175,83 @@ def mutual_information(a: np.ndarray, b: np.ndarray, n: int = 63, bins: int = 8)
     return _windows(a, n, of, b)
 
 
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b, missing where b is zero."""
+    return np.divide(a, b, out=np.full(np.broadcast(a, b).shape, np.nan), where=b != 0)
+
+
+def rolling_skewness(x: np.ndarray, n: int = 63) -> np.ndarray:
+    """Bias-adjusted."""
+
+    def of(w: np.ndarray) -> np.ndarray:
+        d = w - w.mean(1, keepdims=True)
+        return _quotient((d**3).mean(1), (d**2).mean(1) ** 1.5) * (math.sqrt(n * (n - 1)) / (n - 2))
+
+    return _windows(x, n, of)
+
+
+def rolling_kurtosis(x: np.ndarray, n: int = 63) -> np.ndarray:
+    """Bias-adjusted excess."""
+
+    def of(w: np.ndarray) -> np.ndarray:
+        d = w - w.mean(1, keepdims=True)
+        return ((n + 1) * (_quotient((d**4).mean(1), (d**2).mean(1) ** 2) - 3) + 6) * ((n - 1) / ((n - 2) * (n - 3)))
+
+    return _windows(x, n, of)
+
+
+def rolling_correlation(a: np.ndarray, b: np.ndarray, n: int = 63) -> np.ndarray:
+    def of(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        v, w = v - v.mean(1, keepdims=True), w - w.mean(1, keepdims=True)
+        return np.clip(_quotient((v * w).sum(1), np.sqrt((v * v).sum(1)) * np.sqrt((w * w).sum(1))), -1, 1)
+
+    return _windows(a, n, of, b)
+
+
+def rolling_beta(asset: np.ndarray, market: np.ndarray, n: int = 63) -> np.ndarray:
+    def of(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        v, w = v - v.mean(1, keepdims=True), w - w.mean(1, keepdims=True)
+        return _quotient((v * w).sum(1), (w * w).sum(1))
+
+    return _windows(asset, n, of, market)
+
+
+def autocorrelation(x: np.ndarray, n: int = 63, k: int = 1) -> np.ndarray:
+    x = np.asarray(x, float)
+    return rolling_correlation(x, np.r_[np.full(min(k, len(x)), np.nan), x[:-k]], n)
+
+
+def partial_autocorrelation_2(x: np.ndarray, n: int = 63) -> np.ndarray:
+    one, two = autocorrelation(x, n, 1), autocorrelation(x, n, 2)
+    return np.clip(_quotient(two - one * one, 1 - one * one), -1, 1)
+
+
+def hurst_exponent(price: np.ndarray, n: int = 128, lags: tuple[int, ...] = (2, 4, 8, 16, 32)) -> np.ndarray:
+    """Slope of the log spread of differences on the log lag; lags without spread are left out."""
+    price = np.asarray(price, float)
+
+    def of(w: np.ndarray) -> np.ndarray:
+        spread = np.stack([(w[:, k:] - w[:, :-k]).std(1) for k in lags], 1)
+        used = spread > 0
+        y, x = np.log(np.where(used, spread, 1.0)), np.log(lags) * used
+        m, sx, sy, sxx, sxy = used.sum(1), x.sum(1), y.sum(1), (x * x).sum(1), (x * y).sum(1)
+        return np.where(m >= 2, _quotient(m * sxy - sx * sy, m * sxx - sx * sx), np.nan)
+
+    return _windows(np.log(np.where(price > 0, price, np.nan)), n, of)
+
+
+def variance_ratio(x: np.ndarray, n: int = 63, q: int = 5) -> np.ndarray:
+    """Overlapping variance ratio with its unbiased scale."""
+    m = n - q + 1
+
+    def of(w: np.ndarray) -> np.ndarray:
+        mean = w.mean(1, keepdims=True)
+        sums = np.lib.stride_tricks.sliding_window_view(w, q, axis=1).sum(2)
+        return _quotient(((sums - q * mean) ** 2).sum(1) / (q * m * (1 - q / n)), w.var(1, ddof=1))
+
+    return _windows(x, n, of)
+
+
 def rolling_max_drawdown(price: np.ndarray, n: int = 252) -> np.ndarray:
     """Worst fall from a peak within the window; null with fewer than half its rows or a missing price in it."""
 
