@@ -83,8 +83,14 @@ add("p01_coercion", _coerced, ["date", "ticker", "n"], ["close"], f"select cast(
 add("p02_clip_dates", lambda s, d: va.clip_dates(P.region_day(s, d), "1996-01-01", "1996-03-31"), ["date", "ticker"], ["close"], f"select * from ({P.REGION_SQL}) where close is not null and date between date '1996-01-01' and date '1996-03-31'")
 add("p03_validation_report", lambda s, d: va.panel_report(P.region_day(s, d)), ["ticker", "n_rows", "repeated_keys", "non_positive", "high_below_low", "negative_volume", "missing", "few_rows", "ok"], [], f"select ticker, count(*) as n_rows, count(*) filter (k > 1) as repeated_keys, count(*) filter (least(open, high, low, close) <= 0) as non_positive, count(*) filter (high < low) as high_below_low, count(*) filter (volume < 0) as negative_volume, 0 as missing, count(*) < 100 as few_rows, count(*) filter (k > 1) = 0 and count(*) filter (least(open, high, low, close) <= 0) = 0 and count(*) filter (high < low) = 0 as ok from (select *, count(*) over (partition by date, ticker) as k from ({P.REGION_SQL})) group by ticker")
 add("p04_lookahead", lambda s, d: va.lookahead(P.with_returns(P.region_day(s, d)), "ret", "lret"), ["identical", "leaks"], ["correlation"], f"select bool_and(ret is not distinct from lret) as identical, corr(ret, lret) as correlation, bool_and(ret is not distinct from lret) or abs(corr(ret, lret)) > 0.999 as leaks from ({P.returns_sql(P.REGION_SQL)})")
-_holes = F.when(F.col("volume") % 7 == 0, float("nan")).when(F.col("volume") % 7 == 1, float("-inf")).otherwise(F.col("ret"))
-add("p08_scrub_dropna", lambda s, d: scrub(P.with_returns(P.region_day(s, d)).withColumn("ret", _holes), ["ret", "lret"]).dropna(subset=["ret", "lret"]), ["date", "ticker"], ["ret"], f"select * from ({P.returns_sql(P.REGION_SQL)}) where ret is not null and lret is not null and volume % 7 not in (0, 1)")
+
+
+def _holes(s: SparkSession, d: str) -> DataFrame:
+    hole = F.when(F.col("volume") % 7 == 0, float("nan")).when(F.col("volume") % 7 == 1, float("-inf"))
+    return P.with_returns(P.region_day(s, d)).withColumn("ret", hole.otherwise(F.col("ret")))
+
+
+add("p08_scrub_dropna", lambda s, d: scrub(_holes(s, d), ["ret", "lret"]).dropna(subset=["ret", "lret"]), ["date", "ticker"], ["ret"], f"select * from ({P.returns_sql(P.REGION_SQL)}) where ret is not null and lret is not null and volume % 7 not in (0, 1)")
 
 
 # versioned records: each event is a revision of its user's record
