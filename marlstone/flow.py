@@ -18,7 +18,7 @@ from marlstone.operators import models as mo
 from marlstone.operators import risk
 from marlstone.operators import splits as sl
 from marlstone.plans import panels
-from marlstone.report import report
+from marlstone.report import figure, report
 from marlstone.sources import tracker
 
 
@@ -79,7 +79,8 @@ class Result:
     importances: DataFrame | None
 
     def report(self, title: str) -> str:
-        parts = [("Performance", self.summary), ("Costs", self.costs), ("Break-even", bt.break_even_bps(self.days))]
+        parts = [("Performance", self.summary), ("Equity", figure(self.days, "date", ["equity"], "Equity")), ("Drawdown", figure(self.days, "date", ["drawdown"], "Drawdown"))]
+        parts += [("Costs", self.costs), ("Break-even", bt.break_even_bps(self.days))]
         return report(title, parts + ([("Importances", self.importances.groupBy("feature").agg(F.avg("importance").alias("importance")).orderBy(F.desc("importance")))] if self.importances is not None else []))
 
 

@@ -30,7 +30,7 @@ class Shape:
     rate: float = 3e-3
     decay: float = 1e-3
     batch: int = 256
-    rounds: int = 12
+    rounds: int = 8
     patience: int = 3
     part_rows: int = 50_000
     seed: int = 5

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone import cli, flow
+from marlstone import cli, flow, report
 from marlstone.functions import shared
 from marlstone.operators import contracts, decomposition, features, graphs, models, recursive, sequence_net, spectral
 from marlstone.plans import panels
@@ -152,6 +152,8 @@ def test_flow_from_panel_to_report(spark, panel, tmp_path):
     days = r.days.toPandas()
     assert 100 <= len(days) <= 120 and np.allclose(days.net, days.gross - days.turnover * 5e-4)
     text = r.report("t")
+    page = report.to_html(text)
+    assert page.count("<svg") == 2 and "<th>sharpe</th>" in page and "<h2>Costs</h2>" in page and "|" not in page.split("<table>")[1].split("</table>")[0]
     assert "## Performance" in text and "## Importances" in text and r.costs.count() == 2
     assert tracker.JsonTracker(spark, str(tmp_path / "runs")).runs().first()["name"] == "t"
     held = r.held.groupBy("date").agg(F.sum("weight").alias("w"), F.sum(F.abs("weight")).alias("g")).toPandas()
@@ -164,6 +166,16 @@ def test_flow_from_panel_to_report(spark, panel, tmp_path):
         flow.scores(panel, flow.settings({"signal": "x"}))
 
 
+def test_figures_and_cells(spark):
+    d = spark.createDataFrame([(1, 2.0), (2, None), (3, 4.0), (4, 5.0)], "x int, y double")
+    svg = report.figure(d, "x", ["y"], "a <b>")
+    assert svg.count("M") == 2 and svg.count("L") == 1 and "a &lt;b&gt;" in svg
+    with pytest.raises(ValueError, match="more than 3"):
+        report.figure(d, "x", ["y"], most=3)
+    t = spark.createDataFrame([("a|b", 1.5)], "name string, v double")
+    assert "<td>a|b</td><td>1.5</td>" in report.to_html(report.report("T", [("S", t), ("Text", "some <words>")])) and report.figure(d.limit(0), "x", ["y"]).startswith("<svg")
+
+
 def test_commands_parse():
     p = cli.parser()
     assert p.parse_args(["run-full-pipeline", "a"]).panel == "a" and p.parse_args(["train-model", "a", "b"]).out == "b"
