@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,13 +39,51 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Folders written inside the innermost ``scope``.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+#: Those of the scope around it.
+_outer: ContextVar[list[str] | None] = ContextVar("outer", default=None)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read it back, so a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    if (paths := _written.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that ``written`` makes inside are removed at the end, but for those taken out of the list yielded.
+
+    What leaves the scope must be written itself: it may not read tables that are removed.
+    """
+    paths: list[str] = []
+    tokens = _outer.set(_written.get()), _written.set(paths)
+    try:
+        yield paths
+    finally:
+        _outer.reset(tokens[0])
+        _written.reset(tokens[1])
+        remove(spark, paths)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders from whatever store they are in."""
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def result(df: DataFrame, label: str, paths: list[str]) -> DataFrame:
+    """``written`` inside a scope, and taken out of its list: the scope's result stays (in the outer scope, if any)."""
+    out = written(df, label)
+    _outer.get().append(paths.pop()) if _outer.get() is not None else paths.pop()
+    return out
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` does not have."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -125,11 +166,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Returns ``(u, v)``: each node but the smallest of its component, with that smallest node.
     Each round is written to the shared folder; only two numbers a round reach the driver.
     """
-    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    now, seen = written(now, "links"), None
-    for _ in range(rounds):
-        mark = tuple(now.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
-        if mark == seen or not mark[0]:
-            return now
-        seen, now = mark, written(_star(_star(now, True), False), "stars")
+    with scope(edges.sparkSession) as paths:
+        now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+        now, seen = written(now, "links"), None
+        for _ in range(rounds):
+            mark = tuple(now.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+            if mark == seen or not mark[0]:
+                return result(now, "components", paths)
+            seen, now = mark, written(_star(_star(now, True), False), "stars")
+            remove(edges.sparkSession, [paths.pop(-2)])
     raise RuntimeError(f"components did not settle in {rounds} rounds")

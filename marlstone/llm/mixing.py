@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import looked_up, numbered, words, written
+from marlstone.llm.common import looked_up, numbered, result, scope, words, written
 
 WEIGHTS, TOTAL, EPOCHS = (5, 2, 1), 1.5, 2
 
@@ -54,6 +54,11 @@ def apportion(table: DataFrame, groups: DataFrame, small: int) -> DataFrame:
     With n parties every one is sure of the seats it has by rounding at n / 2 fewer seats than there are, and has no
     more than by rounding at n / 2 more; only the quotients between, at most two a party on average, are ranked.
     """
+    with scope(table.sparkSession) as paths:
+        return result(_apportioned(table, groups, small), "seats", paths)
+
+
+def _apportioned(table: DataFrame, groups: DataFrame, small: int) -> DataFrame:
     total = table.groupBy("group").agg(F.sum("votes").alias("all"), F.count("*").alias("n"))
     total = written(total.join(groups, "group"), "parties")
     t = looked_up(table, total, "group", "key", small)
@@ -73,7 +78,7 @@ def apportion(table: DataFrame, groups: DataFrame, small: int) -> DataFrame:
     won = looked_up(ranked, bounds, "group", "key", small).where("rank - first < left")
     won = won.groupBy("group", "key").agg(F.count("*").alias("more"))
     out = t.join(won, ["group", "key"], "left")
-    return written(out.select("group", "key", "votes", (F.col("sure") + F.coalesce("more", F.lit(0))).alias("seats")), "seats")
+    return out.select("group", "key", "votes", (F.col("sure") + F.coalesce("more", F.lit(0))).alias("seats"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, total: float = TOTAL, epochs: int = EPOCHS, seed: int = 7, shard_rows: int = 2_000, shard_blocks: int = 200, small: int = 200_000, carry: bool = False) -> DataFrame:
