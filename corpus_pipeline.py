@@ -90,8 +90,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table ``documents``."""
+    """All stages over the whole table ``documents``. Of a stage only its result stays in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with common.scope(spark) as paths:
+            docs = common.result(stage(spark, docs, sf_dir), name.replace(" ", "-"), paths)
     return STAGES[-1][1](spark, docs, sf_dir)
