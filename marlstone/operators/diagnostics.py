@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marlstone.functions.nulls import ratio
-from marlstone.functions.shared import numbered, running
+from marlstone.functions.shared import MAX_DATES, numbered, running
 
 
 
@@ -221,3 +221,27 @@ def block_bootstrap(df: DataFrame, parts: dict[str, Column], statistic: Callable
     tail = (1 - level) / 2
     point = of(sums) if len(sums) else float("nan")
     return rows.agg(F.lit(point).alias("point"), F.percentile("x", tail).alias("low"), F.percentile("x", 1 - tail).alias("high"), F.count("x").alias("draws"))
+
+
+def series_bootstrap(days: DataFrame, column: str, statistic: Callable[[np.ndarray], float], date: str = "date", block: int = 20, draws: int = 200, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """The same for any statistic of a series with one value a date (as daily returns); draws run as tasks.
+
+    The series is one number a date of a calendar, whose length is checked.
+    """
+    rows = days.where(F.col(column).isNotNull()).select(date, F.col(column).cast("double").alias("x")).orderBy(date).limit(MAX_DATES + 1).toPandas()
+    if len(rows) > MAX_DATES or rows[date].duplicated().any():
+        raise ValueError("needs one row a date of a calendar")
+    x = rows["x"].to_numpy(float)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i in b["id"]:
+                starts = np.random.default_rng([seed, int(i)]).integers(0, len(x), -(-len(x) // block))
+                out.append(float(statistic(x[((starts[:, None] + np.arange(block)) % len(x)).ravel()[: len(x)]])))
+            yield pd.DataFrame({"x": out})
+
+    made = days.sparkSession.range(draws if len(x) else 0).mapInPandas(run, "x double")
+    tail = (1 - level) / 2
+    point = float(statistic(x)) if len(x) else float("nan")
+    return made.agg(F.lit(point).alias("point"), F.percentile("x", tail).alias("low"), F.percentile("x", 1 - tail).alias("high"), F.count("x").alias("draws"))

@@ -350,14 +350,19 @@ def project(w: np.ndarray, cap: float = 0.5, rounds: int = 50) -> np.ndarray:
     return w / w.sum() if w.sum() > 0 else np.full(len(w), 1 / len(w))
 
 
-def policies(mean: np.ndarray, cov: np.ndarray, draws: np.ndarray, aversion: float = 5.0, tail: float = 0.1) -> dict[str, np.ndarray]:
+Policy = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def policies(mean: np.ndarray, cov: np.ndarray, draws: np.ndarray, aversion: float = 5.0, tail: float = 0.1, more: dict[str, Policy] | None = None) -> dict[str, np.ndarray]:
+    """Weights by policy. ``more`` adds policies: each takes mean, covariance and draws; its weights are projected."""
     n, vol = len(mean), np.sqrt(np.maximum(np.diag(cov), 1e-12))
     w = np.full(n, 1 / n)
     worst = max(1, int(tail * len(draws)))
     for _ in range(200):
         at = np.argsort(draws @ w)[:worst]
         w = project(w + 0.05 * (mean + aversion * draws[at].mean(0)))
-    return {"equal": np.full(n, 1 / n), "mean_variance": project(np.linalg.solve(aversion * cov + 1e-8 * np.eye(n), mean)), "inverse_vol": project(1 / vol), "robust_cvar": w}
+    own = {k: project(np.asarray(f(mean, cov, draws), float)) for k, f in (more or {}).items()}
+    return own | {"equal": np.full(n, 1 / n), "mean_variance": project(np.linalg.solve(aversion * cov + 1e-8 * np.eye(n), mean)), "inverse_vol": project(1 / vol), "robust_cvar": w}
 
 
 def evaluate_policies(sc: DataFrame, weights: DataFrame, tail: float = 0.05, cost: float = 0.0, realised: DataFrame | None = None) -> DataFrame:

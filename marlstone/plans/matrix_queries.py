@@ -163,13 +163,13 @@ QUERIES["v06_panel_sequences"] = lambda s, d: sl.sequences(P.region_day(s, d), [
 ORACLES["v06_panel_sequences"] = f"select date, ticker, coalesce(cast(lag(volume, 4) over (partition by ticker order by date) as float), 0)::double as oldest, least(5, row_number() over (partition by ticker order by date))::int as n from ({P.REGION_SQL})"
 
 # graphs
-_MARKS = "select date as as_of from (select date, row_number() over (order by date) as i from (select distinct date from ({0}))) where i % 200 = 0"
+_MARKS = "select date as as_of from (select date, row_number() over (order by date) as i from (select distinct date from ({0}))) where i % 21 = 0"
 
 
 def graph(s: SparkSession, d: str) -> DataFrame:
     r = P.with_returns(P.region_day(s, d))
     days = r.select("date").distinct().withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")))
-    marks = days.where("i % 200 = 0").select(F.col("date").alias("as_of"))
+    marks = days.where("i % 21 = 0").select(F.col("date").alias("as_of"))
     return gr.edges(gr.window_before(r, marks, 100), threshold=0.02, degree=2)
 
 
@@ -182,7 +182,7 @@ def _partial(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES["v12_partial_correlation_graph"] = _partial
 _days = f"(select date, row_number() over (order by date) as i from (select distinct date from ({P.REGION_SQL})))"
-_near = f"(select d.date, m.as_of from {_days} d join (select date as as_of, i as at from {_days} where i % 200 = 0) m on d.i < m.at and d.i >= m.at - 100)"
+_near = f"(select d.date, m.as_of from {_days} d join (select date as as_of, i as at from {_days} where i % 21 = 0) m on d.i < m.at and d.i >= m.at - 100)"
 _win = f"(select n.as_of, r.* from ({P.returns_sql(P.REGION_SQL)}) r join {_near} n on r.date = n.date)"
 _edges = f"select as_of, src, dst, w / nullif(sum(w) over (partition by as_of, src), 0) as weight from (select *, row_number() over (partition by as_of, src order by w desc, dst) as place from (select a.as_of, a.ticker as src, b.ticker as dst, abs(corr(a.ret, b.ret)) as w from {_win} a join {_win} b on a.as_of = b.as_of and a.date = b.date where a.ticker <> b.ticker and a.ret is not null and b.ret is not null group by 1, 2, 3) where w >= 0.02) where place <= 2"
 QUERIES["v12_dynamic_graph"] = lambda s, d: _round(graph(s, d), ["as_of", "src", "dst"], ["weight"])

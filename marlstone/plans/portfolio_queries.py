@@ -103,6 +103,16 @@ def days(s: SparkSession, d: str, p: bt.Policy = EQUAL) -> DataFrame:
     return Book(s, d).days(p)
 
 
+def _interval(s: SparkSession, d: str) -> DataFrame:
+    """A bootstrapped interval of the Sharpe ratio."""
+    from marlstone.operators import diagnostics as dg
+
+    return dg.series_bootstrap(days(s, d), "net", lambda x: x.mean() / max(x.std(ddof=1), 1e-12) * 252**0.5)
+
+
+QUERIES["m08_series_bootstrap"] = _interval
+
+
 def _trades(s: SparkSession, d: str) -> DataFrame:
     b = Book(s, d)
     return bt.trade_summary(b.held(), b.days())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marlstone import cli, flow, report
 from marlstone.functions import shared
-from marlstone.operators import contracts, decomposition, features, graphs, models, recursive, sequence_net, spectral
+from marlstone.operators import contracts, decomposition, diagnostics, features, graphs, models, recursive, sequence_net, spectral
 from marlstone.plans import panels
 from marlstone.sources import catalog, store, tensor_store, tracker, vendors
 
@@ -166,6 +166,17 @@ def test_flow_from_panel_to_report(spark, panel, tmp_path):
         flow.scores(panel, flow.settings({"signal": "x"}))
 
 
+def test_bootstrap_of_any_statistic(spark):
+    x = np.random.default_rng(8).normal(1.0, 0.5, 400)
+    d = spark.createDataFrame([(date(2020, 1, 1) + pd.Timedelta(days=i), float(v)) for i, v in enumerate(x)], "date date, x double")
+    r = diagnostics.series_bootstrap(d, "x", np.median, draws=100).first()
+    assert r["point"] == pytest.approx(np.median(x)) and r["low"] < r["point"] < r["high"] < r["low"] + 0.3 and r["draws"] == 100
+    with pytest.raises(ValueError, match="one row a date"):
+        diagnostics.series_bootstrap(d.union(d), "x", np.mean)
+    w = models.policies(np.array([0.1, 0.0]), np.eye(2), np.random.default_rng(1).normal(size=(50, 2)), more={"first": lambda m, c, s: np.array([1.0, 0.0])})
+    assert set(w) == {"first", "equal", "mean_variance", "inverse_vol", "robust_cvar"} and w["first"][0] == pytest.approx(0.5)
+
+
 def test_figures_and_cells(spark):
     d = spark.createDataFrame([(1, 2.0), (2, None), (3, 4.0), (4, 5.0)], "x int, y double")
     svg = report.figure(d, "x", ["y"], "a <b>")
