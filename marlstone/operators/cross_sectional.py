@@ -10,11 +10,12 @@ from marlstone.functions.trail import Trail
 
 
 def percent_rank_average(x: Column, date: str = "date") -> Column:
-    """Average-tie rank over the number of values; null stays null."""
-    there = x.isNotNull()
-    first = F.rank().over(Window.partitionBy(date, there).orderBy(x))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(date, x))
-    return F.when(there, ratio(first + (ties - 1) / 2, F.count(x).over(Window.partitionBy(date))))
+    """Average-tie rank over the number of values; null stays null. The mean of a value's first place counted from
+    below and its last one, which is its first from above."""
+    w = Window.partitionBy(date)
+    n = F.count(x).over(w)
+    first, above = F.rank().over(w.orderBy(x.asc_nulls_last())), F.rank().over(w.orderBy(x.desc_nulls_last()))
+    return F.when(x.isNotNull(), ratio((first + n + 1 - above) / 2, n))
 
 
 def zscore(x: Column, date: str = "date") -> Column:

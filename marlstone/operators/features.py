@@ -44,9 +44,8 @@ def build_features(panel: DataFrame, horizon: int = 1, drop: bool = True) -> Dat
     made |= {"beta_63": te.rolling_beta(t, r, F.col("market")), "drawdown": te.drawdown(t, c)}
     t.put(**{PREFIX + k: v for k, v in made.items()}, **xs.forward_targets(t, c, horizon))
     d = t.result()
-    for name in SECTION:
-        x = F.col(PREFIX + name)
-        d = d.withColumns({f"f_cs_rank_{name}": xs.percent_rank_average(x), f"f_cs_z_{name}": xs.zscore(x)})
+    x = {name: F.col(PREFIX + name) for name in SECTION}
+    d = d.withColumns({f"f_cs_rank_{name}": xs.percent_rank_average(c) for name, c in x.items()} | {f"f_cs_z_{name}": xs.zscore(c) for name, c in x.items()})
     wanted = [*feature_columns(d), "target_forward_return", "target_direction"]
     d = scrub(d, wanted)
     return d.dropna(subset=wanted) if drop else d
