@@ -40,7 +40,13 @@ _ARTICLE = frozenset(["article", "main"])
 BAD = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs"
     " footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social"
-    " related recommend recommended recommendations comment comments commentlist replies reply disqus widget pagination pager toolbar search tags hidden".split()
+    " related recommend recommended recommendations comment comments commentlist replies reply disqus widget pagination pager toolbar search tags hidden"
+    " complementary contentinfo dialog aside teaser".split()
+)
+#: Of these one is enough, whatever stands beside it in a name ("post-comments"); others count by their share of it.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored sidebar nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr newsletter comment comments"
+    " commentlist replies disqus related share sharing pagination pager popup modal complementary contentinfo".split()
 )
 GOOD = frozenset("article content post entry story main body text prose".split())
 _HAS = frozenset("with has no without layout".split())
@@ -48,6 +54,8 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _TAG = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"[\s/]*(?:([^\s/>][^\s/>=]*)(?:\s*(=)\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)?))?)?")
 _CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _RAW}
+#: A block of more words is no surer to be prose.
+MOST_WORDS = 40
 FEATURES = ["one", "never", "header", "bad", "good", "inside", "nested", "links", "list_links", "words", "ends", "commas", "paragraph", "heading", "item", "cell"]
 
 
@@ -199,9 +207,11 @@ class Page:
                 wrapper = self.holds[i] or own in ("html", "body")
                 if w and not wrapper and not _HAS.intersection(w):
                     n_bad = sum(x in BAD for x in w)
-                    bad = max(bad, max(0.5, n_bad / len(w)) if n_bad and (own not in _ARTICLE or {"comment", "comments", "reply"} & set(w)) else 0.0)
-                if w and not wrapper:
-                    good = max(good, 1.0 if any(x in GOOD for x in w) else 0.0)
+                    if own in _ARTICLE:  # an article's names say what it has, unless it is a comment itself
+                        n_bad = len(w) * (not {"comment", "reply"}.isdisjoint(w))
+                    speaks = 1.0 if n_bad and not STRONG.isdisjoint(w) else max(0.5, n_bad / len(w)) if n_bad else 0.0
+                    bad, good = max(bad, speaks), 0.0 if speaks else max(good, 1.0 if any(x in GOOD for x in w) else 0.0)
+                    inside = 0.0 if speaks == 1.0 else inside  # a part of the article that is none of its text
             if own == "article":
                 nested = 1.0 if inside == 1.0 and any(self.tags[a] == "article" for a in self._above(i)) else nested
             if own in _ARTICLE:
@@ -230,7 +240,7 @@ def features(blocks: list[Block]) -> np.ndarray:
         chars[b.parent] = chars.get(b.parent, 0) + len(b.text)
     rows = [
         (
-            1.0, *b.mark, b.linked / len(b.text), linked[b.parent] / chars[b.parent], float(np.log1p(b.text.count(" "))), b.text[-1] in ".!?:\"”»",
+            1.0, *b.mark, b.linked / len(b.text), linked[b.parent] / chars[b.parent], float(np.log1p(min(MOST_WORDS, b.text.count(" ")))), b.text[-1] in ".!?:\"”»",
             min(1.0, b.text.count(",") / 3), b.tag == "p", b.tag in _HEADINGS, b.tag in ("li", "dt", "dd"), b.tag in ("td", "th"),
         )
         for b in blocks
@@ -249,7 +259,9 @@ class Model:
     surest: float = 8.0
 
     def scores(self, blocks: list[Block]) -> list[float]:
-        return np.clip(features(blocks) @ np.array(self.weights), -self.surest, self.surest).tolist()
+        x = features(blocks)
+        scores = np.clip(x @ np.array(self.weights), -self.surest, self.surest)
+        return np.where(x[:, FEATURES.index("never")] > 0, -self.surest, scores).tolist()  # hidden, or of an element that holds no main text
 
     def labels(self, blocks: list[Block]) -> list[bool]:
         return min_cut(self.scores(blocks), edges(blocks, self.across, self.within))

@@ -52,6 +52,7 @@ class Grammar:
         return self.pick(
             self.menu(), f"<aside>{t}</aside>", f"<footer>{t}</footer>", f"<div class={self.pick('footer', 'site-footer')}>{t}</div>", f"<form><label>{self.words(1, 3)}</label><input>{t}<button>{self.words(1, 2)}</button></form>",
             f"<div class={self.pick('ad', 'ads', 'advert', 'ad-slot', 'sponsored', 'promo')}>{t}</div>", f"<div id={self.pick('cookie-notice', 'gdpr-consent', 'notice', 'alert')}>{t}</div>", f"<div class={self.pick('sidebar', 'widget', 'related', 'share', 'newsletter', 'popup')}>{t}</div>",
+            f"<div class={self.pick('post-comments', 'article-footer', 'entry-share', 'content-sidebar', 'post-related', 'story-newsletter')}>{t}</div>",
             f"<section class={self.pick('comments', 'comment-list', 'replies')}>{''.join(f'<p>{self.prose(chr(32))}</p>' for _ in range(3))}</section>", f"<div id=comments><article class=comment><p>{self.prose('')}</p></article></div>",
         )
 

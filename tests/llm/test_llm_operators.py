@@ -455,6 +455,13 @@ def test_wrappers_of_an_article_are_neutral(wrapper):
     assert html_text.main_text(page) == "Title\nText of the article stands here.\nYes."
 
 
+@pytest.mark.parametrize("mark", ['class="post-comments"', 'class="articleFooter"', "id=entry-share", 'class="content-sidebar"', "role=complementary", "role=contentinfo", 'class="story-related"', 'class="ad-slot ad-top"', "hidden", 'style="display: none"'])
+def test_marked_parts_go_wherever_they_are(mark):
+    part = f"<div {mark}><p>This is a sentence that reads like prose, with commas, and it ends well.</p><p>So does this one, right here, after it.</p><p>{'Many words make no comment an article, ' * 80}and it ends.</p></div>"
+    page = f"<body><main><article class='post comments-open'><h1>Title</h1><p>The text of the article, in one sentence that is long enough.</p>{part}<p>Its end.</p></article>{part}</main>{part}</body>"
+    assert html_text.main_text(page).split("\n") == ["Title", "The text of the article, in one sentence that is long enough.", "Its end."]
+
+
 def test_lists_cells_formulas_and_comments():
     page = "<body><div class=menu><a>x</a></div><div class=content><p>One long sentence is here, and it goes on for a while.</p><ul><li>first<li>second item</ul><table><tr><td>a<td>b</table><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be &amp;a<b>mp;</b> it.</p></div><div id=comments><article class=comment><p>I like this article a lot, thank you.</p></article></div><footer>f</footer>"
     assert html_text.main_text(page).split("\n") == ["One long sentence is here, and it goes on for a while.", "first", "second item", "a", "b", "Let x=2 be &amp; it."]
