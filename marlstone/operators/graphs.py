@@ -29,7 +29,7 @@ def edges(windowed: DataFrame, value: str = "ret", lagged: str | None = None, th
     else:  # symmetric: each pair once, then mirrored
         c = a.join(b, ["as_of", "date"]).where("src < dst").groupBy("as_of", "src", "dst").agg(F.abs(F.corr("a", "b")).alias("w"))
         c = c.select("as_of", F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))), "w")
-    c = c.where(F.col("w") >= threshold)
+    c = c.where((F.col("w") >= threshold) & ~F.isnan("w"))  # without spread there is no correlation
     node = Window.partitionBy("as_of", "src")
     c = c.withColumn("place", F.row_number().over(node.orderBy(F.desc("w"), "dst"))).where(F.col("place") <= degree)
     return c.select("as_of", "src", "dst", ratio(F.col("w"), F.sum("w").over(node)).alias("weight"))

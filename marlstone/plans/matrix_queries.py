@@ -184,7 +184,8 @@ QUERIES["v12_partial_correlation_graph"] = _partial
 _days = f"(select date, row_number() over (order by date) as i from (select distinct date from ({P.REGION_SQL})))"
 _near = f"(select d.date, m.as_of from {_days} d join (select date as as_of, i as at from {_days} where i % 21 = 0) m on d.i < m.at and d.i >= m.at - 100)"
 _win = f"(select n.as_of, r.* from ({P.returns_sql(P.REGION_SQL)}) r join {_near} n on r.date = n.date)"
-_edges = f"select as_of, src, dst, w / nullif(sum(w) over (partition by as_of, src), 0) as weight from (select *, row_number() over (partition by as_of, src order by w desc, dst) as place from (select a.as_of, a.ticker as src, b.ticker as dst, abs(corr(a.ret, b.ret)) as w from {_win} a join {_win} b on a.as_of = b.as_of and a.date = b.date where a.ticker <> b.ticker and a.ret is not null and b.ret is not null group by 1, 2, 3) where w >= 0.02) where place <= 2"
+# a correlation that is not defined (no spread) is no edge; DuckDB gives NaN, which is above any threshold
+_edges = f"select as_of, src, dst, w / nullif(sum(w) over (partition by as_of, src), 0) as weight from (select *, row_number() over (partition by as_of, src order by w desc, dst) as place from (select a.as_of, a.ticker as src, b.ticker as dst, abs(corr(a.ret, b.ret)) as w from {_win} a join {_win} b on a.as_of = b.as_of and a.date = b.date where a.ticker <> b.ticker and a.ret is not null and b.ret is not null group by 1, 2, 3) where w >= 0.02 and isfinite(w)) where place <= 2"
 QUERIES["v12_dynamic_graph"] = lambda s, d: _round(graph(s, d), ["as_of", "src", "dst"], ["weight"])
 ORACLES["v12_dynamic_graph"] = _round_sql("as_of, src, dst", ["weight"], _edges)
 
