@@ -53,7 +53,7 @@ def partial_edges(windowed: DataFrame, value: str = "ret", threshold: float = 0.
         if wide.shape[1] > most:
             raise ValueError(f"more than {most} entities in one window")
         if len(wide) < 3 or wide.shape[1] < 2:
-            return pd.DataFrame({"as_of": [], "src": [], "dst": [], "w": []})
+            return pd.DataFrame([], columns=["as_of", "src", "dst", "w"], dtype=object)
         p = np.linalg.inv(np.nan_to_num(np.corrcoef(wide.to_numpy().T)) + ridge * np.eye(wide.shape[1]))
         d = np.sqrt(np.diag(p))
         c, names = np.abs(p / np.outer(d, d)), list(wide.columns)

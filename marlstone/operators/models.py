@@ -261,7 +261,7 @@ def posterior_checks(posterior: DataFrame, returns: DataFrame, seed: int = 13) -
     def run(key: tuple, seen: pd.DataFrame, post: pd.DataFrame) -> pd.DataFrame:
         r = seen.sort_values("date")["ret"].to_numpy(float)
         if not len(r) or not len(post):
-            return pd.DataFrame({"asset": [], "statistic": [], "observed": [], "replicated": [], "p": []})
+            return pd.DataFrame([], columns=["asset", "statistic", "observed", "replicated", "p"], dtype=object)
         post = post.sort_values(["chain", "draw"])
         made = [x.mu + x.sigma * _seeded(seed, key[0], x.chain, x.draw).standard_t(x.nu, len(r)) for x in post.itertuples()]
         rows = []
