@@ -6,9 +6,10 @@ words, and a leaf holds templates. Inside a leaf templates merge by the likeness
 those that differ in few places are one template, in which the places that differ are further fields.
 
 For that a template is nine places (a word each, or a few words of a longer line), held as three bands of hashes.
-Two templates that differ in two places share a band, so templates of a leaf that share one are compared: with the
-band's two extreme templates, so that no group's pairs are listed. Those alike enough are linked, and linked
-templates are one.
+Two templates that differ in two places share a band, so only templates of a leaf that share one with another are
+looked at. Each of them is held once for every choice of two places left out: those that agree in all other places
+are alike enough, and are linked to the least of them. So all that are alike meet, however many share a band, and no
+pairs are listed. Linked templates are one.
 
 A template that recurs across documents is dropped from all of them but the one with the smallest id, so that no
 text is lost altogether; ``keep_first=False`` drops it there too. Templates with few fixed words must recur more
@@ -23,6 +24,7 @@ document loses is a bit mask over its lines.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +36,6 @@ WILDCARD = "<*>"
 _VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@=_/\\]*+[0-9@=_/\\][^\x20\x09-\x0D]*+"
 #: Nine places in three bands; each place has a 20-bit hash with a free bit above.
 BANDS, LANES, BITS = 3, 9, 20
-_FULL, _ABOVE = (sum(x << (BITS + 1) * i for i in range(3)) for x in (2**BITS - 1, 2**BITS))
 
 
 @dataclass(frozen=True)
@@ -44,10 +45,14 @@ class Tree:
     long_docs: int = 2
     short_docs: int = 20
     keep_first: bool = True
-    #: Places in which two templates of a leaf may differ: one of ``alike``, and at most ``fields``.
+    #: Places in which two templates of a leaf may differ: one of ``alike`` (4 or more), and at most ``fields`` (0 to 2).
     alike: int = 4
     fields: int = 2
 
+    def __post_init__(self) -> None:
+        if self.alike < 4 or not 0 <= self.fields <= 2:
+            raise ValueError("bands find templates that differ in two places at most, one of four")
+
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n")
@@ -105,47 +110,69 @@ def templates(docs: DataFrame, id_col: str, text_col: str, tree: Tree) -> DataFr
 
 
 def _keys() -> Column:
-    """Band keys of a template: pairs of bands of a short one, which may differ in one place, else single bands."""
+    """Band keys of a template: pairs of bands of a short one, which may differ in one place, else single bands. The
+    last two bits tell which."""
 
     def hashed(groups: list[tuple[int, ...]]) -> str:
-        return "array(" + ", ".join(f"xxhash64(leaf, {j}, {', '.join(f's{b}' for b in g)})" for j, g in enumerate(groups)) + ")"
+        return "array(" + ", ".join(f"xxhash64(leaf, {j}, {', '.join(f's{b}' for b in g)}) & -4L | {j}L" for j, g in enumerate(groups)) + ")"
 
     return F.expr(f"if(size < 8, {hashed([(0, 1), (0, 2), (1, 2)])}, {hashed([(0,), (1,), (2,)])})")
 
 
-def _differ(b: int) -> str:
-    """The bit above each place in which two bands differ."""
-    return f"((s{b} ^ r{b}) + {_FULL}L) & {_ABOVE}L"
+def _masks(tree: Tree) -> Column:
+    """Of a template with the bit mask ``bands`` of its keys that others have too: each choice of places to leave out
+    that can be like another's, with the hash of all other places, and the places left out and their hashes."""
+
+    def left_out(places: tuple[int, ...], needs: int) -> str:
+        rest = [f"s{b} & {sum(2**BITS - 1 << (BITS + 1) * (i % 3) for i in range(3 * b, 3 * b + 3) if i not in places)}L" for b in range(BANDS)]
+        own = [f"cast(shiftright(s{i // 3}, {(BITS + 1) * (i % 3)}) & {2**BITS - 1} as int)" for i in places]
+        made = f"struct(xxhash64(leaf, {sum(1 << i for i in places)}, {', '.join(rest)}) as key, {places[0]} as i, {places[-1]} as j, {own[0]} as x, {own[-1]} as y)"
+        return f"if(bands & {needs} = {needs}, {made}, null)"
+
+    # by the order of _keys: a pair of bands is named by the band outside it, backwards
+    short = [left_out((i,), 1 << (BANDS - 1 - i // 3)) for i in range(LANES)]
+    one, two = ([left_out(p, sum(1 << b for b in range(BANDS) if b not in {i // 3 for i in p})) for p in combinations(range(LANES), n)] for n in (1, 2))
+    masks = f"case least(size div {tree.alike}, {tree.fields}) when 0 then array() when 1 then if(size < 8, array({', '.join(short)}), array({', '.join(one)})) else array({', '.join(two)}) end"
+    return F.expr(f"filter({masks}, x -> x is not null)")
+
 
+def _looked(rows: DataFrame, table: DataFrame, key: str, spread: str, small: int, how: str = "inner") -> DataFrame:
+    return looked_up(rows, table, key, spread, small, how, salts=4)
 
-def merged(found: DataFrame, tree: Tree, small: int) -> DataFrame:
-    """Written table of ``template``, ``root`` and ``left``: the merged template it is part of, and its fixed words."""
+
+def near(found: DataFrame, small: int) -> DataFrame:
+    """Written table of the templates that share a band with another, and the bit mask ``bands`` of the keys shared."""
     with scope(found.sparkSession) as paths:
-        return result(_merged(found, tree, small), "merged", paths)
-
-
-def _merged(found: DataFrame, tree: Tree, small: int) -> DataFrame:
-    bands = [f"s{b}" for b in range(BANDS)]
-    lines = found.where("s0 is not null").select("template", "leaf", "size", "fixed", *bands).withColumn("key", F.explode(_keys()))
-    extremes = lines.groupBy("key").agg(F.min("template").alias("low"), F.max("template").alias("high")).where("low < high")
-    extremes = written(extremes, "extremes")
-    near = looked_up(lines.drop("leaf"), extremes, "key", "template", small).select("template", "size", "fixed", *bands, F.explode(F.array("low", "high")).alias("other"))
-    near = written(near.where("template <> other").distinct(), "near")
-    ends = written(near.select(F.col("other").alias("template")).distinct(), "ends")
-    held = looked_up(found.where("s0 is not null").select("template", *bands), ends, "template", "s0", small).distinct()
-    held = written(held.select(F.col("template").alias("other"), *(F.col(f"s{b}").alias(f"r{b}") for b in range(BANDS))), "held")
-    pairs = looked_up(near, held, "other", "template", small)
-    pairs = pairs.withColumns({f"d{b}": F.expr(_differ(b)) for b in range(BANDS)})
-    apart = " + ".join(f"bit_count(d{b})" for b in range(BANDS))
-    pairs = pairs.where(f"{apart} <= least(size div {tree.alike}, {tree.fields})").select("template", "other", "size", "fixed", *(f"d{b}" for b in range(BANDS)))
-    pairs = written(pairs, "pairs")
-    tops = components(pairs.select(F.col("template").alias("u"), F.col("other").alias("v"))).withColumnRenamed("u", "template")
-    fields = looked_up(pairs, tops, "template", "other", small, "left").withColumn("root", F.coalesce("v", "template"))
-    fields = fields.groupBy("root").agg(F.max("size").alias("size"), F.min("fixed").alias("fixed"), *(F.bit_or(f"d{b}").alias(f"d{b}") for b in range(BANDS)))
-    left = F.expr(f"cast(greatest(0, fixed - ({apart}) * ((size + {LANES - 1}) div {LANES})) as int)")
-    fields = written(fields.select("root", left.alias("left")), "fields")
-    every = tops.select("template", F.col("v").alias("root")).union(fields.select(F.col("root").alias("template"), "root"))
-    return looked_up(every, fields, "root", "template", small)
+        keys = found.where("s0 is not null").select("id", "template", F.explode(_keys()).alias("key"))
+        shared = keys.groupBy("key").agg(F.min("template").alias("low"), F.max("template").alias("high")).where("low < high")
+        keys = _looked(keys, written(shared.select("key"), "shared"), "key", "id", small)
+        return result(keys.groupBy("template").agg(F.bit_or(F.expr("shiftleft(1, cast(key & 3 as int))")).alias("bands")), "near", paths)
+
+
+def merged(rows: DataFrame, tree: Tree, small: int) -> DataFrame:
+    """Written table of ``template``, ``root`` and ``left``: the merged template it is part of, and its fixed words.
+    Templates that merge with no other are left out."""
+    with scope(rows.sparkSession) as paths:
+        return result(_merged(rows, tree, small), "merged", paths)
+
+
+def _merged(rows: DataFrame, tree: Tree, small: int) -> DataFrame:
+    held = rows.groupBy("template", "leaf", "size", "bands", *(f"s{b}" for b in range(BANDS))).agg(F.min("fixed").alias("fixed"))
+    held = written(held, "held")
+    masks = written(held.select("template", F.explode(_masks(tree)).alias("m")).select("template", "m.*"), "masks")
+    varies = F.expr("if(min(x) < max(x), shiftleft(1, min(i)), 0) | if(min(y) < max(y), shiftleft(1, min(j)), 0)")
+    groups = masks.groupBy("key").agg(F.min("template").alias("low"), F.max("template").alias("high"), varies.alias("apart"))
+    groups = written(groups.where("low < high").drop("high"), "groups")
+    links = _looked(masks.select("key", "template"), groups.drop("apart"), "key", "template", small)
+    tops = components(links.select(F.col("template").alias("u"), F.col("low").alias("v"))).withColumnRenamed("u", "template")
+    root = F.coalesce("v", "template").alias("root")
+    apart = _looked(groups.select(F.col("low").alias("template"), "key", "apart"), tops, "template", "key", small, "left").groupBy(root).agg(F.bit_or("apart").alias("apart"))
+    apart = written(apart, "apart")
+    members = held.join(tops, "template", "left").select("template", root, "size", "fixed")
+    members = written(_looked(members, apart, "root", "template", small), "members")
+    left = F.expr(f"cast(greatest(0, min(fixed) - bit_count(max(apart)) * ((max(size) + {LANES - 1}) div {LANES})) as int)")
+    fields = written(members.groupBy("root").agg(left.alias("left")), "fields")
+    return _looked(members.select("template", "root"), fields, "root", "template", small)
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree: Tree = Tree(), small: int = 200_000) -> DataFrame:
@@ -162,17 +189,18 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     docs = docs.drop(*({"n_lines", "n_dropped"} & set(docs.columns)))
     last = F.lit(2**63 - 1)
     found = written(templates(docs, id_col, text_col, tree).withColumn("id", F.coalesce("id", last)), "lines")
-    names = merged(found, tree, small)
-
-    def named(rows: DataFrame) -> DataFrame:
-        rows = looked_up(rows, names, "template", "id", small, "left")
-        return rows.withColumns({"template": F.coalesce("root", "template"), "fixed": F.coalesce("left", "fixed")}).drop("root", "left")
-
-    place = named(found.select("template", "fixed", "id").distinct()).groupBy("template", "id").agg(F.min("fixed").alias("fixed"))
+    # most templates stand alone; only rows of those that occur again or are near another go on
+    again = found.groupBy("template").agg(F.count("*").alias("rows")).where("rows > 1").select("template")
+    met = written(again.join(near(found, small), "template", "full"), "met")
+    met = written(_looked(found, met, "template", "id", small), "rows")
+    names = merged(met.where("bands is not null"), tree, small)
+    met = _looked(met.select("id", "mark", "pos", "more", "template", "fixed"), names, "template", "id", small, "left")
+    met = met.withColumns({"template": F.coalesce("root", "template"), "fixed": F.coalesce("left", "fixed")}).drop("root", "left")
+    place = met.groupBy("template", "id").agg(F.min("fixed").alias("fixed"))
     place = place.groupBy("template").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min("fixed").alias("fixed"))
     recurs = (F.col("fixed") >= tree.long_words) & (F.col("n") >= tree.long_docs) | (F.col("n") >= tree.short_docs)
     place = written(place.where(recurs).select("template", "first"), "recurring")
-    gone = looked_up(named(found.select("id", "mark", "pos", "more", "template", "fixed")), place, "template", "id", small)
+    gone = _looked(met.drop("fixed"), place, "template", "id", small)
     if tree.keep_first:
         gone = gone.where("id <> first")
     bit = F.expr("shiftleft(1L, pos % 64)")

@@ -310,6 +310,25 @@ def test_template_tree_agrees_with_brute_force(docs, small):
     assert got == brute.lines(rows) and sum(got[i] != t for i, t in rows) > 20
 
 
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_alike_lines_meet_in_large_bands(docs, small):
+    """Pairs that share one band only, with all others of a leaf too."""
+    one = [f"the same start {' '.join(f'{chr(97 + k)}{w}' for w in 'abcdef')}".split() for k in range(20)]
+    two = [[*w[:3], "other", *w[4:8], "end"] for w in one]  # two places differ, in two bands
+    rows = [(i, " ".join(w) + f"\nown {chr(97 + i % 26)}{chr(97 + i // 26)}") for i, w in enumerate(one + two)]
+    short = [f"so {chr(97 + k)}b {chr(97 + k)}c {chr(97 + k)}d {last}" for last in ("here", "there") for k in range(20)]
+    rows += [(100 + i, t) for i, t in enumerate(short)]
+    tree = lines.Tree(long_words=4)
+    got = {r["doc_id"]: r["text"] for r in lines.drop_recurring_lines(docs([(i, t, "s") for i, t in rows]), tree=tree, small=small).collect()}
+    want = brute.lines([x for x in rows if x[0] < 100], tree) | brute.lines([x for x in rows if x[0] >= 100], tree)
+    assert got == want and all(not got[i].startswith("the same") for i in range(20, 40)) and all(got[i].startswith("the same") for i in range(20))
+    assert [got[100 + i] == "" for i in range(40)] == [False] * 20 + [True] * 20
+    if small:
+        narrow = lines.Tree(long_words=4, fields=1)
+        got = {r["doc_id"]: r["text"] for r in lines.drop_recurring_lines(docs([(i, t, "s") for i, t in rows]), tree=narrow).collect()}
+        assert got == brute.lines([x for x in rows if x[0] < 100], narrow) | brute.lines([x for x in rows if x[0] >= 100], narrow)
+
+
 def test_columns_of_any_name_survive(spark):
     names = ["gone", "__kept", "__lines", "__id", "of", "mark", "lost", "every", "kept", "salt", "template", "id", "pos", "first"]
     rows = [(i, f"a line of eight words stands right here today\n{chr(97 + i)}", *range(len(names))) for i in range(3)]
