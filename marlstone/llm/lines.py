@@ -175,7 +175,7 @@ def _merged(rows: DataFrame, tree: Tree, small: int) -> DataFrame:
     return _looked(members.select("template", "root"), fields, "root", "template", small)
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree: Tree = Tree(), small: int = 200_000) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree: Tree = Tree(), small: int = 0) -> DataFrame:
     """The input's rows and columns with the text column rewritten, and ``n_lines``, ``n_dropped`` (bigint) added.
 
     Lines are parts between ``\\n``; the lines kept are joined by ``\\n`` unchanged. A null text stays null and
@@ -184,7 +184,8 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keeps the line. Blank lines inside a run go with it. Texts may be of any length. An empty table gives no rows.
     Existing columns named ``n_lines`` or ``n_dropped`` are replaced; all others stay, whatever their names.
 
-    Tables of at most ``small`` rows of a few numbers are broadcast, larger ones joined over salted keys.
+    Tables of at most ``small`` rows of a few numbers are broadcast, larger ones joined over salted keys. By default
+    none is: many such tables at once fill a small driver.
     """
     docs = docs.drop(*({"n_lines", "n_dropped"} & set(docs.columns)))
     last = F.lit(2**63 - 1)

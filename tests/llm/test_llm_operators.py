@@ -329,6 +329,14 @@ def test_alike_lines_meet_in_large_bands(docs, small):
         assert got == brute.lines([x for x in rows if x[0] < 100], narrow) | brute.lines([x for x in rows if x[0] >= 100], narrow)
 
 
+def test_lines_are_joined_without_broadcasts(docs, monkeypatch):
+    asked = []
+    monkeypatch.setattr(lines.F, "broadcast", lambda d: asked.append(d.count()) or d)
+    line = "this is the long report that stands here"
+    got = lines.drop_recurring_lines(docs([(i, f"{line}\nown {chr(97 + i)}", "s") for i in range(3)])).toPandas()
+    assert sorted(got.n_dropped) == [0, 1, 1] and not any(asked)  # none but empty ones
+
+
 def test_columns_of_any_name_survive(spark):
     names = ["gone", "__kept", "__lines", "__id", "of", "mark", "lost", "every", "kept", "salt", "template", "id", "pos", "first"]
     rows = [(i, f"a line of eight words stands right here today\n{chr(97 + i)}", *range(len(names))) for i in range(3)]
