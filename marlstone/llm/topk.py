@@ -1,8 +1,9 @@
 """Exact top-k by inner product over an impact-ordered, score-at-a-time index.
 
 A block of vectors is held as postings: for each dimension and impact level the positions of the vectors whose
-component has that quantised size, and its sign. For a block of queries segments are read by descending impact, a
-level at a time; reading one adds impact times the query's weight to its vectors' scores and to no other. What of
+component has that quantised size, and its sign. For a block of queries segments are read by descending impact,
+``STEP`` levels at a time; reading one adds impact times the query's weight to its vectors' scores and to no other. A
+segment is laid out as a matrix, by vector and dimension with zeros between, so that reading it is one product. What of
 a vector is still unread (and the error of quantising) is known by its norm, so that the score plus and minus that
 norm times the query's bounds the true one (Cauchy-Schwarz). A query stops reading once these bounds prove that
 few vectors can be among its best; only those are rescored, exactly, in integers. Without such proof it reads all.
@@ -21,6 +22,8 @@ from marlstone.llm.common import small_batches, written
 
 K, SCALE, EVERY, LEVELS = 5, 256, 50, 32
 ROWS, QUERIES, CHUNK = 8192, 256, 64
+#: Levels read at a time, and queries that are tried before a proof for all.
+STEP, TRIED = 2, 8
 #: Rescoring costs less than reading on when only one vector in so many is still possible.
 FEW = 4
 _LONG, _HUGE = np.iinfo(np.int64), int(np.finfo(float).max)
@@ -34,16 +37,17 @@ class ImpactIndex:
         self.top = float(np.abs(vectors).max(initial=0)) or 1.0
         rest = vectors / self.top
         level = np.minimum((np.abs(rest) * levels).astype(np.int64), levels - 1)
+        self.level, self.impact = level.astype(np.int16), np.sign(rest) * (level + 0.5) / levels  # the middle of the level
         self.segments, self.read, self.size = [], 0, vectors.size
-        for at in range(levels - 1, -1, -1):
-            impact, postings = (at + 0.5) / levels, []  # the middle of the level
-            for d in range(vectors.shape[1]):
-                held = np.nonzero(level[:, d] == at)[0]
-                if held.size:
-                    value = np.sign(rest[held, d]) * impact
-                    rest[held, d] -= value
-                    postings.append((d, held, value))
-            self.segments.append((postings, np.sqrt((rest * rest).sum(1))))
+        for high in range(levels, 0, -STEP):
+            low = max(0, high - STEP)
+            values = self._values(low, high)
+            rest -= values
+            if (n := np.count_nonzero((self.level >= low) & (self.level < high))) or low == 0:
+                self.segments.append((low, high, n, np.sqrt((rest * rest).sum(1))))
+
+    def _values(self, low: int, high: int) -> np.ndarray:
+        return np.where((self.level >= low) & (self.level < high), self.impact, 0.0)
 
     def best(self, query_rows: np.ndarray, queries: np.ndarray, k: int = K) -> tuple[np.ndarray, ...]:
         """(query position, vec_id, score, score as double) of each query's k best rows but its own; ties to smaller ids."""
@@ -51,32 +55,42 @@ class ImpactIndex:
         top = np.maximum(np.abs(queries).max(axis=1, initial=0), 1.0)
         weight = queries / top[:, None]
         norm = np.sqrt((weight * weight).sum(1))
-        score, open_ = np.zeros((n, len(queries))), np.arange(len(queries))
-        own = self.rows[:, None] == query_rows[None, :]
-        for postings, rest in self.segments:
+        score, open_ = np.zeros((len(queries), n)), np.arange(len(queries))
+        own = query_rows[:, None] == self.rows[None, :]
+        few = max(4 * k, n // FEW)
+
+        def possible(at: np.ndarray, score: np.ndarray, rest: np.ndarray) -> np.ndarray:
+            slack = np.outer(norm[at], rest) * (1 + 1e-9) + 1e-9 * (1 + norm[at][:, None])
+            out = ~own[at]
+            if n > k:
+                low = np.where(out, score - slack, -np.inf)
+                out &= score + slack >= np.partition(low, n - k, axis=1)[:, n - k, None]
+            return out
+
+        for low, high, held, rest in self.segments:
             if not open_.size:
                 break
-            for d, held, value in postings:
-                score[held] += value[:, None] * weight[None, open_, d]
-                self.read += held.size * open_.size
-            slack = np.outer(rest, norm[open_]) * (1 + 1e-9) + 1e-9 * (1 + norm[open_])
-            possible = ~own[:, open_]
-            if n > k:
-                low = np.where(possible, score - slack, -np.inf)
-                possible &= score + slack >= np.partition(low, n - k, axis=0)[n - k]
-            done = possible.sum(0) <= max(4 * k, n // FEW)
-            found += [(q, np.nonzero(possible[:, i])[0]) for i, q in enumerate(open_) if done[i]]
-            if not done.all():
-                last = possible[:, ~done], open_[~done]
-            open_, score = open_[~done], score[:, ~done]
+            score += weight[open_] @ self._values(low, high).T
+            self.read += held * open_.size
+            final = low == 0
+            if not final and not (possible(open_[:TRIED], score[:TRIED], rest).sum(1) <= few).any():
+                continue
+            left = possible(open_, score, rest)
+            done = left.sum(1) <= few
+            found += [(q, np.nonzero(left[i])[0]) for i, q in enumerate(open_) if done[i]]
+            if final:
+                last = left[~done]
+            open_, score = open_[~done], score[~done]
         if open_.size:  # no proof for few: all that are still possible
-            found += [(q, np.nonzero(last[0][:, i])[0]) for i, q in enumerate(last[1])]
+            found += [(q, np.nonzero(last[i])[0]) for i, q in enumerate(open_)]
         out = [(q, *self._exact(queries[q], at, k)) for q, at in found]
         return tuple(np.concatenate(x) for x in zip(*((np.full(len(i), q), i, s, near) for q, i, s, near in out), strict=True)) if out else (np.zeros(0, np.int64),) * 4
 
     def _exact(self, query: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if self.top * np.abs(query).max(initial=0) * max(1, len(query)) < 2.0**62:
-            score = self.vectors[at].astype(np.int64) @ query.astype(np.int64)
+        most = self.top * np.abs(query).max(initial=0) * max(1, len(query))
+        if most < 2.0**62:
+            # below 2^53 doubles hold every sum of integers exactly
+            score = (self.vectors[at] @ query).astype(np.int64) if most < 2.0**53 else self.vectors[at].astype(np.int64) @ query.astype(np.int64)
             first = np.lexsort((self.ids[at], -score))[:k]
             return self.ids[at][first], score[first], score[first].astype(float)
         wide = [int(x) for x in query]  # integers of any size

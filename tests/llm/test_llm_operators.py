@@ -564,6 +564,21 @@ def test_scores_beyond_a_long_keep_their_order(spark):
     assert got.vec_id.tolist() == [2, 1, 3] and got.score.tolist() == [2**63 - 1, 2**63 - 1, -(2**63)]
 
 
+@pytest.mark.parametrize("levels", [32, 7, 1])
+def test_a_block_is_searched_by_products(levels):
+    rng = np.random.default_rng(6)
+    v = rng.normal(0, 1, (8192, 64))
+    v = np.floor(256 * v / np.sqrt((v * v).sum(1))[:, None])
+    ids, rows = rng.permutation(8192), np.arange(8192)
+    began = time.process_time()
+    q, vec, score, _ = topk.ImpactIndex(rows, ids, v, levels).best(rows[:256], v[:256])
+    assert levels < 32 or time.process_time() - began < 1.2  # three seconds if each posting list is added by itself
+    s = v[:256] @ v.T
+    s[rows[:256], rows[:256]] = -1e18
+    want = [(i, int(ids[j]), int(s[i, j])) for i in range(256) for j in np.lexsort((ids, -s[i]))[:5]]
+    assert sorted(zip(q.tolist(), vec.tolist(), score.tolist(), strict=True)) == sorted(want)
+
+
 def test_reading_stops_before_the_last_postings():
     rng = np.random.default_rng(5)
     v = np.floor(rng.normal(0, 32, (4000, 32)))
